@@ -70,7 +70,8 @@ if __name__ == "__main__":
     sf = os.environ.get("SF", "/root/testdata/sf0.01")
     wanted = sys.argv[1:] or list(QUERIES)
     wanted = [q for q in QUERIES if q in wanted or any(w.endswith("*") and q.startswith(w[:-1]) for w in wanted)]
-    spark, con = local_session(), connect(sf)
+    conf = {"spark.zonewatch.hotRows": os.environ["HOT"]} if "HOT" in os.environ else {}
+    spark, con = local_session(**conf), connect(sf)
     bad = 0
     for n in wanted:
         t = time.time()

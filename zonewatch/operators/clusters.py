@@ -94,7 +94,7 @@ def square_region(hull: G.Box, w: Column, h: Column, pad: float, min_side: float
     return G.Box(x1, y1, F.least(w, x1 + side).cast("int"), F.least(h, y1 + side).cast("int"))
 
 
-def cluster_regions(clusters: DataFrame, pad: float = 32, min_side: float = 160,
+def cluster_regions(clusters: DataFrame, pad: float = 48, min_side: float = 160,
                     max_side: float | None = 320) -> DataFrame:
     """`clusters`: hull corners plus frame_w, frame_h; adds rx1..ry2."""
     r = square_region(G.box(), F.col("frame_w"), F.col("frame_h"), pad, min_side, max_side)
@@ -128,7 +128,7 @@ def thin(df: DataFrame, max_n: int, by: list[str], order: list[str]) -> DataFram
 
 
 def cover_tiles(clusters: DataFrame, scale: float, max_side: int = 320, min_extra: int = 96,
-                pad: int = 32) -> DataFrame:
+                pad: int = 48) -> DataFrame:
     """Small tiles covering a whole cluster instead of one window at its centre."""
     w, h = F.col("frame_w"), F.col("frame_h")
     b = G.box()
@@ -139,7 +139,7 @@ def cover_tiles(clusters: DataFrame, scale: float, max_side: int = 320, min_extr
 
 
 def sweep_tiles(zones: DataFrame, max_side: int = 320, escalate_scale: float = 0.4,
-                min_extra: int = 96, pad: int = 32) -> DataFrame:
+                min_extra: int = 96, pad: int = 48) -> DataFrame:
     """Half-overlapping tiles over the padded hull of a whole zone."""
     w, h = F.col("frame_w"), F.col("frame_h")
     b = G.box()
