@@ -1,4 +1,4 @@
-from zonewatch.catalog import gates, space  # noqa: F401
+from zonewatch.catalog import gates, quality, reports, space  # noqa: F401
 from zonewatch.catalog.base import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -29,20 +29,20 @@ OBS = """obs AS (
   FROM events)"""
 
 DAILY = OBS + """, daily AS (
-  SELECT DISTINCT zone, CAST(t_us // 86400000000 AS INTEGER) AS day, "row", col FROM obs WHERE value >= 150),
+  SELECT DISTINCT zone, CAST(t_us // 86400000000 AS INTEGER) AS day, "row", col FROM obs WHERE value >= 100),
 cells AS (SELECT *, col*32 AS x1, "row"*32 AS y1, col*32+64 AS x2, "row"*32+64 AS y2 FROM daily)"""
 
 LOG = OBS + """, log AS (
   SELECT zone, t_us // 3600000000 AS scan_no, CAST((t_us // 3600000000) * 3600 AS DOUBLE) AS t_s,
-         count(*) FILTER (value >= 150) >= 2 AS dirty, count(*) FILTER (value >= 150) >= 3 AS alert,
-         count(*) FILTER (value >= 150) AS n_hot, count(*) FILTER (changed) AS n_changed,
+         count(*) FILTER (value >= 100) >= 1 AS dirty, count(*) FILTER (value >= 100) >= 2 AS alert,
+         count(*) FILTER (value >= 100) AS n_hot, count(*) FILTER (changed) AS n_changed,
          count(*) AS n_cells,
          coalesce(string_agg(DISTINCT "row" || ',' || col, ' ' ORDER BY "row" || ',' || col)
-           FILTER (value >= 150), '') AS hot_cells,
+           FILTER (value >= 100), '') AS hot_cells,
          greatest(count(*) FILTER (changed) - 3, 0) AS n_dropped,
-         count(*) FILTER (changed) - count(*) FILTER (value >= 150) AS n_verify_dropped,
-         count(*) FILTER (value >= 150) AS n_verify_boxes,
-         count(*) FILTER (value >= 150) % 2 AS n_muted_hit,
+         count(*) FILTER (changed) - count(*) FILTER (value >= 100) AS n_verify_dropped,
+         count(*) FILTER (value >= 100) AS n_verify_boxes,
+         count(*) FILTER (value >= 100) % 2 AS n_muted_hit,
          max(value) / 100 AS shift_px, sum(value) AS ms,
          least(1.0::DOUBLE, ((t_us // 3600000000) % 97) / 60.0::DOUBLE) AS mask_progress
   FROM obs GROUP BY zone, t_us // 3600000000)"""
@@ -88,7 +88,7 @@ def inside_sql(x: str, y: str) -> str:
 def positions_sql(lo: str, hi: str, cell: int, step: int) -> str:
     """List of cell starts on one axis."""
     return (f"CASE WHEN {hi}-{lo} <= {cell} THEN [{lo}] "
-            f"ELSE list_distinct(list_concat(range({lo}, {hi}-{cell}+1, {step}), [{hi}-{cell}])) END")
+            f"ELSE list_sort(list_distinct(list_concat(range({lo}, {hi}-{cell}+1, {step}), [{hi}-{cell}]))) END")
 
 
 def inter_sql(a: str, b: str) -> str:

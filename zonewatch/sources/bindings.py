@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 CHANGE_THR = 50.0      # an event at or above it counts as a changed cell
-HOT_THR = 150.0        # an event at or above it counts as a hot cell
+HOT_THR = 100.0        # an event at or above it counts as a hot cell
 FRAME_W, FRAME_H = 640, 480
 
 
@@ -52,7 +52,7 @@ def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("value").alias("_max"), F.sum("value").alias("_sum")))
     return per.select(
         "zone", "scan_no", (F.col("scan_no") * 3600).cast("double").alias("t_s"),
-        (F.col("n_hot") >= 2).alias("dirty"), (F.col("n_hot") >= 3).alias("alert"), "n_hot",
+        (F.col("n_hot") >= 1).alias("dirty"), (F.col("n_hot") >= 2).alias("alert"), "n_hot",
         "n_changed", "n_cells", F.array_join("_hot", " ").alias("hot_cells"),
         F.greatest(F.col("n_changed") - 3, F.lit(0).cast("bigint")).alias("n_dropped"),
         (F.col("n_changed") - F.col("n_hot")).alias("n_verify_dropped"),
