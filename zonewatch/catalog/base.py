@@ -44,7 +44,7 @@ LOG = OBS + """, log AS (
          count(*) FILTER (value >= 100) AS n_verify_boxes,
          count(*) FILTER (value >= 100) % 2 AS n_muted_hit,
          max(value) / 100 AS shift_px, sum(value) AS ms,
-         least(1.0::DOUBLE, ((t_us // 3600000000) % 97) / 60.0::DOUBLE) AS mask_progress
+         least(1.0::DOUBLE, ((t_us // 3600000000 + 10) % 97) / 60.0::DOUBLE) AS mask_progress
   FROM obs GROUP BY zone, t_us // 3600000000)"""
 
 BOXES = """boxes AS (

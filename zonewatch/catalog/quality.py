@@ -370,8 +370,8 @@ def in_band_share(spark, sf):
     return D.in_band_share(_dims(spark, sf), ["model"])
 
 
-@query("yolo_roundtrip", f"""WITH {BOXES} SELECT image, sum((x1+x2)/2.0/640) AS cx, sum((y1+y2)/2.0/480) AS cy, sum((x2-x1)/640) AS w,
-  sum((y2-y1)/480) AS h, count(*)*5 AS n_fields, true AS exact FROM gt GROUP BY image""")
+@query("yolo_roundtrip", f"""WITH {BOXES} SELECT image, sum((x1+x2)/2.0/640*640) AS cx, sum((y1+y2)/2.0/480*480) AS cy, sum((x2-x1)/640*640) AS w,
+  sum((y2-y1)/480*480) AS h, count(*)*5 AS n_fields, true AS exact FROM gt GROUP BY image""")
 def yolo_roundtrip(spark, sf):
     W, H = F.lit(640), F.lit(480)
     y = B.truth_boxes(spark, sf).select("image", *CORNERS, *G.xyxy_to_yolo(G.box(), W, H),
@@ -380,7 +380,7 @@ def yolo_roundtrip(spark, sf):
     near = F.lit(True)
     for a, c in zip(back, CORNERS):
         near = near & (F.abs(a - F.col(c)) < 1e-9)
-    return y.groupBy("image").agg(*[F.sum(c).alias(c) for c in ("cx", "cy", "w", "h")],
+    return y.groupBy("image").agg(*[F.sum(F.col(c) * k).alias(c) for c, k in (("cx", 640), ("cy", 480), ("w", 640), ("h", 480))],
                                   F.sum(F.size(F.split("line", " "))).alias("n_fields"), F.bool_and(near).alias("exact"))
 
 

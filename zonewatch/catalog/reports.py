@@ -61,7 +61,7 @@ def alerts_in_truth(spark, sf):
 
 
 @query("event_recall_latency", f"""WITH {TRUTH}, f AS (SELECT t.zone, t.event_id, t.a,
-   min(al.t_s) - t.a AS lat FROM truth t LEFT JOIN al ON al.zone=t.zone AND al.t_s BETWEEN t.a AND t.b + 180 GROUP BY ALL),
+   min(al.t_s) - t.a AS lat FROM truth t LEFT JOIN al ON al.zone=t.zone AND al.t_s BETWEEN t.a AND t.b + 180 GROUP BY t.zone, t.event_id, t.a),
 l AS (SELECT zone, lat, row_number() OVER (PARTITION BY zone ORDER BY lat) - 1 AS i, count(*) OVER (PARTITION BY zone) AS n
   FROM f WHERE lat IS NOT NULL),
 r AS (SELECT zone, count(*) AS n_events, count(lat) AS n_hit, max(lat) AS worst_s FROM f GROUP BY zone),
