@@ -85,3 +85,10 @@ def has_hot_group(df: DataFrame, by: list[str], limit: int | None = None) -> boo
     if size is not None and size <= 16 * limit:
         return False
     return largest_group(df, by) > limit
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Broadcast a written side once its row count is known to be small; else leave the
+    choice of join to Spark. For sides whose rows have a bounded size."""
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept

@@ -128,3 +128,24 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         d.alias("image_id"), source.alias("source"), name.alias("file_name"), "lang", "n_chars")
 
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> dense small pictures: a frame per zone and three days, hour x user lane."""
+    o = observations(spark, sf_dir)
+    return (o.groupBy("zone", F.floor(F.col("t_us") / 259_200_000_000).cast("int").alias("scan_no"),
+                      (F.floor(F.col("t_us") / 3_600_000_000) % 24).cast("int").alias("row"),
+                      (F.col("user_id") % 8).cast("int").alias("col"))
+            .agg(F.least(F.lit(255), F.floor(F.max("value") * 2)).cast("int").alias("gray")))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings -> 8 x 8 gray frames of four cameras, 30 s apart."""
+    gray = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(
+        F.lit(255.0), 128 + 400 * v.cast("double"))).cast("int"))
+    data = F.unhex(F.array_join(F.transform(gray, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
+    scan = F.floor(F.col("vec_id") / 4)
+    return table(spark, sf_dir, "embeddings").select(
+        (F.col("vec_id") % 4).cast("string").alias("camera_id"), scan.alias("scan_no"),
+        F.timestamp_seconds(scan * 30).alias("ts"), F.lit(8).alias("width"), F.lit(8).alias("height"),
+        F.lit(1).alias("channels"), data.alias("data"))
