@@ -116,12 +116,12 @@ class Ordered:
             F.max_by(F.struct(*[e.alias(n) for n, e in exprs.items()]),
                      F.struct(*self.order)).alias("_last"))
         across = Window.partitionBy(*self.by).orderBy(SLICE)
-        carry = last.select(*self._keys, F.lag("_last").over(across).alias("_prev"))
+        carry = last.select(*self._keys, F.lag("_last").over(across).alias("_before"))
         df = join_back(df.withColumn("_pos", F.row_number().over(w)), carry, self._keys)
         first = F.col("_pos") == 1
-        df = df.withColumns({n: F.when(first, F.col("_prev")[n]).otherwise(F.col(n))
+        df = df.withColumns({n: F.when(first, F.col("_before")[n]).otherwise(F.col(n))
                              for n in exprs})
-        return self._with(df.drop("_pos", "_prev"))
+        return self._with(df.drop("_pos", "_before"))
 
     def tail(self, exprs: dict[str, tuple[str, Column]], m: int) -> "Ordered":
         """Aggregates over the last m rows, the current one included."""
