@@ -84,7 +84,7 @@ run AS (
   LATERAL (SELECT list_append(run.h, s.changed)[-3:] AS h) x)
 SELECT event_id, fired FROM run""")
 def confirm_clear_fsm(spark, sf):
-    o = B.observations(spark, sf).withColumnRenamed("changed", "present")
+    o = B.observations(spark, sf).select(*CELL, *TIME, F.col("changed").alias("present"))
     return gates.confirm_and_clear(o, 2, 3, CELL, TIME).select("event_id", "fired")
 
 
@@ -101,13 +101,13 @@ run AS (
 
 @query("cooldown_dedup", _SPACED.format(obs=OBS, gap=3_600_000_000) + "SELECT event_id, passed FROM run")
 def cooldown_dedup(spark, sf):
-    return gates.cooldown(B.observations(spark, sf), 3600, ["zone"], TIME).select("event_id", "passed")
+    return gates.cooldown(B.observations(spark, sf).select("zone", *TIME), 3600, ["zone"], TIME).select("event_id", "passed")
 
 
 @query("interval_sampler", _SPACED.format(obs=OBS, gap=7_200_000_000 - 1)
        + "SELECT zone, event_id FROM run WHERE passed")
 def interval_sampler(spark, sf):
-    return gates.sample_interval(B.observations(spark, sf), 7200, ["zone"], TIME).select("zone", "event_id")
+    return gates.sample_interval(B.observations(spark, sf).select("zone", *TIME), 7200, ["zone"], TIME).select("zone", "event_id")
 
 
 @query("stride_sampler", f"""WITH {OBS}, r AS (
@@ -156,7 +156,7 @@ run AS (
 @query("clutter_mask_fsm", _CLUTTER + """SELECT event_id, total, litter, streak AS clean_streak, muted
 FROM run WHERE rn > 0""")
 def clutter_mask_fsm(spark, sf):
-    out = gates.clutter_mask(B.observations(spark, sf), CELL, TIME, dirty="changed", min_scans=5,
+    out = gates.clutter_mask(B.observations(spark, sf).select(*CELL, *TIME, "changed"), CELL, TIME, dirty="changed", min_scans=5,
                              mute_ratio=0.6, unmute_after=2)
     return out.select("event_id", "total", "litter", "clean_streak", "muted")
 
@@ -166,7 +166,7 @@ def clutter_mask_fsm(spark, sf):
 SELECT zone, count(*) FILTER (muted) AS n_muted, least(1.0::DOUBLE, max(total) / 5.0::DOUBLE) AS progress
 FROM last GROUP BY zone""")
 def mask_status(spark, sf):
-    rows = gates.clutter_mask(B.observations(spark, sf), CELL, TIME, dirty="changed", min_scans=5,
+    rows = gates.clutter_mask(B.observations(spark, sf).select(*CELL, *TIME, "changed"), CELL, TIME, dirty="changed", min_scans=5,
                               mute_ratio=0.6, unmute_after=2)
     last = rows.groupBy(*CELL).agg(F.max_by(F.struct("total", "muted"), F.struct(*TIME)).alias("s"))
     return last.groupBy("zone").agg(F.count_if("s.muted").alias("n_muted"),

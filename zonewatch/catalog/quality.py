@@ -14,6 +14,7 @@ from zonewatch.operators import sampling as S
 from zonewatch.operators import tiling as TL
 from zonewatch.plans import dataset as D
 from zonewatch.plans import evaluation as E
+from zonewatch.session import materialize
 from zonewatch.sources import bindings as B
 
 CORNERS = ["x1", "y1", "x2", "y2"]
@@ -119,7 +120,7 @@ curve AS (SELECT model, conf, n_hit, n_gt, coalesce(n_box,0) AS n_box, greatest(
 
 def _curve(spark, sf):
     gt = S.sweep(B.truth_boxes(spark, sf), [{"model": m} for m in ("A", "N", "R")])
-    det = B.boxes(spark, sf).select("image", *CORNERS, "model", "score").distinct()
+    det = materialize(B.boxes(spark, sf).select("image", *CORNERS, "model", "score").distinct())
     best = E.best_scores(gt, det, ["image", "model"], CORNERS)
     has_gt = B.truth_boxes(spark, sf).select("image").distinct()
     clean = det.join(has_gt, "image", "left_anti").withColumnRenamed("image", "frame")

@@ -8,6 +8,7 @@ from zonewatch.catalog.base import LOG, OBS, query
 from zonewatch.functions import grading
 from zonewatch.operators import sampling as S
 from zonewatch.plans import calibrate, runlog
+from zonewatch.session import materialize
 from zonewatch.sources import bindings as B
 
 BY = ["zone"]
@@ -75,7 +76,7 @@ z AS (SELECT zone, n_events, n_hit, worst_s, (SELECT max(lat) FROM l WHERE l.zon
   FROM r LEFT JOIN v USING (zone) LEFT JOIN c USING (zone))
 SELECT *, {VERDICT.format(r='false_per_day')} AS verdict FROM z""")
 def event_recall_latency(spark, sf):
-    return runlog.event_recall(B.scan_log(spark, sf), _truth(spark, sf), BY)
+    return runlog.event_recall(materialize(B.scan_log(spark, sf)), _truth(spark, sf), BY)
 
 
 @query("post_warm_rate", f"""WITH {LOG}, w AS (SELECT zone, min(t_s) FILTER (mask_progress >= 1.0) AS warm, min(t_s) AS t0,

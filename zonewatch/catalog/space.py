@@ -271,9 +271,9 @@ v AS (SELECT image, tile_no, bool_or(frac > 0.10 AND frac < 0.60) AS cut, count(
 
 
 def _labelled(spark, sf):
-    boxes = B.boxes(spark, sf).select("image", *CORNERS).distinct()
-    tiles = TL.image_tiles(_images(spark, sf), 320, 0.5).drop("width", "height")
-    return TL.label_tiles(tiles, boxes, ["image"], 320)
+    images = _images(spark, sf)
+    boxes = B.boxes(spark, sf).select("image", *CORNERS).distinct().join(images, "image")
+    return TL.label_tiles(images, boxes, ["image"], 320, 0.5)
 
 
 @query("tile_labels", f"""WITH {LABELLED} SELECT p.image, p.tile_no, greatest(x1,tx)-tx AS x1, greatest(y1,ty)-ty AS y1,

@@ -57,22 +57,33 @@ def poly_to_px(points: Column, w: Column | int, h: Column | int) -> Column:
         F.bround(p[0] * w).cast("int"), F.bround(p[1] * h).cast("int")))
 
 
+UNROLLED = 8  # polygons up to this many vertices are tested without array lambdas
+
+
+def _crossing(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Whether the edge a-b lies right of the point at its height."""
+    ax, ay = a[0].cast("double"), a[1].cast("double")
+    bx, by = b[0].cast("double"), b[1].cast("double")
+    # the division is only reached where the edge spans y, so its height is not 0
+    meets = x < (bx - ax) * (y - ay) / F.nullif(by - ay, F.lit(0.0)) + ax
+    return F.when((ay > y) != (by > y), meets).otherwise(F.lit(False))
+
+
 def point_in_polygon(x: Column, y: Column, poly: Column) -> Column:
-    """Even-odd rule over the edges; fewer than three vertices contain nothing."""
-    nxt = F.concat(F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0))), F.slice(poly, 1, 1))
-    edges = F.arrays_zip(poly.alias("a"), nxt.alias("b"))
-
-    def crosses(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        ax, ay = a[0].cast("double"), a[1].cast("double")
-        bx, by = b[0].cast("double"), b[1].cast("double")
-        spans = (ay > y) != (by > y)
-        # the division is only reached where the edge spans y, so its height is not 0
-        return F.when(spans, x < (bx - ax) * (y - ay) / F.nullif(by - ay, F.lit(0.0)) + ax) \
-            .otherwise(F.lit(False))
-
-    odd = F.aggregate(edges, F.lit(False), lambda inside, e: inside != crosses(e))
-    return F.when(F.size(poly) < 3, F.lit(False)).otherwise(odd)
+    """Even-odd rule over the edges; fewer than three vertices contain nothing.
+
+    Small polygons are a flat expression, which Spark compiles; only larger ones need a
+    lambda over their edges.
+    """
+    n = F.size(poly)
+    flat = F.lit(False)
+    for i in range(UNROLLED):
+        nxt = F.get(poly, F.when(n == i + 1, F.lit(0)).otherwise(F.lit(i + 1)))
+        flat = flat != F.when(n > i, _crossing(F.get(poly, F.lit(i)), nxt, x, y)).otherwise(F.lit(False))
+    turned = F.concat(F.slice(poly, 2, F.greatest(n - 1, F.lit(0))), F.slice(poly, 1, 1))
+    edges = F.arrays_zip(poly.alias("a"), turned.alias("b"))
+    folded = F.aggregate(edges, F.lit(False), lambda inside, e: inside != _crossing(e["a"], e["b"], x, y))
+    return F.when(n < 3, F.lit(False)).when(n <= UNROLLED, flat).otherwise(folded)
 
 
 def polygon_bbox(poly: Column) -> Box:

@@ -12,28 +12,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewatch.functions import geometry as G
-from zonewatch.session import materialize
+from zonewatch.session import largest_group, materialize
 
 BUCKET = 128
+CROWDED = 1_000  # boxes of one key that may meet each other without buckets
 
 
-def _bucket(v: Column, size: int) -> Column:
-    return F.floor(v / size)
+def bucket_size(*sides: DataFrame, by: list[str], size: int = BUCKET) -> int | None:
+    """None (join on the key alone) while every key is small; otherwise the bucket size."""
+    return size if any(largest_group(s, by) > CROWDED for s in sides) else None
 
 
-def in_buckets(df: DataFrame, b: G.Box, size: int = BUCKET) -> DataFrame:
+def _bucket(v: Column, size: int | None) -> Column:
+    return F.lit(0).cast("bigint") if size is None else F.floor(v / size)
+
+
+def in_buckets(df: DataFrame, b: G.Box, size: int | None = BUCKET) -> DataFrame:
     """One row per bucket the box touches."""
+    if size is None:
+        return df.withColumns({"_bx": _bucket(b.x1, None), "_by": _bucket(b.y1, None)})
     return (df.withColumn("_bx", F.explode(F.sequence(_bucket(b.x1, size), _bucket(b.x2, size))))
             .withColumn("_by", F.explode(F.sequence(_bucket(b.y1, size), _bucket(b.y2, size)))))
 
 
-def at_point(df: DataFrame, x: Column, y: Column, size: int = BUCKET) -> DataFrame:
+def at_point(df: DataFrame, x: Column, y: Column, size: int | None = BUCKET) -> DataFrame:
     return df.withColumns({"_bx": _bucket(x, size), "_by": _bucket(y, size)})
 
 
 def spatial_join(left: DataFrame, right: DataFrame, by: list[str],
                  predicate: Callable[[G.Box, G.Box], Column], lp: str = "", rp: str = "r_",
-                 size: int = BUCKET) -> DataFrame:
+                 size: int | None = BUCKET) -> DataFrame:
     """Pairs of touching boxes of one key that satisfy the predicate, each pair once.
 
     A pair is reported from the bucket of its intersection's lower corner only.
@@ -47,7 +55,7 @@ def spatial_join(left: DataFrame, right: DataFrame, by: list[str],
 
 def touched(left: DataFrame, right: DataFrame, by: list[str], ids: list[str],
             predicate: Callable[[G.Box, G.Box], Column], lp: str = "", rp: str = "r_",
-            size: int = BUCKET) -> DataFrame:
+            size: int | None = BUCKET) -> DataFrame:
     """Left rows for which some right box of the same key satisfies the predicate."""
     a, b = G.box(lp), G.box(rp)
     lk, rk = in_buckets(left, a, size).alias("l"), in_buckets(right, b, size).alias("r")
@@ -55,7 +63,8 @@ def touched(left: DataFrame, right: DataFrame, by: list[str], ids: list[str],
     cond = predicate(a, b)
     for k in keys:
         cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    return lk.join(rk, cond, "left_semi").drop("_bx", "_by").dropDuplicates([*by, *ids])
+    found = lk.join(rk, cond, "left_semi").drop("_bx", "_by")
+    return found if size is None else found.dropDuplicates([*by, *ids])
 
 
 def with_flag(df: DataFrame, subset: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -70,8 +79,9 @@ def iou_pairs(boxes: DataFrame, by: list[str], ids: list[str], thr: float) -> Da
                         *G.box().named("l_"))
     right = boxes.select(*by, *[F.col(c).alias(f"b_{c}") for c in ids], *G.box().named("r_"))
     first = F.struct(*[f"a_{c}" for c in ids]) < F.struct(*[f"b_{c}" for c in ids])
+    size = bucket_size(boxes, by=by)
     return (spatial_join(left, right, by, lambda a, b: G.intersects(a, b) & first
-                         & (G.iou(a, b) > thr), "l_", "r_")
+                         & (G.iou(a, b) > thr), "l_", "r_", size)
             .withColumn("iou", G.iou(G.box("l_"), G.box("r_"))))
 
 
@@ -83,14 +93,15 @@ def nms(boxes: DataFrame, by: list[str], iou_thr: float = 0.5, score: str = "sco
     those under them dropped. Rank: score, then the corners; identical boxes count once.
     """
     corner = ["x1", "y1", "x2", "y2"]
-    boxes = boxes.dropDuplicates([*by, *corner, score])
+    boxes = materialize(boxes.dropDuplicates([*by, *corner, score]))
+    size = bucket_size(boxes, by=by)
     rank = F.struct((-F.col(score)).alias("s"), *corner)
     ranked = boxes.select(*by, rank.alias("id"), *corner)
     left = ranked.select(*by, F.col("id").alias("hi"), *G.box().named("l_"))
     right = ranked.select(*by, F.col("id").alias("lo"), *G.box().named("r_"))
     edges = materialize(
         spatial_join(left, right, by, lambda a, b: G.intersects(a, b)
-                     & (F.col("hi") < F.col("lo")) & (G.iou(a, b) > iou_thr), "l_", "r_")
+                     & (F.col("hi") < F.col("lo")) & (G.iou(a, b) > iou_thr), "l_", "r_", size)
         .select(*by, "hi", "lo"))
     gone = None
     while edges.limit(1).count():
@@ -112,17 +123,18 @@ def matched_gt(gt: DataFrame, det: DataFrame, by: list[str], ids: list[str],
                mode: str = "center", iou_thr: float = 0.3) -> DataFrame:
     """Ground-truth boxes hit by at least one detection of the same image."""
     det = det.select(*by, *G.box().named("r_"))
+    size = bucket_size(gt, det, by=by)
     if mode == "center":
         # a centre lies in exactly one bucket, so only the truth side is spread
         r = G.box("r_")
-        points = at_point(det, r.cx, r.cy).alias("d")
-        truth = in_buckets(gt, G.box()).alias("g")
+        points = at_point(det, r.cx, r.cy, size).alias("d")
+        truth = in_buckets(gt, G.box(), size).alias("g")
         cond = G.center_in(r, G.box())
         for k in [*by, "_bx", "_by"]:
             cond = cond & (F.col(f"g.{k}") == F.col(f"d.{k}"))
         found = truth.join(points, cond, "left_semi").drop("_bx", "_by")
-        return found.dropDuplicates([*by, *ids])
-    return touched(gt, det, by, ids, lambda g, d: G.hit(d, g, mode, iou_thr))
+        return found if size is None else found.dropDuplicates([*by, *ids])
+    return touched(gt, det, by, ids, lambda g, d: G.hit(d, g, mode, iou_thr), size=size)
 
 
 def match_gt(gt: DataFrame, det: DataFrame, by: list[str], ids: list[str],

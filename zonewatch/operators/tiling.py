@@ -37,32 +37,52 @@ def zone_tiles(zones: DataFrame, tile: int, overlap: float, upscale: float = 2.0
     return out.withColumn("scale", scale)
 
 
-def box_in_tile(boxes: DataFrame, tiles: DataFrame, by: list[str], tile: int) -> DataFrame:
-    """Boxes meeting tiles, with the share of the box inside the tile."""
-    right = tiles.select(*by, "tile_no", *G.box().named("r_"))
-    b, t = G.box(), G.box("r_")
-    pairs = spatial_join(boxes, right, by, G.intersects, "", "r_", tile)
-    return pairs.withColumn("frac", G.intersection_area(b, t) / F.greatest(F.lit(1e-9), b.area))
+def box_in_tile(boxes: DataFrame, tile: int, overlap: float) -> DataFrame:
+    """Boxes with every tile of their image they meet, and the share of the box inside it.
 
+    `boxes` carries its image's width and height. The tiles of an image are an arithmetic
+    lattice, so each box lists its own tiles: nothing is joined.
+    """
+    step = max(1, int(tile * (1.0 - overlap)))
+    b = G.box()
 
-def label_tiles(tiles: DataFrame, boxes: DataFrame, by: list[str], tile: int,
+    def meeting(size: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+        starts = G.axis_positions(F.lit(0), size, F.lit(tile), F.lit(step))
+        numbered = F.transform(starts, lambda v, i: F.struct(v.alias("at"), i.alias("no")))
+        met = F.filter(numbered, lambda s: (s["at"] < hi) & (F.least(s["at"] + tile, size) > lo))
+        return met, F.size(starts)
+
+    xs, nx = meeting(F.col("width"), b.x1, b.x2)
+    ys, _ = meeting(F.col("height"), b.y1, b.y2)
+    out = (boxes.withColumns({"_xs": xs, "_nx": nx, "_y": ys}).withColumn("_y", F.explode("_y"))
+           .withColumn("_x", F.explode("_xs")))
+    out = out.withColumns({
+        "tile_no": F.col("_y.no") * F.col("_nx") + F.col("_x.no"),
+        "r_x1": F.col("_x.at"), "r_y1": F.col("_y.at"),
+        "r_x2": F.least(F.col("width"), F.col("_x.at") + tile),
+        "r_y2": F.least(F.col("height"), F.col("_y.at") + tile)}).drop("_xs", "_nx", "_x", "_y")
+    return out.withColumn("frac", G.intersection_area(b, G.box("r_")) / F.greatest(F.lit(1e-9), b.area))
+
+
+def label_tiles(images: DataFrame, boxes: DataFrame, by: list[str], tile: int, overlap: float,
                 keep: float = KEEP_IN, drop: float = DROP_IN) -> tuple[DataFrame, DataFrame]:
     """(tiles with n_labels, their clipped labels in tile coordinates).
 
-    A tile that cuts through any box (share strictly between drop and keep) is left out
-    whole; a smaller overlap is ignored; a tile without labels stays as an empty one.
+    `boxes` carries width and height. A tile that cuts through any box (share strictly
+    between drop and keep) is left out whole; a smaller overlap is ignored; a tile without
+    labels stays as an empty one.
     """
-    part = box_in_tile(boxes, tiles, by, tile)
+    part = box_in_tile(boxes, tile, overlap)
     full = F.col("frac") >= keep
     cut = (F.col("frac") > drop) & ~full
     verdict = part.groupBy(*by, "tile_no").agg(F.bool_or(cut).alias("_cut"),
                                                F.count_if(full).alias("n_labels"))
-    kept = (tiles.join(verdict, [*by, "tile_no"], "left")
+    kept = (image_tiles(images, tile, overlap).join(verdict, [*by, "tile_no"], "left")
             .filter(~F.coalesce("_cut", F.lit(False))).drop("_cut")
             .withColumn("n_labels", F.coalesce("n_labels", F.lit(0).cast("bigint"))))
     b, t = G.box(), G.box("r_")
-    labels = (part.filter(full).join(verdict.filter("_cut").select(*by, "tile_no"),
-                                     [*by, "tile_no"], "left_anti")
+    # only tiles with a cut are looked up, and they exclude their labels
+    labels = (part.filter(full).join(verdict.filter("_cut").select(*by, "tile_no"), [*by, "tile_no"], "left_anti")
               .select(*by, "tile_no",
                       (F.greatest(b.x1, t.x1) - t.x1).alias("x1"), (F.greatest(b.y1, t.y1) - t.y1).alias("y1"),
                       (F.least(b.x2, t.x2) - t.x1).alias("x2"), (F.least(b.y2, t.y2) - t.y1).alias("y2")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from zonewatch.functions import geometry as G
 from zonewatch.functions.grading import band
+from zonewatch.operators.boxes import at_point, bucket_size, in_buckets
 
 
 def long_side() -> Column:
@@ -126,10 +127,10 @@ def detector_summary(det: DataFrame, by: list[str]) -> DataFrame:
 
 def best_scores(gt: DataFrame, det: DataFrame, by: list[str], ids: list[str]) -> DataFrame:
     """Each truth with the best score of the detections centred in it (NULL if none)."""
-    from zonewatch.operators.boxes import at_point, in_buckets
+    size = bucket_size(gt, det, by=by)
     r = det.select(*by, "score", *G.box().named("r_"))
-    d = at_point(r, G.box("r_").cx, G.box("r_").cy)
-    g = in_buckets(gt, G.box())
+    d = at_point(r, G.box("r_").cx, G.box("r_").cy, size)
+    g = in_buckets(gt, G.box(), size)
     best = (g.join(d, [*by, "_bx", "_by"]).filter(G.center_in(G.box("r_"), G.box()))
             .groupBy(*by, *ids).agg(F.max("score").alias("best_score")))
     return gt.join(best, [*by, *ids], "left")
