@@ -25,9 +25,10 @@ def run(spark, fn, sf: str) -> float:
 
 def main() -> None:
     from zonewatch.catalog import QUERIES
-    from zonewatch.catalog.scans import PARAMS, zone_scans
-    from zonewatch.operators.zone_scan import scan_batch
+    from zonewatch.catalog.scans import PARAMS
+    from zonewatch.operators.zone_scan import pack_scans, scan_batch
     from zonewatch.session import local_session, materialize
+    from zonewatch.sources.bindings import table as read_table
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -39,11 +40,15 @@ def main() -> None:
         times[name] = run(spark, QUERIES[name], sf)
         print(f"{name:28s} {times[name]:8.3f}", file=sys.stderr, flush=True)
 
-    # rate of the stateful job: the stored scans, repeated as further cameras
-    scans = zone_scans(spark, sf)
-    copies = int(os.environ.get("BENCH_CAMERAS", "64"))
-    many = materialize(scans.selectExpr("*", f"explode(sequence(1, {copies})) AS k")
-                       .selectExpr("concat(camera_id, '-', k) AS camera_id", "* except (camera_id, k)"))
+    # rate of the stateful job: stored vectors as scans of 200 cells, repeated as further cameras
+    copies = int(os.environ.get("BENCH_CAMERAS", "400"))
+    cells = read_table(spark, sf, "embeddings").selectExpr(
+        "'z0' AS zone_id", "'g' AS sig", "vec_id div 200 AS scan_no", "(vec_id div 200) * 30.0D AS t_s",
+        "CAST(vec_id % 200 div 20 AS INT) AS row", "CAST(vec_id % 20 AS INT) AS col", "embedding AS desc",
+        "true AS visible", "embedding[1] < 0.05 AS det_hit", "false AS sweep_hit")
+    packed = pack_scans(cells, ["zone_id", "sig", "scan_no", "t_s"])
+    many = materialize(packed.selectExpr(f"explode(sequence(1, {copies})) AS k", "*")
+                       .selectExpr("CAST(k AS STRING) AS camera_id", "* except (k)").repartition(int(cpus), "camera_id"))
     n = many.selectExpr("count(*) AS scans", "sum(size(rows)) AS cells").first()
     rate = run(spark, lambda s, _: scan_batch(many, PARAMS), sf)
     print(json.dumps({

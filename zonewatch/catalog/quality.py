@@ -119,10 +119,11 @@ curve AS (SELECT model, conf, n_hit, n_gt, coalesce(n_box,0) AS n_box, greatest(
 
 
 def _curve(spark, sf):
-    gt = S.sweep(B.truth_boxes(spark, sf), [{"model": m} for m in ("A", "N", "R")])
+    truth = materialize(B.truth_boxes(spark, sf))
+    gt = S.sweep(truth, [{"model": m} for m in ("A", "N", "R")])
     det = materialize(B.boxes(spark, sf).select("image", *CORNERS, "model", "score").distinct())
     best = E.best_scores(gt, det, ["image", "model"], CORNERS)
-    has_gt = B.truth_boxes(spark, sf).select("image").distinct()
+    has_gt = truth.select("image").distinct()
     clean = det.join(has_gt, "image", "left_anti").withColumnRenamed("image", "frame")
     return E.threshold_curve(best, det.join(has_gt, "image", "left_semi"), clean, CONFS, ["model"])
 

@@ -9,6 +9,7 @@ from zonewatch.functions import geometry as G
 from zonewatch.functions.keys import hash_order, hash_uniform
 from zonewatch.operators.boxes import spatial_join
 from zonewatch.operators.clusters import explode_tiles
+from zonewatch.session import materialize
 
 KEEP_IN, DROP_IN = 0.60, 0.10  # fixed: share of a box inside a tile
 
@@ -46,21 +47,25 @@ def box_in_tile(boxes: DataFrame, tile: int, overlap: float) -> DataFrame:
     step = max(1, int(tile * (1.0 - overlap)))
     b = G.box()
 
-    def meeting(size: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
-        starts = G.axis_positions(F.lit(0), size, F.lit(tile), F.lit(step))
-        numbered = F.transform(starts, lambda v, i: F.struct(v.alias("at"), i.alias("no")))
-        met = F.filter(numbered, lambda s: (s["at"] < hi) & (F.least(s["at"] + tile, size) > lo))
-        return met, F.size(starts)
-
-    xs, nx = meeting(F.col("width"), b.x1, b.x2)
-    ys, _ = meeting(F.col("height"), b.y1, b.y2)
-    out = (boxes.withColumns({"_xs": xs, "_nx": nx, "_y": ys}).withColumn("_y", F.explode("_y"))
-           .withColumn("_x", F.explode("_xs")))
-    out = out.withColumns({
-        "tile_no": F.col("_y.no") * F.col("_nx") + F.col("_x.no"),
-        "r_x1": F.col("_x.at"), "r_y1": F.col("_y.at"),
-        "r_x2": F.least(F.col("width"), F.col("_x.at") + tile),
-        "r_y2": F.least(F.col("height"), F.col("_y.at") + tile)}).drop("_xs", "_nx", "_x", "_y")
+    def meeting(size: Column, lo: Column, hi: Column) -> tuple[Column, Column, Column]:
+        """(numbers of the tiles met, start of tile `n`, how many there are) on one axis."""
+        regular = F.floor(F.greatest(size - tile, F.lit(0)) / step) + 1
+        end = F.greatest(size - tile, F.lit(0))
+        flush = (regular - 1) * step < end
+        first = F.greatest(F.lit(0), F.floor((lo - tile) / step) + 1)
+        last = F.least(regular - 1, F.ceil(hi / step) - 1)
+        none = F.array().cast("array<bigint>")
+        numbers = F.when((first <= last) & (lo < size) & (hi > 0), F.sequence(first, last)).otherwise(none)
+        extra = F.when(flush & (end < hi) & (size > lo), F.array(regular)).otherwise(none)
+        return F.concat(numbers, extra), end, regular + flush.cast("int")
+
+    xs, xend, nx = meeting(F.col("width"), b.x1, b.x2)
+    ys, yend, _ = meeting(F.col("height"), b.y1, b.y2)
+    out = boxes.withColumns({"_xs": xs, "_iy": ys}).withColumn("_iy", F.explode("_iy")).withColumn("_ix", F.explode("_xs"))
+    out = out.withColumns({"tile_no": (F.col("_iy") * nx + F.col("_ix")).cast("int"),
+                           "r_x1": F.least(F.col("_ix") * step, xend), "r_y1": F.least(F.col("_iy") * step, yend)})
+    out = out.withColumns({"r_x2": F.least(F.col("width"), F.col("r_x1") + tile),
+                           "r_y2": F.least(F.col("height"), F.col("r_y1") + tile)}).drop("_xs", "_ix", "_iy")
     return out.withColumn("frac", G.intersection_area(b, G.box("r_")) / F.greatest(F.lit(1e-9), b.area))
 
 
@@ -72,9 +77,11 @@ def label_tiles(images: DataFrame, boxes: DataFrame, by: list[str], tile: int, o
     between drop and keep) is left out whole; a smaller overlap is ignored; a tile without
     labels stays as an empty one.
     """
-    part = box_in_tile(boxes, tile, overlap)
+    # read by the verdict, the tiles and the labels: worked out once
+    part = materialize(box_in_tile(boxes, tile, overlap).filter(F.col("frac") > drop)
+                       .select(*by, "tile_no", *G.box(), *G.box("r_"), "frac"))
     full = F.col("frac") >= keep
-    cut = (F.col("frac") > drop) & ~full
+    cut = ~full
     verdict = part.groupBy(*by, "tile_no").agg(F.bool_or(cut).alias("_cut"),
                                                F.count_if(full).alias("n_labels"))
     kept = (image_tiles(images, tile, overlap).join(verdict, [*by, "tile_no"], "left")

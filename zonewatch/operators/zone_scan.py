@@ -20,6 +20,8 @@ from zonewatch.operators.replay import replay
 from zonewatch.params import ScanParams
 
 KEY = ["camera_id", "zone_id"]
+_EMPTY = {f.name: {"boolean": False, "double": 0.0}.get(f.dataType.typeName(), 0)
+          for f in schemas.SCAN_RESULT.fields}
 COUNTERS = ("run", "total", "litter", "streak", "reject", "sweep")
 FLAGS = ("known", "muted")
 
@@ -191,10 +193,7 @@ def _classifier(s, at, ids, desc, score, changed, row, res, p) -> np.ndarray:
 
 def zone_step(state: dict | None, row: dict, p: ScanParams) -> tuple[dict | None, dict]:
     """One scan: (state, input row) -> (state, result row)."""
-    res = {f.name: None for f in schemas.SCAN_RESULT.fields}
-    res.update({n: 0 for n in res if n.startswith("n_") or n == "max_run"})
-    res.update({f.name: False for f in schemas.SCAN_RESULT.fields if f.dataType.typeName() == "boolean"})
-    res.update(mask_progress=0.0, max_change=0.0, hot_rows=[], hot_cols=[])
+    res = {**_EMPTY, "hot_rows": [], "hot_cols": []}
     t, order = float(row["t_s"]), row["control"]
     if order == "remove":
         return None, res
