@@ -12,7 +12,8 @@ from zonewatch.session import DEFAULT_HOT_ROWS, HOT_ROWS_CONF, local_session  #
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("4", "tests")
-    s.conf.set("spark.sql.shuffle.partitions", "4")
+    s.conf.set("spark.sql.shuffle.partitions", "2")
+    s.conf.set("spark.sql.adaptive.enabled", "false")  # tiny inputs: fewer stages
     return s
 
 

@@ -34,8 +34,9 @@ def test_grid_signature_matches_sha1_and_follows_every_input(spark):
 
 
 def test_small_zone_and_too_few_points(spark):
-    corner = [[0.0, 0.0], [20 / 640, 0.0], [20 / 640, 20 / 480], [0.0, 20 / 480]]
-    assert GR.build_grid(zones(spark, corner, 640, 480), 64, 0.5).count() == 1
+    corner = [[0.0, 0.0], [70 / 640, 0.0], [70 / 640, 60 / 480], [0.0, 60 / 480]]
+    assert [(c.row, c.col, c.x1) for c in GR.build_grid(zones(spark, corner, 640, 480), 64, 0.5).collect()] == [
+        (0, 0, 0), (0, 1, 6)]
     with pytest.raises(Exception, match="3 points"):
         GR.build_grid(zones(spark, RECT[:2], 640, 480), 64, 0.5).collect()
 
@@ -48,7 +49,7 @@ def even_odd(x, y, poly):
     return inside
 
 
-@pytest.mark.parametrize("n", [3, 4, 6, 8, 9, 15])
+@pytest.mark.parametrize("n", [3, 8, 15])
 def test_points_in_polygons_of_any_size(spark, n):
     rng = random.Random(n)
     poly = [[rng.randint(0, 100), rng.randint(0, 100)] for _ in range(n)]
