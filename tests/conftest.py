@@ -19,7 +19,7 @@ def spark():
 
 @pytest.fixture
 def hot(spark):
-    """Treat keys of more than 25 rows as hot, so that the sliced plans run."""
-    spark.conf.set(HOT_ROWS_CONF, "25")
-    yield 25
+    """Treat keys of more than 60 rows as hot, so that the sliced plans run."""
+    spark.conf.set(HOT_ROWS_CONF, "60")
+    yield 60
     spark.conf.set(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS))
