@@ -1,4 +1,4 @@
-from zonewatch.catalog import gates, pictures, quality, reports, scans, space  # noqa: F401
+from zonewatch.catalog import gates, more, pictures, quality, reports, scans, space  # noqa: F401
 from zonewatch.catalog.base import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

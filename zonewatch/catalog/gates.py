@@ -221,10 +221,11 @@ def drift_warnings(spark, sf):
     return out.select("zone", "scan_no", "drift_run", "warn")
 
 
-@query("latch_alerts", f"""WITH RECURSIVE {DAILY}, scans AS (
+@query("latch_alerts", f"""WITH RECURSIVE {DAILY}, rare AS (SELECT DISTINCT zone, CAST(t_us // 86400000000 AS INTEGER) AS day, "row", col FROM obs WHERE value >= 300),
+scans AS (
   SELECT d.zone, d.day, coalesce(list([c."row", c.col]) FILTER (c.zone IS NOT NULL), []) AS hot
   FROM (SELECT DISTINCT zone, CAST(t_us // 86400000000 AS INTEGER) AS day FROM obs) d
-  LEFT JOIN daily c ON c.zone = d.zone AND c.day = d.day AND c.col < 4 GROUP BY d.zone, d.day),
+  LEFT JOIN rare c ON c.zone = d.zone AND c.day = d.day GROUP BY d.zone, d.day),
 seq AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY day) AS rn FROM scans),
 run AS (
   SELECT zone, CAST(0 AS BIGINT) AS rn, 0 AS day, []::INTEGER[][] AS latched, CAST(0 AS BIGINT) AS clean,
@@ -243,9 +244,9 @@ run AS (
      len(s.hot) = 0 AND run.clean + 1 >= 1 AND len(x.grown) > 0 AS rearm) z)
 SELECT zone, day, CAST(n_fresh AS INTEGER) AS n_fresh, alert, escalated, rearmed FROM run WHERE rn > 0""")
 def latch_alerts(spark, sf):
-    days = B.observations(spark, sf).select(
-        "zone", F.floor(F.col("t_us") / 86_400_000_000).cast("int").alias("day")).distinct()
-    hot = (B.daily_cells(spark, sf).filter("col < 4").groupBy("zone", "day")
+    o = B.observations(spark, sf).withColumn("day", F.floor(F.col("t_us") / 86_400_000_000).cast("int"))
+    days = o.select("zone", "day").distinct()
+    hot = (o.filter("value >= 300").select("zone", "day", "row", "col").distinct().groupBy("zone", "day")
            .agg(F.collect_list("row").alias("hot_rows"), F.collect_list("col").alias("hot_cols")))
     none = F.array().cast("array<int>")
     scans = days.join(hot, ["zone", "day"], "left").select(

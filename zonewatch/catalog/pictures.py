@@ -162,30 +162,12 @@ def detect_in_zone(spark, sf):
 
 
 def _hot_cells(spark, sf):
-    cells = GR.build_grid(B.zones(spark, sf)).filter("(row * 7 + col * 3 + camera_id) % 5 < 2")
+    """Grid cells under a confident bottle."""
+    bottles = _table_detections(spark, sf).filter("label = 'bottle' and score >= 0.7")
+    cells = GR.verified_cells(GR.build_grid(B.zones(spark, sf)), bottles, ["camera_id"])
     return cells.withColumns({"frame_w": F.lit(640), "frame_h": F.lit(480)})
 
 
-@query("verify_clusters")
-def verify_clusters(spark, sf):
-    det = DT.TableDetector(_table_detections(spark, sf), 0.2)
-    cells, _ = DT.verify(_hot_cells(spark, sf), det, ["camera_id"], extra_scales=[0.5])
-    return cells.select("camera_id", "row", "col")
-
-
-@query("verify_fine")
-def verify_fine(spark, sf):
-    det = DT.TableDetector(_table_detections(spark, sf), 0.2)
-    return DT.verify_fine(_hot_cells(spark, sf), det, ["camera_id"])[0].select("camera_id", "row", "col")
-
-
-@query("verify_sweep")
-def verify_sweep(spark, sf):
-    det = DT.TableDetector(_table_detections(spark, sf), 0.2)
-    cells = GR.build_grid(B.zones(spark, sf)).withColumns({"frame_w": F.lit(640), "frame_h": F.lit(480)})
-    return DT.sweep_verify(cells, det, ["camera_id"])[0].select("camera_id", "row", "col")
-
-
 @query("alert_sink_rows", f"""WITH {LOG}, hh AS (SELECT zone, t_us // 3600000000 AS scan_no, min(col)*32 AS x1, min("row")*32 AS y1, max(col)*32+64 AS x2, max("row")*32+64 AS y2
    FROM obs WHERE value >= 100 GROUP BY ALL),
 bx AS (SELECT zone, t_us // 3600000000 AS scan_no, col*32 AS x1, "row"*32 AS y1, col*32+64 AS x2, "row"*32+64 AS y2, value/1000.0::DOUBLE AS conf FROM obs WHERE value >= 200),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonewatch.functions import geometry as G
 from zonewatch.functions.grading import band
-from zonewatch.operators.boxes import at_point, in_buckets
+from zonewatch.operators.boxes import at_point, in_buckets, touched, with_flag
 
 
 def long_side() -> Column:
@@ -138,3 +138,32 @@ def best_scores(gt: DataFrame, det: DataFrame, by: list[str], ids: list[str]) ->
 def first_by(df: DataFrame, by: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def recall_by_target(windows: DataFrame, hits: DataFrame, ids: list[str], by: list[str]) -> DataFrame:
+    """Recall at each requested object size, over objects whose window could be cut.
+
+    windows: output of target_window with a `px` column; hits: the truths that were hit.
+    """
+    ok = windows.filter("gx1 is not null")
+    found = hits.select(*ids).withColumn("hit", F.lit(True))
+    return (ok.join(found, ids, "left").groupBy(*by, "px")
+            .agg(F.count(F.lit(1)).alias("n_gt"), F.count_if("hit").alias("n_hit")))
+
+
+def on_person_counts(hot: DataFrame, persons: DataFrame, kept: DataFrame, by: list[str]) -> DataFrame:
+    """Per scan: hot cells centred on a person, elsewhere, and whether the detector
+    vetoed every one of those on a person."""
+    cell = [*by, "row", "col"]
+    on = touched(hot, persons.select(*by, *G.box().named("r_")), by, ["row", "col"], G.center_in)
+    marked = with_flag(with_flag(hot, on, cell, "on_person"), kept, cell, "kept")
+    return marked.groupBy(*by).agg(
+        F.count_if("on_person").alias("n_on"), F.count_if(~F.col("on_person")).alias("n_elsewhere"),
+        ((F.count_if("on_person") > 0) & (F.count_if(F.col("on_person") & F.col("kept")) == 0)).alias("all_vetoed"))
+
+
+def alerts_on_target(alert_cells: DataFrame, events: DataFrame, by: list[str], scan: str = "scan_no") -> DataFrame:
+    """First alert scan whose hot cells meet the event's box, per key."""
+    target = events.select(*by, *G.box().named("r_"))
+    met = touched(alert_cells, target, by, [scan, "row", "col"], G.intersects)
+    return met.groupBy(*by).agg(F.min(scan).alias("first_on_target"))
