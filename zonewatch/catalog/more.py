@@ -90,11 +90,13 @@ def on_person_counts(spark, sf):
     return E.on_person_counts(hot, DT.occluders(det, ["person"]), kept, ["camera_id"])
 
 
-@query("alerts_on_target", f"""WITH {HOT}, ev AS (SELECT camera_id, max(x1) AS x1, max(y1) AS y1, max(x1)+60 AS x2, max(y1)+60 AS y2 FROM td GROUP BY camera_id)
+@query("alerts_on_target", f"""WITH {HOT}, ev AS (SELECT camera_id, avg(x1)-60 AS x1, avg(y1)-60 AS y1, avg(x1)+60 AS x2, avg(y1)+60 AS y2 FROM td GROUP BY camera_id)
 SELECT h.camera_id, min(h."row") AS first_on_target FROM hot h JOIN ev e USING (camera_id) WHERE {touches_sql('h', 'e')} GROUP BY h.camera_id""")
 def alerts_on_target(spark, sf):
-    ev = _table_detections(spark, sf).groupBy("camera_id").agg(F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    ev = ev.withColumns({"x2": F.col("x1") + 60, "y2": F.col("y1") + 60})
+    mid = {c: F.avg(c) for c in ("x1", "y1")}
+    ev = _table_detections(spark, sf).groupBy("camera_id").agg(
+        (mid["x1"] - 60).alias("x1"), (mid["y1"] - 60).alias("y1"),
+        (mid["x1"] + 60).alias("x2"), (mid["y1"] + 60).alias("y2"))
     return E.alerts_on_target(_hot_cells(spark, sf).withColumn("scan_no", F.col("row")), ev, ["camera_id"])
 
 

@@ -159,12 +159,13 @@ def order_statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """
     counted = (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
                .agg(F.count(F.lit(1)).alias("_cnt")))
-    ranged = arrange(counted, by, [value]).running({"hi": ("sum", F.col("_cnt"))}).done()
-    totals = counted.groupBy(*by).agg(F.sum("_cnt").alias("n"))
-    if by:
-        ranged = join_back(ranged, totals, by)
+    line = arrange(counted, by, [value]).running({"hi": ("sum", F.col("_cnt"))})
+    if by and not line.split:  # same partitioning: no further shuffle
+        ranged = line.df.withColumn("n", F.sum("_cnt").over(Window.partitionBy(*by)))
     else:
-        ranged = ranged.crossJoin(F.broadcast(totals))  # exactly one row
+        totals = counted.groupBy(*by).agg(F.sum("_cnt").alias("n"))
+        # without keys the total is exactly one row
+        ranged = join_back(line.done(), totals, by) if by else line.done().crossJoin(F.broadcast(totals))
     return ranged.withColumn("lo", F.col("hi") - F.col("_cnt")).drop("_cnt")
 
 
