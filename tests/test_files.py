@@ -121,3 +121,27 @@ def test_dataset_and_report_sinks(spark, tmp_path):
     z = spark.createDataFrame([("c", "z", [[0.123456, 1.0]])], "camera_id string, zone_id string, points array<array<double>>")
     W.write_zones(z, str(tmp_path / "z"))
     assert spark.read.json(str(tmp_path / "z")).first().points == [[0.1235, 1.0]]
+
+
+def bmp(gray):
+    """A 24-bit bitmap; side lengths are multiples of four, so rows need no padding."""
+    import struct
+    h, w = gray.shape
+    body = np.repeat(gray[::-1, :, None], 3, axis=2).astype(np.uint8).tobytes()
+    head = struct.pack("<2sIHHI", b"BM", 54 + len(body), 0, 0, 54)
+    return head + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
+def test_image_folder_as_frames(spark, tmp_path):
+    pic = np.tile(np.arange(0, 64, dtype=np.uint8), (64, 1))
+    for name, p in (("b.bmp", pic), ("a.bmp", pic + 50)):
+        (tmp_path / name).write_bytes(bmp(p))
+    (tmp_path / "broken.jpg").write_bytes(b"not an image")
+    (tmp_path / "notes.txt").write_text("no")
+    frames = RD.read_frames(spark, str(tmp_path), "cam", 30)
+    rows = frames.orderBy("scan_no").collect()
+    assert [(r.scan_no, r.ts.timestamp(), r.width, r.channels) for r in rows] == [(0, 0.0, 64, 3), (1, 30.0, 64, 3)]
+    thumbs = P.thumbs(frames, 16)
+    first = np.frombuffer(thumbs.orderBy("scan_no").first().thumb, np.float32).reshape(16, 16)
+    assert first[0, 0] == np.rint((pic[:4, :4] + 50).mean()) and first.shape == (16, 16)
+    assert {r.shift_px for r in P.scene_shift(thumbs, ["camera_id"], "scan_no").collect()} >= {0.0}

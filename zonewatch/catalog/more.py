@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonewatch.catalog.base import BOXES, LOG, OBS, center_sql, query, touches_sql
-from zonewatch.catalog.pictures import TDET, _hot_cells, _table_detections
+from zonewatch.catalog.pictures import TDET, _hot_cells, _scan_stream, _table_detections
 from zonewatch.catalog.quality import FILES, _files
 from zonewatch.catalog.scans import SCORE, THR, zone_scans
 from zonewatch.catalog.space import GRID
@@ -22,6 +22,9 @@ from zonewatch.plans import dataset as D
 from zonewatch.plans import evaluation as E
 from zonewatch.plans import runlog
 from zonewatch.sources import bindings as B
+from zonewatch.streaming import run as R
+from zonewatch.streaming import scan as SS
+from zonewatch.streaming import state as ST
 
 CORNERS = ["x1", "y1", "x2", "y2"]
 
@@ -116,7 +119,8 @@ def recall_by_target_px(spark, sf):
     return E.recall_by_target(TL.target_window(sized, F.col("px")), hits, ["image", *CORNERS], ["ds"])
 
 
-@query("zone_change_counts", f"""WITH RECURSIVE c AS (SELECT CAST(vec_id % 4 AS VARCHAR) AS camera_id, label, row_number() OVER (PARTITION BY vec_id % 4, label ORDER BY vec_id) AS scan_no,
+# the change gate of every cell, guard off, hidden scans left out
+GATE = f"""c AS (SELECT CAST(vec_id % 4 AS VARCHAR) AS camera_id, label, row_number() OVER (PARTITION BY vec_id % 4, label ORDER BY vec_id) AS scan_no,
    list_transform(embedding, lambda v: v::DOUBLE) AS d, embedding[1] < 0.25 AS visible FROM embeddings),
 q AS (SELECT *, row_number() OVER (PARTITION BY camera_id, label ORDER BY scan_no) AS rn FROM c WHERE visible),
 run AS (
@@ -125,16 +129,37 @@ run AS (
   SELECT q.camera_id, q.label, q.scan_no, q.rn, CASE WHEN x.s >= {THR} THEN run.ref
       ELSE list_transform(range(1,65), lambda i: 0.95::DOUBLE*run.ref[i] + 0.05::DOUBLE*q.d[i]) END, false,
     x.s >= {THR}, CASE WHEN x.s >= {THR} THEN run.run + 1 ELSE 0 END
-  FROM run JOIN q ON q.camera_id=run.camera_id AND q.label=run.label AND q.rn=run.rn+1, LATERAL (SELECT {SCORE.format(a='q.d', b='run.ref')} AS s) x),
+  FROM run JOIN q ON q.camera_id=run.camera_id AND q.label=run.label AND q.rn=run.rn+1, LATERAL (SELECT {SCORE.format(a='q.d', b='run.ref')} AS s) x)"""
+PLAIN = ScanParams(thr=THR, mode="change_only", dwell=2, guard_frac=2.0, clutter_on=False)
+
+
+@query("zone_change_counts", f"""WITH RECURSIVE {GATE},
 n AS (SELECT camera_id, scan_no, count(*) AS n_cells, count(*) FILTER (NOT visible) AS n_occluded FROM c GROUP BY ALL)
 SELECT n.camera_id, n.scan_no, n.n_cells::INTEGER AS n_cells, n.n_occluded::INTEGER AS n_occluded, count(*) FILTER (first OR changed)::INTEGER AS n_changed,
   count(*) FILTER (run >= 2)::INTEGER AS n_hot FROM n LEFT JOIN run USING (camera_id, scan_no) GROUP BY ALL""")
 def zone_change_counts(spark, sf):
-    p = ScanParams(thr=THR, mode="change_only", dwell=2, guard_frac=2.0, clutter_on=False)
-    out = Z.scan_batch(zone_scans(spark, sf), p)
+    out = Z.scan_batch(zone_scans(spark, sf), PLAIN)
     return out.select("camera_id", "scan_no", "n_cells", "n_occluded", "n_changed", "n_hot")
 
 
+@query("zone_reference_state", f"""WITH RECURSIVE {GATE}, f AS (SELECT camera_id, label, arg_max(ref, rn) AS ref FROM run GROUP BY ALL)
+SELECT camera_id, CAST(label // 5 AS INTEGER) AS "row", CAST(label % 5 AS INTEGER) AS col, ref[1] AS first, ref[64] AS last, list_sum(ref) AS total FROM f""")
+def zone_reference_state(spark, sf):
+    ref = ST.unpack_reference(ST.final_states(zone_scans(spark, sf), PLAIN))
+    return ref.select("camera_id", "row", "col", F.element_at("desc", 1).alias("first"), F.element_at("desc", 64).alias("last"),
+                      F.aggregate("desc", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+@query("stream_change_counts", f"""WITH RECURSIVE {GATE},
+n AS (SELECT camera_id, scan_no, count(*) AS n_cells, count(*) FILTER (NOT visible) AS n_occluded FROM c GROUP BY ALL)
+SELECT n.camera_id, n.scan_no, n.n_occluded::INTEGER AS n_occluded, count(*) FILTER (first OR changed)::INTEGER AS n_changed,
+  count(*) FILTER (run >= 2)::INTEGER AS n_hot FROM n LEFT JOIN run USING (camera_id, scan_no) GROUP BY ALL""")
+def stream_change_counts(spark, sf):
+    """The streaming form of zone_change_counts, over several micro-batches."""
+    out = R.run_available(SS.scan_stream(_scan_stream(spark, sf), PLAIN))
+    return out.select("camera_id", "scan_no", "n_occluded", "n_changed", "n_hot")
+
+
 @query("control_orders", f"""WITH {LOG}, e AS (SELECT zone, t_us, CAST(t_us AS DOUBLE)/1000000.0::DOUBLE AS t, event_id FROM obs WHERE value >= 300),
 p AS (SELECT e.zone, e.t, e.event_id, s.scan_no FROM e ASOF JOIN log s ON e.zone=s.zone AND e.t <= s.t_s)
 SELECT zone, scan_no, arg_max('reset_' || event_id, t) AS control FROM p GROUP BY ALL""")

@@ -101,11 +101,6 @@ def zone_fsm_classifier(spark, sf):
     return Z.scan_batch(zone_scans(spark, sf), p)
 
 
-@query("zone_reference_state")
-def zone_reference_state(spark, sf):
-    return ST.unpack_reference(ST.final_states(zone_scans(spark, sf), PARAMS))
-
-
 @query("zone_clutter_state")
 def zone_clutter_state(spark, sf):
     return ST.unpack_clutter(ST.final_states(zone_scans(spark, sf), PARAMS))
