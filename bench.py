@@ -41,7 +41,7 @@ def main() -> None:
         print(f"{name:28s} {times[name]:8.3f}", file=sys.stderr, flush=True)
 
     # rate of the stateful job: stored vectors as scans of 200 cells, repeated as further cameras
-    copies = int(os.environ.get("BENCH_CAMERAS", "400"))
+    copies = int(os.environ.get("BENCH_CAMERAS", "1200"))
     cells = read_table(spark, sf, "embeddings").selectExpr(
         "'z0' AS zone_id", "'g' AS sig", "vec_id div 200 AS scan_no", "(vec_id div 200) * 30.0D AS t_s",
         "CAST(vec_id % 200 div 20 AS INT) AS row", "CAST(vec_id % 20 AS INT) AS col", "embedding AS desc",

@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from zonewatch.operators import boxes as BX
 from zonewatch.operators import clusters as C

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from zonewatch.catalog.base import BOXES, center_sql, iou_sql, query, touches_sql
+from zonewatch.catalog.base import BOXES, center_sql, query
 from zonewatch.functions import geometry as G
 from zonewatch.functions import keys as K
 from zonewatch.functions.grading import COARSE_BANDS, FRACTION_BANDS, PX_BANDS, usable_negative

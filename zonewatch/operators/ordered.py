@@ -36,10 +36,6 @@ def slices(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return materialize(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
-def _same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def join_back(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
     """Left join that matches NULL keys too and keeps one copy of the key columns."""
     renamed = side.select([F.col(k).alias(f"_k_{k}") for k in keys]

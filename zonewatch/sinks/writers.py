@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewatch.functions import geometry as G
-from zonewatch.session import materialize
 
 
 def write_scan_log(stream: DataFrame, path: str, checkpoint: str, once: bool = False, **options):
@@ -112,8 +111,3 @@ def upsert_status(path: str, by: list[str], order: str = "t_s"):
                     raise
         new.write.mode("overwrite").parquet(f"{path}/v{epoch % 2}")
     return write
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared folder and read it back."""
-    return materialize(df)
