@@ -23,10 +23,20 @@ def stage_input(df: DataFrame, files: int, order: list[str]) -> str:
     return path
 
 
-def run_available(stream: DataFrame) -> DataFrame:
-    """Process everything there is into Parquet, stop, and read it back."""
+def run_available(stream: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Process everything there is into Parquet, stop, and read it back.
+
+    A stream keeps its number of state partitions for life, so it is set here on purpose
+    (default: the cores at hand) and not left to the session's shuffle setting.
+    """
     spark = stream.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/stream-out-{uuid.uuid4().hex}"
-    q = write_scan_log(stream, f"{base}/rows", f"{base}/checkpoint", once=True)
-    q.awaitTermination()
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(partitions or spark.sparkContext.defaultParallelism))
+    try:
+        q = write_scan_log(stream, f"{base}/rows", f"{base}/checkpoint", once=True)
+        q.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
