@@ -136,3 +136,20 @@ def test_left_object_is_found(spark):
     bg = P.median_background(px, ["cam"], "frame", 10)
     objs = P.diff_objects(px.filter("frame = 25"), bg, ["cam", "frame"], ["cam"], 32, 24, left=0.0, shrink=1).collect()
     assert [(o.x1, o.y1, o.x2, o.y2) for o in objs] == [(3, 3, 21, 19)]
+
+
+def test_crops_keep_their_rules(spark, crowd):
+    df = frame(spark, crowd).selectExpr("image", "x1", "y1", "x2", "y2", "1000 AS width", "600 AS height")
+    ids = ["x1", "y1", "x2", "y2"]
+    crops, labels = TL.repeat_crops(df, ["image"], ids, 4, 320)
+    rows = crops.collect()
+    assert len(rows) == 8 and rows == TL.repeat_crops(df, ["image"], ids, 4, 320)[0].collect()
+    assert all(0 <= r.cx1 and r.cx2 <= 1000 and r.cx2 - r.cx1 == 320 and 0 <= r.cy1 and r.cy2 <= 600 for r in rows)
+    assert all(0 <= r.lx1 and r.lx2 <= 320 and r.lx2 - r.lx1 >= 4 for r in labels.collect())
+
+    crops, labels = TL.target_crops(df, ["image"], ids, 0.2, 0.35, copies=3)
+    at = {(r.image, r.copy): r for r in crops.collect()}
+    assert len(at) == 6 and all(24 <= r.cx2 - r.cx1 <= 600 + 1e-9 and 0 <= r.cx1 <= r.cx2 <= 1000 + 1e-9 for r in at.values())
+    for r in labels.collect():
+        assert -1e-6 <= r.lx1 < r.lx2 <= 640 + 1e-6 and r.lx2 - r.lx1 >= 4
+    assert {(r.image, r.copy) for r in labels.collect()} == set(at)  # the chosen object is always seen
