@@ -32,10 +32,12 @@ def local_session(cores: str = "8", app: str = "zonewatch", **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only when none is named."""
+    """The folder that driver and executors share. On one machine a temporary one will do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="spark-zonewatch-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -45,12 +47,21 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by writing a table into the shared folder and reading it back.
 
     Unlike a cached or locally checkpointed frame, the files outlive lost executors,
-    and the reader keeps column pruning and size statistics.
+    and the reader keeps column pruning and size statistics. See `release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/zonewatch-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._zonewatch_path = path
+    return kept
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by `materialize`, once nothing that is still to run reads them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._zonewatch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hot_rows(spark: SparkSession) -> int:
@@ -58,13 +69,6 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no JVM handle (Connect): fall back to counting
-        return None
-
-
 def largest_group(df: DataFrame, by: list[str]) -> int:
     """Row count of the biggest key. Only one number reaches the driver."""
     if by:
@@ -77,14 +81,9 @@ def largest_group(df: DataFrame, by: list[str]) -> int:
 def has_hot_group(df: DataFrame, by: list[str], limit: int | None = None) -> bool:
     """Whether some key holds more rows than one task should take.
 
-    The optimizer's size estimate settles small inputs without running a job; larger
-    ones are counted (key columns only, combined map-side).
+    Rows are counted per key, combined map-side, over the key columns alone.
     """
-    limit = limit or hot_rows(df.sparkSession)
-    size = _estimated_bytes(df)
-    if size is not None and size <= 16 * limit:
-        return False
-    return largest_group(df, by) > limit
+    return largest_group(df, by) > (limit or hot_rows(df.sparkSession))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
