@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonewatch.llm import mixing, sharding, toxicity
 from zonewatch.llm.common import read_table
 from zonewatch.llm.near import near_components
 
@@ -41,3 +42,53 @@ FROM w JOIN r ON r.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.do
 """)
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(read_table(spark, sf_dir, "documents"))
+
+
+def held_out(doc_id) -> F.Column:
+    """Rows whose labels are never learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.train(docs.filter(~held_out("doc_id")), labels.filter(~held_out("doc_id")))
+    scored = model.score(docs.select("doc_id", "text"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES["op7_toxicity"] = op7_toxicity
+
+
+@query(r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    CAST(CAST('0x' || substr(md5(concat_ws('|', '8', CAST(doc_id AS VARCHAR), coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE)
+      / 4503599627370496.0 AS draw FROM documents),
+p AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+o AS (SELECT *, s / w AS r, sum(s) OVER () - coalesce(sum(3 * s) OVER b, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS w_rest
+  FROM p WINDOW b AS (ORDER BY s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, CAST(rest AS DOUBLE) / CAST(w_rest AS DOUBLE) AS level FROM o),
+f AS (SELECT level FROM l WHERE level * w <= 3 * s ORDER BY r, source NULLS LAST LIMIT 1),
+t AS (SELECT source, s AS source_size, least((SELECT level FROM f) * w, CAST(3 * s AS DOUBLE)) AS target FROM p),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+""")
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.copies(read_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "mix_.size", "mix_.source_size", "mix_.target",
+                       (F.col("mix_.size") * F.col("mix_.copies")).alias("taken"))
+
+
+def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = sharding.feistel_shards(rows)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES["op4_feistel_sharding"] = op4_feistel_sharding
