@@ -1,19 +1,23 @@
 """Operator 10: Jaccard self-join of word shingles by prefix filters under several token orders.
 
-A document's set holds the hashes of its distinct five-word shingles. If two sets reach the
-threshold, they share a token among the first few tokens of each under *any* order of all tokens.
-So a pair is verified only if it shares such a token under the first order and under the second.
-Both orders put tokens that are common in the corpus last and break ties by different hashes, so
-passages that many documents share hardly ever bring two documents together.
+A document's set holds the hashes of its distinct five-word shingles. If two sets reach the threshold,
+they share enough tokens among the first few tokens of each under *any* order of all tokens. So a pair
+is verified only if it does so under the first order and under the second. Both orders put tokens that are
+common in the corpus last and break ties by different hashes, so passages that many documents share
+hardly ever bring two documents together.
+
+How many shared tokens are enough: with prefixes of n - ceil(t n) + 1 tokens, the set whose prefix ends
+first holds ceil(t n) - 1 tokens behind it, so the overlap is at most the count of tokens shared in the
+prefixes plus that number, and at threshold t it is at least t (n + m) / (1 + t).
 
 What is common is read from a count array of fixed size (`ORDER_CELLS`, filled from all rows and
 sent to the tasks). It decides how many candidates there are, never which links are found: any
 order gives the same result. Raise it with the corpus (about a cell per thousand tokens).
 
-Equal sets are one class from the start. Classes of a near-copy group would still make every pair
-of the group a candidate, so links are sought in rounds: first only between the members of a token's
+Equal sets are one class from the start. The classes of a near-copy group would still make every pair of
+the group a candidate, so links are sought in two rounds: first only between the members of a token's
 group and its head (the class with the fewest rare tokens, most often the original), then, once
-linked classes are one component, between members of different components. The last round looks at
+linked classes are one component, between members of different components. The second round looks at
 all such pairs, so no component is split; pairs within a component are not looked at again.
 
 Defined results: null and empty texts have no set and link with nothing; one to four words make one
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewatch.llm.common import add_pieces, counting, fixed_counts, pieces_of
@@ -37,8 +41,8 @@ from zonewatch.llm.hashing import mix, row_sets, set_digest
 from zonewatch.session import materialize, release
 
 PERCENT = 80
-ORDER_CELLS = 1 << 18
-SEEN_BITS = 1 << 23
+ORDER_CELLS = 1 << 20
+SEEN_BITS = 1 << 21
 ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 
@@ -156,42 +160,51 @@ def _bit(digests: np.ndarray) -> np.ndarray:
     return (digests.astype(np.int64).view(np.uint64) % np.uint64(SEEN_BITS)).astype(np.int64)
 
 
-def _may_reach(a: str, b: str, percent: int) -> F.Column:
-    """Whether sizes, and what is left behind a shared token, let two sets reach the threshold."""
-    na, nb, ia, ib = (F.col(c) for c in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
-    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-            & ((100 + percent) * (1 + F.least(na - ia - 1, nb - ib - 1)) >= percent * (na + nb)))
+def _near_size(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
+
+
+def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether so many tokens shared in the prefixes leave the threshold in reach."""
+    behind = F.floor((percent * F.greatest(n, m) + 99) / 100) - 1
+    return (100 + percent) * (shared + behind) >= percent * (n + m)
 
 
 def _shared(postings: DataFrame) -> DataFrame:
     """Postings of tokens that at least two classes have, each with the head of its token's group."""
-    heads = (postings.groupBy("token").agg(F.min(F.struct("class", "n", "pos")).alias("head"), F.count(F.lit(1)).alias("k"))
+    heads = (postings.groupBy("token").agg(F.min(F.struct("class", "n")).alias("head"), F.count(F.lit(1)).alias("k"))
              .filter("k > 1").select("token", "head"))
-    return postings.join(heads, "token").select("token", "class", "n", "pos", F.col("head.class").alias("h_class"),
-                                                F.col("head.n").alias("h_n"), F.col("head.pos").alias("h_pos"))
+    return postings.join(heads, "token").select("token", "class", "n", F.col("head.class").alias("h_class"), F.col("head.n").alias("h_n"))
+
+
+def _counted(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose rows, one per shared token, are enough."""
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return counted.filter(_enough(F.col("k"), F.col("n"), F.col("m"), percent)).select("a", "b")
 
 
 def _star(shared: DataFrame, percent: int) -> DataFrame:
-    return (shared.filter("class != h_class").filter(_may_reach("", "h_", percent))
-            .select(F.col("h_class").alias("a"), F.col("class").alias("b")).distinct())
+    """Heads and members. Tokens with another head are not counted: round one may miss a pair."""
+    near = shared.filter("class != h_class").filter(_near_size("n", "h_n", percent))
+    return _counted(near.select(F.col("h_class").alias("a"), F.col("class").alias("b"), F.col("h_n").alias("n"), F.col("n").alias("m")), percent)
 
 
 def _across(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one token's group that lie in different components and may reach the threshold."""
-    own = (shared.select("token", "class", "n", "pos").join(labels, shared["class"] == labels["node"], "left")
-           .select("token", "class", "n", "pos", F.coalesce("component", "class").alias("component")))
+    """All pairs of different components that share enough tokens."""
+    own = (shared.select("token", "class", "n").join(labels, shared["class"] == labels["node"], "left")
+           .select("token", "class", "n", F.coalesce("component", "class").alias("component")))
     mixed = (own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo < hi").select("token"))
     own = own.join(mixed, "token", "left_semi")
-    a = own.select("token", *[F.col(c).alias(f"a_{c}") for c in ("class", "n", "pos", "component")])
-    b = own.select("token", *[F.col(c).alias(f"b_{c}") for c in ("class", "n", "pos", "component")])
-    return (a.join(b, "token").filter("a_class < b_class AND a_component != b_component").filter(_may_reach("a_", "b_", percent))
-            .select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct())
+    a = own.select("token", *[F.col(c).alias(f"a_{c}") for c in ("class", "n", "component")])
+    b = own.select("token", *[F.col(c).alias(f"b_{c}") for c in ("class", "n", "component")])
+    met = a.join(b, "token").filter("a_class < b_class AND a_component != b_component").filter(_near_size("a_n", "b_n", percent))
+    return _counted(met.select(F.col("a_class").alias("a"), F.col("b_class").alias("b"), F.col("a_n").alias("n"), F.col("b_n").alias("m")), percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a = sets.select(F.col("class").alias("a"), F.col("tokens").alias("a_tokens"))
-    b = sets.select(F.col("class").alias("b"), F.col("tokens").alias("b_tokens"))
+    """The pairs that pass the second order's filter and then reach the threshold."""
+    a, b = (sets.select(F.col("class").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "tokens", "second")]) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +219,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(r)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
+    both = pairs.join(a, "a").join(b, "b").filter(
+        _enough(F.size(F.array_intersect("a_second", "b_second")), F.col("a_n"), F.col("b_n"), percent))
+    return both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
@@ -219,18 +234,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = profile.filter("slice IS NULL").select("id", "n", "d1", "d2")
 
     classes = materialize(_classes(docs, id_type, levels, percent))
-    shared1 = materialize(_shared(classes.select("class", "n", F.posexplode("first").alias("pos", "token"))))
-    wanted = materialize(classes.select("class", "d1", "d2").join(shared1.select("class").distinct(), "class"))
-    sets = materialize(_sets(docs, wanted, levels, percent))
-    shared2 = materialize(_shared(sets.select("class", "n", F.posexplode("second").alias("pos", "token"))))
-
-    near_head = materialize(_verified(_star(shared1, percent).join(_star(shared2, percent), ["a", "b"], "left_semi"), sets, percent))
-    labels = connected(near_head)
-    candidates = _across(shared1, labels, percent).join(_across(shared2, labels, percent), ["a", "b"], "left_semi")
-    rest = materialize(_verified(candidates, sets, percent))
-    links = near_head.union(rest)
-    final = connected(links)
-    release(shared1, shared2, wanted, sets, labels)
+    shared = materialize(_shared(classes.select("class", "n", F.explode("first").alias("token"))))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs)
+        wanted = materialize(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+                             .join(classes.select("class", "d1", "d2"), "class"))
+        sets = materialize(_sets(docs, wanted, levels, percent))
+        found = materialize(_verified(pairs, sets, percent))
+        release(pairs, wanted, sets)
+        return found
+
+    first = linked(_star(shared, percent))
+    labels = connected(first)
+    second = linked(_across(shared, labels, percent))
+    final = connected(first.union(second))
+    release(shared, labels, first, second)
 
     named = (classes.select("class", "d1", "d2", "id").join(final, F.col("class") == F.col("node"), "left")
              .select("d1", "d2", "id", F.coalesce("component", "class").alias("component")))
