@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewatch.llm import chat, licences, mixing, sharding, toxicity, urlrank
+from zonewatch.llm import chat, decontaminate, fingerprint, licences, mixing, pages, sharding, toxicity, urlrank
 from zonewatch.llm.common import read_table
 from zonewatch.llm.near import near_components
 
@@ -126,8 +126,8 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return urlrank.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+    rows = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return urlrank.judge(rows).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES["op5_link_propagation"] = op5_link_propagation
@@ -158,3 +158,29 @@ FROM w LEFT JOIN k ON k.digest = text_digest LEFT JOIN n USING (r)"""
 def op2_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("notices", F.array_join("notices", ","))
+
+
+def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op1_page_differencing"] = op1_page_differencing
+QUERIES["op6_quartile_digest"] = op6_quartile_digest
+
+
+@query(r"""
+WITH t AS (SELECT 'i' AS kind, item_id AS id, text FROM benchmark UNION ALL SELECT 'd', doc_id, text FROM documents),
+w AS MATERIALIZED (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS words FROM t),
+s AS MATERIALIZED (SELECT DISTINCT kind, id, list_aggregate(words[i:i + 4], 'string_agg', ' ') AS shingle
+  FROM w, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS t(i) WHERE len(words) > 0),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id FROM s i JOIN s d ON i.kind = 'i' AND d.kind = 'd' AND i.shingle = d.shingle
+JOIN n ON n.id = i.id GROUP BY 1, 2, n.n HAVING 2 * count(*) >= n.n
+""")
+def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
