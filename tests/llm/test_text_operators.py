@@ -62,7 +62,7 @@ def test_licences(spark):
     rows = [(1, varied, "x"), (2, whole + " and more", None), (3, None, None), (4, "", None), (5, "text\nReleased under the MIT Licence!\nReleased under the MIT license\n", None),
             (5, "(c) 2020 all", None), (None, "Copyright 1999 me\nLicensed under CC BY 4.0", None)]
     got = [(r["doc_id"], r["licence"], r["n_notices"], r["notices"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string, licence string")).collect()]
-    assert sorted(got, key=str) == sorted([(1, "MIT", 0, []), (2, None, 0, []), (3, None, 0, []), (4, None, 0, []), (5, None, 2, ["MIT"]), (5, None, 0, []),
+    assert sorted(got, key=str) == sorted([(1, "MIT", 1, ["MIT"]), (2, None, 0, []), (3, None, 0, []), (4, None, 0, []), (5, None, 2, ["MIT"]), (5, None, 0, []),
                                            (None, "CC-BY-4.0", 1, ["CC-BY-4.0"])], key=str)
     mine = spark.createDataFrame([("mine", "My own terms."), ("also", "my OWN terms")], "licence string, text string")
     assert licences.scan(spark.createDataFrame([(1, "my own -- terms")], "doc_id long, text string"), mine).first()["licence"] == "also"
@@ -237,6 +237,6 @@ def test_leaks(spark):
     got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect())
     assert got == sorted([(d, k) for d, _, k in dirty] + [(5001, dirty[0][2])] * 2)
     kept = decontaminate.clean(docs, bench)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted([d for d, _ in clean] + [-1, 5000])
+    assert kept.columns == docs.columns and sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == sorted([d for d, _ in clean] + [-1, 5000])
     assert decontaminate.leaks(docs, bench.limit(0)).collect() == [] and decontaminate.leaks(docs.limit(0), bench).collect() == []
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)

@@ -53,11 +53,13 @@ def question_and_answer(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def share_in(part: np.ndarray, words: np.ndarray, by_shingle: bool) -> float:
-    """The share of a part's distinct shingles (or words) that a passage has; 1 for an empty part."""
+    """The share of a part's distinct shingles (or words) that a passage has; 1 for an empty part.
+    A part of fewer than five words is one shingle of all its words."""
     if not len(part):
         return 1.0
-    if by_shingle and len(part) >= SHINGLE:
-        part, words = shingle_hashes(part), shingle_hashes(words) if len(words) >= SHINGLE else words[:0]
+    if by_shingle:
+        k = min(SHINGLE, len(part))
+        part, words = shingle_hashes(part, k), shingle_hashes(words, k) if len(words) >= k else words[:0]
     part = np.unique(part)
     return float(np.isin(part, words).mean())
 

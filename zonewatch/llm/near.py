@@ -10,9 +10,13 @@ How many shared tokens are enough: with prefixes of n - ceil(t n) + 1 tokens, th
 first holds ceil(t n) - 1 tokens behind it, so the overlap is at most the count of tokens shared in the
 prefixes plus that number, and at threshold t it is at least t (n + m) / (1 + t).
 
-What is common is read from a count array of fixed size (`ORDER_CELLS`, filled from all rows and
-sent to the tasks). It decides how many candidates there are, never which links are found: any
-order gives the same result. Raise it with the corpus (about a cell per thousand tokens).
+What is common is read from one count array per order (`ORDER_CELLS` cells each, filled from all rows and
+sent to the tasks): tokens are ordered by how far their cell lies above the mean. It decides how many
+candidates there are, never which links are found: any order gives the same result. Raise the number of
+cells with the corpus (about a cell per thousand tokens).
+
+A shared token is only looked at where the tokens behind it still leave the threshold in reach, which
+holds for the first token that a linked pair shares; so groups of similar but unlinked texts meet rarely.
 
 Equal sets are one class from the start. The classes of a near-copy group would still make every pair of
 the group a candidate, so links are sought in two rounds: first only between the members of a token's
@@ -47,19 +51,26 @@ ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    """0 for cells within chance of the mean, else the rounded-down log2 of what lies above it."""
+    """0 to 127 by how far a cell is from the mean: quarters of a deviation up to twelve, then log steps."""
     mean = counts.mean() if len(counts) else 0.0
-    above = counts - mean - 4 * np.sqrt(mean) - 4
-    return np.where(above >= 1, np.log2(np.maximum(above, 1)) + 1, 0).astype(np.uint8)
+    z = (counts - mean) / max(1.0, np.sqrt(mean))
+    far = 64 + 4 * np.log2(np.maximum(z, 12) / 12)
+    return np.clip(np.where(z <= 12, np.floor(4 * z) + 16, far), 0, 127).astype(np.uint8)
+
+
+#: Levels below this one are within four deviations of the mean.
+RARE = 32
+
+
+def cells_of(tokens: np.ndarray, order: np.uint64, cells: int) -> np.ndarray:
+    return (mix(tokens ^ order) & np.uint64(cells - 1)).astype(np.int64)
 
 
 def prefix(tokens: np.ndarray, levels: np.ndarray, order: np.uint64, percent: int) -> np.ndarray:
     """The first tokens under an order: as many as a set at the threshold can miss, and one."""
     n = len(tokens)
     p = n - -(-percent * n // 100) + 1
-    common = levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64)
-    with np.errstate(over="ignore"):
-        key = (common << np.uint64(57)) | (mix(tokens ^ order) >> np.uint64(7))
+    key = (levels[cells_of(tokens, order, len(levels))].astype(np.uint64) << np.uint64(57)) | (mix(tokens ^ order) >> np.uint64(7))
     first = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)
     return tokens[first[np.argsort(key[first], kind="stable")]]
 
@@ -75,7 +86,7 @@ def _profile(docs: DataFrame, id_type: str, cells: int) -> DataFrame:
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, dtype=np.int32)
+        total = np.zeros(2 * cells, dtype=np.int32)
         names = ["id", "n", "d1", "d2", "slice", "piece"]
         for batch in batches:
             size, d1, d2 = [], [], []
@@ -84,7 +95,8 @@ def _profile(docs: DataFrame, id_type: str, cells: int) -> DataFrame:
                 x, y = set_digest(tokens) if len(tokens) else (None, None)
                 d1.append(x)
                 d2.append(y)
-                np.add.at(total, (tokens & np.uint64(cells - 1)).astype(np.int64), 1)
+                for k, order in enumerate(ORDERS):
+                    np.add.at(total, cells_of(tokens, order, cells) + k * cells, 1)
             m = len(size)
             yield pa.record_batch([batch.column(0).cast(arrow_id), pa.array(size, pa.int64()), pa.array(d1, pa.int64()),
                                    pa.array(d2, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
@@ -109,7 +121,7 @@ def _classes(docs: DataFrame, id_type: str, levels: np.ndarray, percent: int) ->
                     size.append(len(tokens))
                     d1.append(x)
                     d2.append(y)
-                    rare.append(int((levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)] == 0).sum()))
+                    rare.append(int((levels[cells_of(tokens, ORDERS[0], len(levels))] < RARE).sum()))
                     first.append(prefix(tokens, levels, ORDERS[0], percent))
             yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())).cast(arrow_id), pa.array(d1, pa.int64()),
                                    pa.array(d2, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.int64()), _lists(first)],
@@ -170,36 +182,43 @@ def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
     return (100 + percent) * (shared + behind) >= percent * (n + m)
 
 
+def _in_reach(a: str, b: str, percent: int) -> Column:
+    """Whether the tokens at and behind a shared one leave the threshold in reach."""
+    na, nb, ia, ib = (F.col(c) for c in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
+    return (100 + percent) * F.least(na - ia, nb - ib) >= percent * (na + nb)
+
+
 def _shared(postings: DataFrame) -> DataFrame:
     """Postings of tokens that at least two classes have, each with the head of its token's group."""
     heads = (postings.groupBy("token").agg(F.min(F.struct("class", "n")).alias("head"), F.count(F.lit(1)).alias("k"))
              .filter("k > 1").select("token", "head"))
-    return postings.join(heads, "token").select("token", "class", "n", F.col("head.class").alias("h_class"), F.col("head.n").alias("h_n"))
+    return postings.join(heads, "token").select("token", "class", "n", "pos", F.col("head.class").alias("h_class"), F.col("head.n").alias("h_n"))
 
 
-def _counted(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose rows, one per shared token, are enough."""
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return counted.filter(_enough(F.col("k"), F.col("n"), F.col("m"), percent)).select("a", "b")
+def _enough_shared(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share enough tokens of their prefixes; `prefixes` has the tokens others have too."""
+    a, b = (prefixes.select(F.col("class").alias(x), F.col("n").alias(f"{x}_n"), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
+    met = pairs.join(a, "a").join(b, "b")
+    return met.filter(_enough(F.size(F.array_intersect("a_tokens", "b_tokens")), F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
 
 
 def _star(shared: DataFrame, percent: int) -> DataFrame:
-    """Heads and members. Tokens with another head are not counted: round one may miss a pair."""
-    near = shared.filter("class != h_class").filter(_near_size("n", "h_n", percent))
-    return _counted(near.select(F.col("h_class").alias("a"), F.col("class").alias("b"), F.col("h_n").alias("n"), F.col("n").alias("m")), percent)
+    """Heads and members of token groups."""
+    return (shared.filter("class != h_class").filter(_near_size("n", "h_n", percent))
+            .select(F.col("h_class").alias("a"), F.col("class").alias("b")).distinct())
 
 
 def _across(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share enough tokens."""
-    own = (shared.select("token", "class", "n").join(labels, shared["class"] == labels["node"], "left")
-           .select("token", "class", "n", F.coalesce("component", "class").alias("component")))
+    """All pairs of different components that share a token with the threshold in reach."""
+    own = (shared.select("token", "class", "n", "pos").join(labels, shared["class"] == labels["node"], "left")
+           .select("token", "class", "n", "pos", F.coalesce("component", "class").alias("component")))
     mixed = (own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo < hi").select("token"))
     own = own.join(mixed, "token", "left_semi")
-    a = own.select("token", *[F.col(c).alias(f"a_{c}") for c in ("class", "n", "component")])
-    b = own.select("token", *[F.col(c).alias(f"b_{c}") for c in ("class", "n", "component")])
-    met = a.join(b, "token").filter("a_class < b_class AND a_component != b_component").filter(_near_size("a_n", "b_n", percent))
-    return _counted(met.select(F.col("a_class").alias("a"), F.col("b_class").alias("b"), F.col("a_n").alias("n"), F.col("b_n").alias("m")), percent)
+    a, b = (own.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("class", "n", "pos", "component")]) for x in "ab")
+    met = (a.join(b, "token").filter("a_class < b_class AND a_component != b_component")
+           .filter(_near_size("a_n", "b_n", percent) & _in_reach("a_", "b_", percent)))
+    return met.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,17 +249,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(docs.dtypes)["id"]
     profile = materialize(_profile(docs, id_type, order_cells))
-    levels = levels_of(add_pieces(profile.filter("slice IS NOT NULL").select("slice", "piece"), order_cells))
+    counts = add_pieces(profile.filter("slice IS NOT NULL").select("slice", "piece"), 2 * order_cells)
+    levels = [levels_of(c) for c in np.split(counts, 2)]
     rows = profile.filter("slice IS NULL").select("id", "n", "d1", "d2")
 
-    classes = materialize(_classes(docs, id_type, levels, percent))
-    shared = materialize(_shared(classes.select("class", "n", F.explode("first").alias("token"))))
+    classes = materialize(_classes(docs, id_type, levels[0], percent))
+    shared = materialize(_shared(classes.select("class", "n", F.posexplode("first").alias("pos", "token"))))
+    prefixes = materialize(shared.groupBy("class").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs)
+        pairs = materialize(_enough_shared(pairs, prefixes, percent))
         wanted = materialize(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
                              .join(classes.select("class", "d1", "d2"), "class"))
-        sets = materialize(_sets(docs, wanted, levels, percent))
+        sets = materialize(_sets(docs, wanted, levels[1], percent))
         found = materialize(_verified(pairs, sets, percent))
         release(pairs, wanted, sets)
         return found
@@ -249,7 +270,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected(first)
     second = linked(_across(shared, labels, percent))
     final = connected(first.union(second))
-    release(shared, labels, first, second)
+    release(shared, prefixes, labels, first, second)
 
     named = (classes.select("class", "d1", "d2", "id").join(final, F.col("class") == F.col("node"), "left")
              .select("d1", "d2", "id", F.coalesce("component", "class").alias("component")))
