@@ -86,8 +86,11 @@ def test_detectors_and_alert_rows(spark, tmp_path):
                                 "camera_id string, x1 double, y1 double, x2 double, y2 double, score double, label string")
     hot = spark.createDataFrame([("c", 3, 3, 96, 96, 160, 160, 640, 480), ("c", 9, 0, 0, 288, 64, 352, 640, 480)],
                                 "camera_id string, row int, col int, x1 int, y1 int, x2 int, y2 int, frame_w int, frame_h int")
-    kept, boxes = DT.verify(hot, DT.TableDetector(det), ["camera_id"])
-    assert [(r.row, r.col) for r in kept.collect()] == [(3, 3)] and boxes.count() == 1
+    kept, boxes, left_out = DT.verify(hot, DT.TableDetector(det), ["camera_id"])
+    assert [(r.row, r.col) for r in kept.collect()] == [(3, 3)] and boxes.count() == 1 and left_out.count() == 0
+    assert [tuple(r) for r in DT.verify(hot, DT.TableDetector(det), ["camera_id"], max_regions=1).left_out.collect()] == [("c", "regions", 2, 1)]
+    swept = DT.sweep_verify(hot, DT.TableDetector(det), ["camera_id"], max_tiles=3).left_out.first()
+    assert swept.what == "tiles" and swept.n > swept.n_kept == 3
 
     def make():
         def model(pdf):
@@ -136,11 +139,19 @@ def test_image_folder_as_frames(spark, tmp_path):
     pic = np.tile(np.arange(0, 64, dtype=np.uint8), (64, 1))
     for name, p in (("b.bmp", pic), ("a.bmp", pic + 50)):
         (tmp_path / name).write_bytes(bmp(p))
-    (tmp_path / "broken.jpg").write_bytes(b"not an image")
+    (tmp_path / "ab.jpg").write_bytes(b"not an image")  # counts for the time of what follows
     (tmp_path / "notes.txt").write_text("no")
     frames = RD.read_frames(spark, str(tmp_path), "cam", 30)
     rows = frames.orderBy("scan_no").collect()
-    assert [(r.scan_no, r.ts.timestamp(), r.width, r.channels) for r in rows] == [(0, 0.0, 64, 3), (1, 30.0, 64, 3)]
+    assert [(r.scan_no, r.ts.timestamp(), r.width, r.channels) for r in rows] == [(0, 0.0, 64, 3), (2, 60.0, 64, 3)]
+    every = RD.read_frames(spark, str(tmp_path), "cam", 30, keep_unreadable=True).orderBy("scan_no").collect()
+    assert [(r.scan_no, r.width) for r in every] == [(0, 64), (1, None), (2, 64)]
+    (tmp_path / "c.webp").write_bytes(b"RIFF")
+    with pytest.raises(Exception, match="pass decode"):
+        frames.count()
+    mine = RD.read_frames(spark, str(tmp_path), "cam", 30, decode=lambda b: (2, 1, 3, b[:6]) if b[:2] in (b"BM", b"RI") else None)
+    assert [(r.scan_no, r.width, bytes(r.data)[:2]) for r in mine.orderBy("scan_no").collect()] == [(0, 2, b"BM"), (2, 2, b"BM"), (3, 2, b"RI")]
+    (tmp_path / "c.webp").unlink()
     thumbs = P.thumbs(frames, 16)
     first = np.frombuffer(thumbs.orderBy("scan_no").first().thumb, np.float32).reshape(16, 16)
     assert first[0, 0] == np.rint((pic[:4, :4] + 50).mean()) and first.shape == (16, 16)

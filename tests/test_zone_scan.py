@@ -162,11 +162,11 @@ def test_batch_sliced_batch_stream_and_resumed_stream_agree(spark, request):
     scans = Z.complete_scans(spark_scans(spark)).persist()
     batch = table(Z.scan_batch(scans, p))
     assert any(r[4] == "True" for r in batch) and any(r[5] == "True" for r in batch)
-    path = R.stage_input(scans, 3, ["scan_no", "camera_id"])
+    path = R.stage_input(scans, 3, ["scan_no", "camera_id"], ["camera_id"])
     assert table(R.run_available(SS.scan_stream(read_scans_stream(spark, path), p))) == batch
 
-    half = R.stage_input(scans.filter("scan_no >= 6"), 2, ["scan_no", "camera_id"])
-    saved = R.stage_input(spark_scans(spark).limit(1), 1, ["scan_no"]) + "-state"
+    half = R.stage_input(scans.filter("scan_no >= 6"), 2, ["scan_no", "camera_id"], ["camera_id"])
+    saved = R.stage_input(spark_scans(spark).limit(1), 1, ["scan_no"], ["camera_id"]) + "-state"
     ST.save_state(ST.final_states(scans.filter("scan_no < 6"), p), saved)
     grids = scans.select("camera_id", "zone_id", "sig").distinct()
     initial = ST.load_state(spark, saved, grids)

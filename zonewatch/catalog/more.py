@@ -42,7 +42,7 @@ cl AS (SELECT camera_id, low, count(*) AS n, min(x1) AS x1, min(y1) AS y1, max(x
   FROM cm JOIN hot USING (camera_id, "row", col) GROUP BY ALL),
 tp AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY n DESC, low) AS rn FROM cl),
 ar AS (SELECT camera_id, greatest(0,x1-48) AS ax1, greatest(0,y1-48) AS ay1, least(640,x2+48) AS ax2, least(480,y2+48) AS ay2,
-   least(320, greatest(160, x2-x1+96, y2-y1+96)) AS side, (x1+x2)/2.0 AS cx, (y1+y2)/2.0 AS cy FROM tp WHERE rn <= 8),
+   least(320, greatest(160, x2-x1+96, y2-y1+96)) AS side, (x1+x2)/2.0 AS cx, (y1+y2)/2.0 AS cy FROM tp),
 sq AS (SELECT *, trunc(greatest(0, least(640-side, cx-side/2.0))) AS rx1, trunc(greatest(0, least(480-side, cy-side/2.0))) AS ry1 FROM ar)"""
 
 CX, CY = "(d.x1+d.x2)/2", "(d.y1+d.y2)/2"
@@ -60,8 +60,7 @@ def _covered(side: int) -> str:
 {CELLS_HIT.format(cells='hot')}""")
 def verify_clusters(spark, sf):
     det = DT.TableDetector(_table_detections(spark, sf), 0.2)
-    cells, _ = DT.verify(_hot_cells(spark, sf), det, ["camera_id"], extra_scales=[0.5])
-    return cells.select("camera_id", "row", "col")
+    return DT.verify(_hot_cells(spark, sf), det, ["camera_id"], extra_scales=[0.5]).cells.select("camera_id", "row", "col")
 
 
 @query("verify_fine", f"""WITH RECURSIVE {HCOMP}, seen AS (SELECT DISTINCT d.* FROM td2 d JOIN sq s USING (camera_id) WHERE {_covered(128)})
@@ -171,12 +170,17 @@ def control_orders(spark, sf):
     return Z.with_control(scans, orders, ["zone"]).filter("control is not null").select("zone", "scan_no", "control")
 
 
-@query("alert_episodes", f"""WITH {LOG}, l AS (SELECT *, NOT dirty AS rearmed FROM log),
-s AS (SELECT zone, t_s, n_hot, alert, sum(alert::INT) OVER (PARTITION BY zone ORDER BY scan_no) AS episode FROM l)
-SELECT zone, CAST(episode AS BIGINT) AS episode, min(t_s) AS t_start, max(t_s) AS t_end, count(*) FILTER (alert) AS n_alerts, max(n_hot) AS max_hot
-FROM s WHERE episode > 0 GROUP BY ALL""")
+@query("alert_episodes", f"""WITH RECURSIVE {LOG}, l AS (SELECT *, n_changed = 0 OR scan_no % 5 = 0 AS rearmed, n_hot >= 3 AS escalated,
+  row_number() OVER (PARTITION BY zone ORDER BY scan_no) AS i FROM log),
+r AS (SELECT zone, i, t_s, n_hot, alert, rearmed, alert AND NOT escalated AS inside, CAST(alert AND NOT escalated AS BIGINT) AS episode FROM l WHERE i = 1
+  UNION ALL
+  SELECT l.zone, l.i, l.t_s, l.n_hot, l.alert, l.rearmed, x.inside, r.episode + CAST(x.inside AND NOT (r.inside AND NOT r.rearmed) AS BIGINT)
+  FROM r JOIN l ON l.zone = r.zone AND l.i = r.i + 1,
+  LATERAL (SELECT (r.inside AND NOT r.rearmed) OR (l.alert AND NOT l.escalated) AS inside) x)
+SELECT zone, episode, min(t_s) AS t_start, max(t_s) FILTER (rearmed) AS t_end, count(*) FILTER (alert) AS n_alerts, max(n_hot) AS max_hot
+FROM r WHERE inside GROUP BY zone, episode""")
 def alert_episodes(spark, sf):
-    log = B.scan_log(spark, sf).withColumns({"rearmed": ~F.col("dirty"), "escalated": F.lit(False)})
+    log = B.scan_log(spark, sf).withColumns({"rearmed": (F.col("n_changed") == 0) | (F.col("scan_no") % 5 == 0), "escalated": F.col("n_hot") >= 3})
     return runlog.alert_sessions(log, ["zone"], ["scan_no"])
 
 

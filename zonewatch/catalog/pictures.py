@@ -126,7 +126,7 @@ LABELS = ["person", "bag", "car", "bottle"]
 
 def _table_detections(spark, sf):
     x1, y1 = F.col("l_partkey") * 37 % 500, F.col("l_orderkey") * 53 % 400
-    return B.table(spark, sf, "lineitem").filter("l_discount >= 0.08").select(
+    return B.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("camera_id"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"),
         (x1 + F.col("l_quantity") * 2).cast("double").alias("x2"), (y1 + F.col("l_quantity") * 2).cast("double").alias("y2"),
         (F.col("l_linenumber") / 10.0).alias("score"),
@@ -135,7 +135,7 @@ def _table_detections(spark, sf):
 
 TDET = """td AS (SELECT l_suppkey AS camera_id, CAST(l_partkey*37 % 500 AS DOUBLE) AS x1, CAST(l_orderkey*53 % 400 AS DOUBLE) AS y1,
   CAST(l_partkey*37 % 500 + l_quantity*2 AS DOUBLE) AS x2, CAST(l_orderkey*53 % 400 + l_quantity*2 AS DOUBLE) AS y2,
-  l_linenumber/10.0::DOUBLE AS score, ['person','bag','car','bottle'][l_partkey % 4 + 1] AS label FROM lineitem WHERE l_discount >= 0.08)"""
+  l_linenumber/10.0::DOUBLE AS score, ['person','bag','car','bottle'][l_partkey % 4 + 1] AS label FROM lineitem)"""
 
 
 @query("occluder_boxes", f"""WITH {TDET} SELECT camera_id, label, count(*) AS n FROM td WHERE label IN ('person','car') AND score >= 0.35 GROUP BY ALL""")
@@ -212,7 +212,7 @@ def calibration_text(spark, sf):
 def _scan_stream(spark, sf):
     from zonewatch.operators.zone_scan import complete_scans
     from zonewatch.sources.readers import read_scans_stream
-    path = R.stage_input(complete_scans(zone_scans(spark, sf)), 3, ["scan_no", "camera_id"])
+    path = R.stage_input(complete_scans(zone_scans(spark, sf)), 3, ["scan_no", "camera_id"], ["camera_id"])
     return read_scans_stream(spark, path)
 
 
@@ -232,13 +232,13 @@ def zone_fsm_resumed(spark, sf):
     path = f"{shared_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
     ST.save_state(ST.final_states(scans.filter("scan_no <= half").drop("half"), PARAMS), path)
     late = complete_scans(scans.filter("scan_no > half").drop("half"))
-    stream = read_scans_stream(spark, R.stage_input(late, 2, ["scan_no", "camera_id"]))
+    stream = read_scans_stream(spark, R.stage_input(late, 2, ["scan_no", "camera_id"], ["camera_id"]))
     return R.run_available(SS.scan_stream(stream, PARAMS, initial=ST.load_state(spark, path)))
 
 
 def _log_stream(spark, sf):
     log = B.scan_log(spark, sf).withColumn("ts", F.timestamp_seconds("t_s"))
-    path = R.stage_input(log, 4, ["t_s", "zone"])
+    path = R.stage_input(log, 4, ["t_s", "zone"], ["zone"])
     return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

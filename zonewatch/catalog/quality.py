@@ -92,9 +92,9 @@ def compare_configs(spark, sf):
     b = B.boxes(spark, sf)
     gt = B.truth_boxes(spark, sf)
     det = b.select("image", *CORNERS, "model").distinct()
-    configs = [{"config": m} for m in ("A", "N", "R")]
-    frames = S.sweep(b.select("image").distinct(), configs)
-    truth = S.sweep(gt, configs)
+    configs = b.select(F.col("model").alias("config")).distinct()
+    frames = per_model(b.select("image").distinct(), configs)
+    truth = per_model(gt, configs)
     hits = (BX.matched_gt(truth, det.withColumnRenamed("model", "config"), ["image", "config"], CORNERS)
             .groupBy("config", "image").agg(F.count(F.lit(1)).alias("n_hit")))
     n_gt = gt.groupBy("image").agg(F.count(F.lit(1)).alias("n_gt"))
@@ -105,6 +105,13 @@ def compare_configs(spark, sf):
     return E.compare_configs(r.withColumns({c: F.coalesce(c, z) for c in ("n_gt", "n_hit", "n_box")}))
 
 
+def per_model(df, models):
+    """Rows once per model: a list of the models of the data, one row, is put beside every row."""
+    name = models.columns[0]
+    listed = models.agg(F.array_sort(F.collect_set(name)).alias("_models"))
+    return df.join(F.broadcast(listed)).withColumn(name, F.explode("_models")).drop("_models")
+
+
 CONFS = [0.0, 0.2, 0.4, 0.6, 0.8]
 CURVE = BOXES + f""", md AS (SELECT DISTINCT image,x1,y1,x2,y2,model,score FROM boxes), ms AS (SELECT DISTINCT model FROM md),
 b AS (SELECT ms.model, g.image, g.x1, g.y1, g.x2, g.y2, max(d.score) AS best FROM gt g CROSS JOIN ms
@@ -120,8 +127,8 @@ curve AS (SELECT model, conf, n_hit, n_gt, coalesce(n_box,0) AS n_box, greatest(
 
 def _curve(spark, sf):
     truth = materialize(B.truth_boxes(spark, sf))
-    gt = S.sweep(truth, [{"model": m} for m in ("A", "N", "R")])
     det = materialize(B.boxes(spark, sf).select("image", *CORNERS, "model", "score").distinct())
+    gt = per_model(truth, det.select("model").distinct())
     best = E.best_scores(gt, det, ["image", "model"], CORNERS)
     has_gt = truth.select("image").distinct()
     clean = det.join(has_gt, "image", "left_anti").withColumnRenamed("image", "frame")

@@ -61,12 +61,12 @@ def points_in_zone(spark, sf):
 
 OCCL = """occ AS (SELECT l_suppkey AS camera_id, CAST(l_partkey*37 % 400 AS DOUBLE) AS x1,
   CAST(l_orderkey*53 % 300 AS DOUBLE) AS y1, CAST(l_partkey*37 % 400 + l_quantity AS DOUBLE) AS x2,
-  CAST(l_orderkey*53 % 300 + l_quantity*2 AS DOUBLE) AS y2 FROM lineitem WHERE l_discount >= 0.10)"""
+  CAST(l_orderkey*53 % 300 + l_quantity*2 AS DOUBLE) AS y2 FROM lineitem)"""
 
 
 def _occluders(spark, sf):
     x1, y1 = F.col("l_partkey") * 37 % 400, F.col("l_orderkey") * 53 % 300
-    return (B.table(spark, sf, "lineitem").filter("l_discount >= 0.10").select(
+    return (B.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("camera_id"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"),
         (x1 + F.col("l_quantity")).cast("double").alias("x2"),
         (y1 + F.col("l_quantity") * 2).cast("double").alias("y2")))

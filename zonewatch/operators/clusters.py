@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,29 @@ from zonewatch.session import has_hot_group, materialize
 COMPONENT_CELLS = 200_000  # cells of one scan a single task may label
 
 
+def lowest_labels(r: np.ndarray, c: np.ndarray, gap: int) -> np.ndarray:
+    """Per cell (sorted by row, column) the index of the lowest cell of its cluster."""
+    width = int(c.max() - c.min()) + 2 * gap + 1
+    code = (r - r.min()) * width + (c - c.min() + gap)
+    a, b = [], []
+    for dr in range(gap + 1):
+        for dc in range(-gap if dr else 1, gap + 1):
+            at = np.minimum(np.searchsorted(code, code + dr * width + dc), len(code) - 1)
+            met = code[at] == code + dr * width + dc
+            a.append(np.flatnonzero(met))
+            b.append(at[met])
+    a, b, low = np.concatenate(a), np.concatenate(b), np.arange(len(code))
+    while True:
+        new = low.copy()
+        m = np.minimum(low[a], low[b])
+        np.minimum.at(new, low[a], m)
+        np.minimum.at(new, low[b], m)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
 def components(cells: DataFrame, by: list[str], gap: int = 1) -> DataFrame:
     """Adds (comp_row, comp_col): the lowest cell of the transitive Chebyshev cluster."""
     cells = cells.select(*by, "row", "col").distinct()
@@ -24,23 +48,9 @@ def components(cells: DataFrame, by: list[str], gap: int = 1) -> DataFrame:
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row", "col"], ignore_index=True)
-        spots = list(zip(pdf["row"].tolist(), pdf["col"].tolist()))
-        todo, root = set(spots), {}
-        near = range(-gap, gap + 1)
-        for start in spots:  # sorted, so the first cell reached is the lowest one
-            if start not in todo:
-                continue
-            todo.discard(start)
-            stack = [start]
-            while stack:
-                r, c = stack.pop()
-                root[(r, c)] = start
-                for other in [(r + i, c + j) for i in near for j in near]:
-                    if other in todo:
-                        todo.discard(other)
-                        stack.append(other)
-        pdf["comp_row"] = [root[s][0] for s in spots]
-        pdf["comp_col"] = [root[s][1] for s in spots]
+        r, c = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+        low = lowest_labels(r, c, gap)
+        pdf["comp_row"], pdf["comp_col"] = r[low], c[low]
         return pdf[schema.names]
 
     return cells.groupBy(*by).applyInPandas(label, schema)

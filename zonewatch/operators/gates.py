@@ -172,8 +172,8 @@ def latch_step(state: dict | None, now: float, hot: set, *, mode: str = "latch",
     latched, recent, last = set(s["latched"]), list(s["recent"]), s["last"]
     if latched:
         # growth is judged against the latch as it was before this scan
-        near = {h for h in hot
-                if any(max(abs(h[0] - c[0]), abs(h[1] - c[1])) <= merge_radius for c in latched)}
+        around = range(-merge_radius, merge_radius + 1)
+        near = {h for h in hot if any((h[0] + i, h[1] + j) in latched for i in around for j in around)}
         latched |= near
     fresh = hot - latched
     trigger = len(fresh) >= min_hot if mode == "latch" else len(hot) >= min_hot

@@ -3,8 +3,9 @@
 The step keeps O(state) memory: rows arrive sorted in Arrow batches and the state is
 carried from batch to batch, so no key is ever collected. When one key is too large for
 one task, its rows are cut into range slices that run in parallel from assumed start
-states; a slice is run again whenever the slice before it turns out to end in another
-state, until all start states agree. The fixpoint equals the sequential run exactly.
+states; then, of each key, the first slice that started from a wrong state is run again,
+until all start states agree. A slice runs at most twice, and the result is that of the
+sequential run.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonewatch.operators.ordered import SLICE, slices
-from zonewatch.session import has_hot_group, materialize
+from zonewatch.session import has_hot_group, materialize, release
 
 # (state or None, columns of one key's rows in order) -> (state, output columns, same length)
 Rows = dict[str, np.ndarray]
@@ -129,22 +130,27 @@ def _replay_sliced(df, by, order, step, keep, extra, schema) -> DataFrame:
     def ends_of(starts, rows) -> DataFrame:
         return materialize(rows_with(starts, rows).mapInPandas(drive(False, []), end_schema))
 
+    starts = None
     if chain.limit(1).count():
+        # all slices at once from empty states; then, of each key, the first slice whose start was
+        # wrong. Everything before it is settled, so no slice runs more than twice.
         ends = ends_of(None, parts.join(chain.select(*keys), keys, "left_semi"))
-        starts = chain.select(*keys).withColumn(STATE, no_state)
+        starts = materialize(chain.select(*keys).withColumn(STATE, no_state))
+        first = Window.partitionBy(*by).orderBy(SLICE)
         while True:
             before = ends.select(*by, F.col(SLICE).alias("_prev"), F.col(STATE).alias("_in"))
-            wanted = materialize(chain.join(before, by + ["_prev"], "left")
-                                 .select(*keys, F.col("_in").alias(STATE)))
-            moved = materialize(wanted.alias("w").join(starts.withColumnRenamed(STATE, "_used"), keys)
-                                .filter(~F.col(STATE).eqNullSafe(F.col("_used")))
-                                .select(*keys, STATE))
-            starts = wanted
+            moved = materialize(chain.join(before, by + ["_prev"]).join(starts, keys)
+                                .filter(~F.col("_in").eqNullSafe(F.col(STATE)))
+                                .withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
+                                .select(*keys, F.col("_in").alias(STATE)))
             if not moved.limit(1).count():
+                release(moved)
                 break
             again = ends_of(moved, parts.join(moved.select(*keys), keys, "left_semi"))
-            ends = materialize(ends.join(again.select(*keys), keys, "left_anti").unionByName(again))
-    else:
-        starts = None
+            new_ends = materialize(ends.join(again.select(*keys), keys, "left_anti").unionByName(again))
+            new_starts = materialize(starts.join(moved.select(*keys), keys, "left_anti").unionByName(moved))
+            release(ends, starts, moved, again)
+            ends, starts = new_ends, new_starts
+        release(ends)
     names = [f.name for f in schema.fields]
     return rows_with(starts, parts).mapInPandas(drive(True, names), schema=schema)

@@ -233,13 +233,21 @@ def negative_yield(negatives: DataFrame, scans: DataFrame, by: list[str]) -> Dat
 
 
 def alert_sessions(scans: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Alert episodes: from an alert to the scan that re-arms the zone."""
-    out = (arrange(scans, by, order).lag({"_rearmed": F.col("rearmed")})
-           .with_columns({"_start": (F.col("alert") & ~F.col("escalated")).cast("int")})
-           .running({"episode": ("sum", F.col("_start")), }).done())
-    return (out.filter("episode > 0").groupBy(*by, "episode").agg(
-        F.min("t_s").alias("t_start"), F.max("t_s").alias("t_end"),
-        F.count_if("alert").alias("n_alerts"), F.max("n_hot").alias("max_hot")))
+    """Alert episodes: from the first alert while the zone is armed to the scan that re-arms it.
+
+    Escalated alerts start no episode but belong to the one that is open. An episode that nothing
+    re-arms is open to the end and has no t_end.
+    """
+    opens, closes = F.col("alert") & ~F.col("escalated"), F.col("rearmed")
+    # between two re-arming scans lies at most one episode; the re-arming scan is the last of its stretch
+    out = (arrange(scans.withColumns({"_close": closes.cast("int"), "_open": opens.cast("int")}), by, order)
+           .running({"_closed": ("sum", F.col("_close"))}).done())
+    out = out.withColumn("_stretch", F.col("_closed") - F.col("_close"))
+    out = arrange(out, [*by, "_stretch"], order).running({"_opened": ("sum", F.col("_open"))}).done().filter("_opened > 0")
+    rows = out.groupBy(*by, "_stretch").agg(
+        F.min("t_s").alias("t_start"), F.max(F.when(closes, F.col("t_s"))).alias("t_end"),
+        F.count_if("alert").alias("n_alerts"), F.max("n_hot").alias("max_hot"))
+    return arrange(rows, by, ["_stretch"]).rank("episode").done().drop("_stretch")
 
 
 def latest_status(scans: DataFrame, by: list[str], order: str = "scan_no") -> DataFrame:

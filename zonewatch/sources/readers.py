@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +18,36 @@ def _file(path: Column | None = None) -> Column:
     return F.col("_metadata.file_path") if path is None else path
 
 
-def read_frames(spark: SparkSession, path: str, camera_id: str, interval_s: float) -> DataFrame:
-    """Decoded images of a folder in name order, one interval apart; unreadable ones are skipped."""
-    img = (spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", IMAGE_GLOB).load(path)
-           .select("image.origin", "image.width", "image.height",
-                   F.col("image.nChannels").alias("channels"), "image.data")
-           .withColumn("camera_id", F.lit(camera_id)))
-    # numbered without the pixels, so that only names are sorted
-    names = arrange(img.select("camera_id", "origin"), ["camera_id"], ["origin"]).rank("_rn").done()
-    return (img.join(names, ["camera_id", "origin"])
+def read_frames(spark: SparkSession, path: str, camera_id: str, interval_s: float,
+                decode: Callable[[bytes], tuple[int, int, int, bytes] | None] | None = None,
+                keep_unreadable: bool = False) -> DataFrame:
+    """Decoded images of a folder in name order, one interval apart.
+
+    Every accepted file counts for the time, also one that cannot be decoded; those are left out, or with
+    `keep_unreadable` returned with null pixels. Java reads no .webp: with such a file a read fails unless
+    `decode` is passed, a function from file contents to (width, height, channels, BGR bytes) or None.
+    """
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", IMAGE_GLOB).load(path)
+    names = (arrange(listing.select(F.lit(camera_id).alias("camera_id"), F.col("path").alias("origin")), ["camera_id"], ["origin"])
+             .rank("_rn").done())
+    if decode is None:
+        img = (spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", IMAGE_GLOB).load(path)
+               .select(F.col("image.origin").alias("origin"), F.col("image.width").alias("width"), F.col("image.height").alias("height"),
+                       F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data")).filter("width > 0"))
+    else:
+        def run(batches):
+            for pdf in batches:
+                got = [decode(bytes(c)) or (None, None, None, None) for c in pdf["content"]]
+                yield pd.DataFrame({"origin": pdf["path"], **{n: pd.Series([g[i] for g in got], dtype=object)
+                                                              for i, n in enumerate(("width", "height", "channels", "data"))}})
+        img = listing.select("path", "content").mapInPandas(run, "origin string, width int, height int, channels int, data binary")
+    # the two readers write a path differently (file:///x, file:/x)
+    plain = lambda c: F.regexp_replace(c, "^(file|hdfs):/+", "/")
+    img = img.select(plain("origin").alias("_file"), "width", "height", "channels", "data")
+    file = plain("origin")
+    if decode is None:
+        file = F.when(F.lower("origin").endswith(".webp"), F.raise_error(F.concat(F.lit("pass decode to read "), "origin"))).otherwise(file)
+    return (names.withColumn("_file", file).join(img, "_file", "left" if keep_unreadable else "inner")
             .select("camera_id", (F.col("_rn") - 1).alias("scan_no"),
                     F.timestamp_micros(((F.col("_rn") - 1) * F.lit(interval_s * 1_000_000)).cast("bigint")).alias("ts"),
                     "width", "height", "channels", "data"))

@@ -7,19 +7,25 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonewatch.session import materialize, shared_dir
+from zonewatch.session import materialize, release, shared_dir
 from zonewatch.sinks.writers import write_scan_log
 
 
-def stage_input(df: DataFrame, files: int, order: list[str]) -> str:
-    """Write rows as files of consecutive ranges, one after the other.
+ROWS_PER_FILE = 200_000
 
-    A file stream takes files by their time, so the ranges arrive in order.
+
+def stage_input(df: DataFrame, ranges: int, order: list[str], by: list[str], rows_per_file: int = ROWS_PER_FILE) -> str:
+    """Write rows as consecutive ranges of the order, one range after the other.
+
+    A file stream takes files by their time, so the ranges arrive in order. Within a range the rows of a
+    key are in one file; the number of files follows the number of rows.
     """
-    ranged = materialize(df.repartitionByRange(files, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = materialize(df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()))
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stream-in-{uuid.uuid4().hex}"
-    for i in range(files):
-        ranged.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    for i in range(ranges):
+        part = ranged.filter(F.col("_part") == i).drop("_part")
+        part.repartition(max(1, -(-part.count() // rows_per_file)), *by).write.mode("append").parquet(path)
+    release(ranged)
     return path
 
 

@@ -21,7 +21,7 @@ RESULT = T.StructType([T.StructField("camera_id", T.StringType()), T.StructField
                        T.StructField("sig", T.StringType()), T.StructField("n_cells", T.IntegerType()),
                        *schemas.SCAN_RESULT.fields])
 SNAPSHOT = T.StructType([T.StructField("camera_id", T.StringType()), T.StructField("zone_id", T.StringType()),
-                         T.StructField("state", T.BinaryType())])
+                         T.StructField("sig", T.StringType()), T.StructField("state", T.BinaryType())])
 
 
 class ZoneProcessor(StatefulProcessor):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import warnings
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,14 @@ def final_states(scans: DataFrame, params: ScanParams) -> DataFrame:
     rows = replay(complete_scans(scans), KEY, ["t_s", "scan_no"], step, "state binary",
                   keep=[*KEY, "t_s", "scan_no"]).filter("state is not null")
     # a zone may span batches; its newest packed state is the final one
-    return rows.groupBy(*KEY).agg(F.max_by("state", F.struct("t_s", "scan_no")).alias("state"))
+    last = rows.groupBy(*KEY).agg(F.max_by("state", F.struct("t_s", "scan_no")).alias("state"))
+    return last.withColumn("sig", F.pandas_udf(_signature, "string")("state")).select(*SNAPSHOT.names)
+
+
+def _signature(states: pd.Series) -> pd.Series:
+    """Grid signature of packed states; null for a zone without a state."""
+    found = [pickle.loads(s) if s is not None else None for s in states]
+    return pd.Series([None if s is None else s["sig"] for s in found], dtype=object)
 
 
 def save_state(states: DataFrame, path: str) -> None:
@@ -41,17 +49,21 @@ def save_state(states: DataFrame, path: str) -> None:
 def load_state(spark: SparkSession, path: str, grids: DataFrame | None = None) -> DataFrame:
     """Saved states; with `grids` (camera_id, zone_id, sig) only those of the current grid.
 
-    A missing or unreadable snapshot gives no rows, so the zones start empty.
+    A folder that does not exist gives no rows, so the zones start empty; so does a snapshot whose files
+    cannot be decoded, with a warning. Other failures (no permission, a lost file system) are raised.
     """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], SNAPSHOT)
+    df = spark.read.schema(SNAPSHOT).parquet(path)
     try:
-        df = spark.read.schema(SNAPSHOT).parquet(path)
-        df.limit(1).count()
-    except Exception:
+        df.agg(F.count("state")).first()
+    except Exception as e:
+        if not any(sign in str(e) for sign in ("CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "FAILED_READ_FILE", "corrupt")):
+            raise
+        warnings.warn(f"the snapshot at {path} cannot be decoded, zones start empty: {str(e)[:200]}", stacklevel=2)
         return spark.createDataFrame([], SNAPSHOT)
-    if grids is None:
-        return df
-    current = df.join(unpack_reference(df).select(*KEY, "sig").distinct(), KEY)
-    return current.join(grids.select(*KEY, "sig"), [*KEY, "sig"], "left_semi").select(*SNAPSHOT.names)
+    return df if grids is None else df.join(grids.select(*KEY, "sig"), [*KEY, "sig"], "left_semi").select(*SNAPSHOT.names)
 
 
 def _unpack(states: DataFrame, schema, rows_of) -> DataFrame:
@@ -65,7 +77,7 @@ def _unpack(states: DataFrame, schema, rows_of) -> DataFrame:
                     base.insert(0, "zone_id", zone)
                     base.insert(0, "camera_id", cam)
                     yield rows_of(base, s)[schema.names]
-    return states.select(*SNAPSHOT.names).mapInPandas(run, schema)
+    return states.select(*KEY, "state").mapInPandas(run, schema)
 
 
 def unpack_reference(states: DataFrame) -> DataFrame:
