@@ -42,6 +42,7 @@ THRESHOLD = 0.7
 FEATURES = 8
 _TOKEN = re.compile(r"[^\W_]+|[\"“”„«»‘’]")
 _OPEN, _CLOSE, _EITHER = set("“„«‘"), set("”»’"), {'"'}
+_QUOTES = _OPEN | _CLOSE | _EITHER
 _FLUSH = 300_000
 
 
@@ -204,12 +205,16 @@ class Matcher:
 
 def features(text: str | None, terms: dict[str, float], matcher: Matcher) -> list[float]:
     """What the regression sees of one whole text; all zero without hits but for the length."""
+    text = (text or "").lower()
+    words = _TOKEN.findall(text)
+    if not any(len(w) > 2 and matcher.match(w) is not None for w in set(words)):  # most texts: no hit at all
+        n = len(words) - sum(text.count(c) for c in _QUOTES)
+        return [0.0] * (FEATURES - 1) + [np.log1p(n) / 10.0]
     n = exact = fuzzy = quoted = 0.0
     kinds: dict[str, float] = {}
     opened, at, place = None, [], []
-    for m in _TOKEN.finditer((text or "").lower()):
-        w = m.group()
-        if len(w) == 1 and (w in _OPEN or w in _CLOSE or w in _EITHER):
+    for w in words:
+        if w in _QUOTES:
             inside = opened is not None and n - opened <= WINDOW
             opened = n if w in _OPEN or (w in _EITHER and not inside) else None
             continue
