@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +36,11 @@ def read_frames(spark: SparkSession, path: str, camera_id: str, interval_s: floa
                        F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data")).filter("width > 0"))
     else:
         def run(batches):
-            for pdf in batches:
-                got = [decode(bytes(c)) or (None, None, None, None) for c in pdf["content"]]
-                yield pd.DataFrame({"origin": pdf["path"], **{n: pd.Series([g[i] for g in got], dtype=object)
-                                                              for i, n in enumerate(("width", "height", "channels", "data"))}})
-        img = listing.select("path", "content").mapInPandas(run, "origin string, width int, height int, channels int, data binary")
+            for batch in batches:
+                got = [decode(c) or (None,) * 4 for c in batch.column(1).to_pylist()]
+                yield pa.record_batch([batch.column(0), *[pa.array([g[i] for g in got], t) for i, t in enumerate(
+                    (pa.int32(), pa.int32(), pa.int32(), pa.binary()))]], names=["origin", "width", "height", "channels", "data"])
+        img = listing.select("path", "content").mapInArrow(run, "origin string, width int, height int, channels int, data binary").filter("width IS NOT NULL")
     # the two readers write a path differently (file:///x, file:/x)
     plain = lambda c: F.regexp_replace(c, "^(file|hdfs):/+", "/")
     img = img.select(plain("origin").alias("_file"), "width", "height", "channels", "data")
