@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from zonewatch.functions import geometry as G
 from zonewatch.functions import grading, keys
-from zonewatch.functions.replies import parse_reply
+from zonewatch.functions.replies import parse_replies
 from zonewatch.operators import grid as GR
 
 RECT = [[200 / 1920, 300 / 1080], [1000 / 1920, 300 / 1080], [1000 / 1920, 700 / 1080], [200 / 1920, 700 / 1080]]
@@ -104,8 +104,7 @@ def test_replies(spark):
              ('{"litter": true, broken', 1.0, "unparsed-yes"), ("{nothing}", 0.0, "unparsed: {nothing}"),
              ('{"litter": true, "confidence": null}', 1.0, "unparsed-yes")]
     df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string").coalesce(1)
-    score, note = parse_reply(F.col("t"))
-    for r in df.select("i", score.alias("s"), note.alias("n")).collect():
+    for r in parse_replies(df, "t", "s", "n").collect():
         assert (round(r.s, 9), r.n) == (cases[r.i][1], cases[r.i][2]), cases[r.i]
 
 

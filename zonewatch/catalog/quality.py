@@ -8,7 +8,7 @@ from zonewatch.catalog.base import BOXES, center_sql, query
 from zonewatch.functions import geometry as G
 from zonewatch.functions import keys as K
 from zonewatch.functions.grading import COARSE_BANDS, FRACTION_BANDS, PX_BANDS, usable_negative
-from zonewatch.functions.replies import parse_reply
+from zonewatch.functions.replies import parse_replies
 from zonewatch.operators import boxes as BX
 from zonewatch.operators import sampling as S
 from zonewatch.operators import tiling as TL
@@ -178,13 +178,11 @@ def outcome_sample(spark, sf):
 w AS (SELECT *, round_even(least(greatest(0,(x1+x2)/2-640/s/2), 2000-640/s),0) AS wx, round_even(least(greatest(0,(y1+y2)/2-480/s/2), 1500-480/s),0) AS wy FROM b),
 g AS (SELECT *, (x1-wx)*s AS a1, (y1-wy)*s AS b1, (x2-wx)*s AS a2, (y2-wy)*s AS b2,
    x2-x1 >= 2 AND y2-y1 >= 2 AND 640/s <= 2000 AND 480/s <= 1500 AS fits FROM w)
-SELECT count(*) AS n, count(*) FILTER (fits AND a1>=0 AND b1>=0 AND a2<=640 AND b2<=480) AS n_ok,
-  sum(a1) FILTER (fits AND a1>=0 AND b1>=0 AND a2<=640 AND b2<=480) AS s_x1, sum(b2) FILTER (fits AND a1>=0 AND b1>=0 AND a2<=640 AND b2<=480) AS s_y2 FROM g""")
+SELECT image, x1, y1, x2, y2, CASE WHEN ok THEN a1 END AS gx1, CASE WHEN ok THEN b1 END AS gy1, CASE WHEN ok THEN a2 END AS gx2, CASE WHEN ok THEN b2 END AS gy2
+FROM (SELECT *, fits AND a1>=0 AND b1>=0 AND a2<=640 AND b2<=480 AS ok FROM g)""")
 def target_window(spark, sf):
     b = B.truth_boxes(spark, sf).withColumns({"width": F.lit(2000.0), "height": F.lit(1500.0)})
-    w = TL.target_window(b, 45)
-    return w.agg(F.count(F.lit(1)).alias("n"), F.count("gx1").alias("n_ok"), F.sum("gx1").alias("s_x1"),
-                 F.sum("gy2").alias("s_y2"))
+    return TL.target_window(b, 45).select("image", *CORNERS, "gx1", "gy1", "gx2", "gy2")
 
 
 # --- dataset ------------------------------------------------------------------------
@@ -335,15 +333,14 @@ def _dims(spark, sf):
 
 @query("rescale_boxes", f"""WITH {BOXES}, {DIMS}, r AS (SELECT image, x1*0.5 AS x1, y1*0.5 AS y1, x2*0.5 AS x2, y2*0.5 AS y2 FROM dims),
 c AS (SELECT image, greatest(x1,0) AS x1, greatest(y1,0) AS y1, least(x2,300) AS x2, least(y2,200) AS y2 FROM r WHERE x2-x1>=2 AND y2-y1>=2)
-SELECT image, count(*) AS n, sum(x1) AS sx1, sum(y1) AS sy1, sum(x2) AS sx2, sum(y2) AS sy2, true AS rescaled FROM c WHERE x2-x1>=2 AND y2-y1>=2 GROUP BY image""")
+SELECT image, x1, y1, x2, y2, true AS rescaled FROM c WHERE x2-x1>=2 AND y2-y1>=2""")
 def rescale_boxes(spark, sf):
-    return D.rescale_boxes(_dims(spark, sf)).groupBy("image").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in CORNERS], F.bool_and("rescaled").alias("rescaled"))
+    return D.rescale_boxes(_dims(spark, sf)).select("image", *CORNERS, "rescaled")
 
 
-@query("fit_max_side", f"""WITH {BOXES}, {DIMS} SELECT image, sum(x1*least(1.0::DOUBLE,320/600.0::DOUBLE)) AS sx1, sum(y2*least(1.0::DOUBLE,320/600.0::DOUBLE)) AS sy2 FROM dims GROUP BY image""")
+@query("fit_max_side", f"""WITH {BOXES}, {DIMS} SELECT image, x1*k AS x1, y1*k AS y1, x2*k AS x2, y2*k AS y2 FROM (SELECT *, least(1.0::DOUBLE,320/600.0::DOUBLE) AS k FROM dims)""")
 def fit_max_side(spark, sf):
-    return D.fit_max_side(_dims(spark, sf), 320).groupBy("image").agg(F.sum("x1").alias("sx1"), F.sum("y2").alias("sy2"))
+    return D.fit_max_side(_dims(spark, sf), 320).select("image", *CORNERS)
 
 
 @query("region_label_filter", f"""WITH {BOXES}, {DIMS} SELECT image, count(*) AS n_kept FROM dims WHERE {SIDE} <= 0.20*greatest(width,height) GROUP BY image""")
@@ -441,12 +438,11 @@ def augment_plan(spark, sf):
 
 @query("fraction_crop", f"""WITH {BOXES}, u AS (SELECT *, CAST('0x' || substr(md5('0|' || image || '|' || CAST(x1 AS BIGINT) || '|' || CAST(y1 AS BIGINT)),1,8) AS BIGINT)/4294967296.0::DOUBLE AS u FROM gt),
 s AS (SELECT *, least(greatest({SIDE}/(0.08+u*(0.35::DOUBLE-0.08::DOUBLE)), 24.0), 400.0::DOUBLE) AS side FROM u)
-SELECT image, sum(side) AS side, sum(greatest(0, least((x1+x2)/2-side/2, 600-side))) AS cx1, sum(greatest(0, least((y1+y2)/2-side/2, 400-side))) AS cy1 FROM s GROUP BY image""")
+SELECT image, x1, y1, x2, y2, side, greatest(0, least((x1+x2)/2-side/2, 600-side)) AS cx1, greatest(0, least((y1+y2)/2-side/2, 400-side)) AS cy1 FROM s""")
 def fraction_crop(spark, sf):
     b = B.truth_boxes(spark, sf).withColumns({"width": F.lit(600.0), "height": F.lit(400.0),
                                               "kx": F.col("x1").cast("bigint"), "ky": F.col("y1").cast("bigint")})
-    c = TL.fraction_crop(b, 0.08, 0.35, ["image", "kx", "ky"])
-    return c.groupBy("image").agg(F.sum("side").alias("side"), F.sum("cx1").alias("cx1"), F.sum("cy1").alias("cy1"))
+    return TL.fraction_crop(b, 0.08, 0.35, ["image", "kx", "ky"]).select("image", *CORNERS, "side", "cx1", "cy1")
 
 
 def _crop_boxes(spark, sf):
@@ -472,7 +468,9 @@ REPLY = """r AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN '```json\n
 
 
 @query("reply_parse", f"""WITH {REPLY} SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN CAST('0.' || turn % 10 AS DOUBLE) WHEN conv_id % 4 = 1 THEN 1.0
-  WHEN conv_id % 4 = 2 THEN 0.0 ELSE CASE WHEN lower(ltrim(trim(text, ' \n\t\r'), '*_# \n\t"''')) SIMILAR TO '(yes|true|có rác|co rac)[\\s\\S]*' THEN 1.0 ELSE 0.0 END END::DOUBLE AS score
+  WHEN conv_id % 4 = 2 THEN 0.0 ELSE CASE WHEN lower(ltrim(trim(text, ' \n\t\r'), '*_# \n\t"''')) SIMILAR TO '(yes|true|có rác|co rac)[\\s\\S]*' THEN 1.0 ELSE 0.0 END END::DOUBLE AS score,
+  CASE WHEN conv_id % 4 = 0 THEN 'bag ' || conv_id WHEN conv_id % 4 = 1 THEN 'unparsed-yes' WHEN conv_id % 4 = 2 THEN ''
+  WHEN lower(ltrim(trim(text, ' \n\t\r'), '*_# \n\t"''')) SIMILAR TO '(yes|true|có rác|co rac)[\\s\\S]*' THEN 'unparsed-yes' ELSE 'unparsed: ' || substr(trim(text, ' \n\t\r'), 1, 30) END AS note
 FROM r JOIN conversations USING (conv_id, turn)""")
 def reply_parse(spark, sf):
     i, t = F.col("conv_id"), F.col("turn")
@@ -483,4 +481,4 @@ def reply_parse(spark, sf):
              .when(i % 4 == 2, F.concat(F.lit('{"litter": false, "confidence": 1.'), digit, F.lit("}")))
              .otherwise(F.col("text")))
     c = B.table(spark, sf, "conversations").withColumn("reply", reply)
-    return c.select("conv_id", "turn", parse_reply(F.col("reply"))[0].alias("score"))
+    return parse_replies(c, "reply").select("conv_id", "turn", "score", "note")

@@ -256,12 +256,9 @@ ix AS (SELECT *, unnest({positions_sql('0', 'width', 320, 160)}) AS x1, len({pos
 it AS (SELECT image, CAST(r*nx+c AS INTEGER) AS tile_no, x1, y1, least(width, x1+320) AS x2, least(height, y1+320) AS y2 FROM ix)"""
 
 
-@query("image_tiles", f"WITH {ITILES} SELECT image, count(*) AS n_tiles, max(x2)::INTEGER AS right_edge, "
-       "max(y2)::INTEGER AS low_edge, sum(x1+y1)::BIGINT AS check_sum FROM it GROUP BY image")
+@query("image_tiles", f"WITH {ITILES} SELECT image, tile_no, x1, y1, x2, y2 FROM it")
 def image_tiles(spark, sf):
-    return TL.image_tiles(_images(spark, sf), 320, 0.5).groupBy("image").agg(
-        F.count(F.lit(1)).alias("n_tiles"), F.max("x2").alias("right_edge"), F.max("y2").alias("low_edge"),
-        F.sum(F.col("x1") + F.col("y1")).alias("check_sum"))
+    return TL.image_tiles(_images(spark, sf), 320, 0.5).select("image", "tile_no", "x1", "y1", "x2", "y2")
 
 
 LABELLED = f"""{ITILES}, {BOXES}, u AS (SELECT DISTINCT image,x1,y1,x2,y2 FROM boxes),
@@ -310,17 +307,17 @@ def zone_tiles(spark, sf):
 
 @query("tile_to_frame", f"""WITH {ZT}, d AS (SELECT l_suppkey AS camera_id, l_partkey % 100 AS bx, l_orderkey % 90 AS by_,
   l_quantity AS bw FROM lineitem)
-SELECT camera_id, count(*) AS n, sum(tx1 + bx/2.0::DOUBLE) AS sx, sum(ty1 + (by_+bw)/2.0::DOUBLE) AS sy
-FROM tiles JOIN d USING (camera_id) WHERE tile_no = 0 GROUP BY camera_id""")
+SELECT camera_id, tile_no, count(*) AS n, sum(tx1 + bx/2.0::DOUBLE) AS sx, sum(ty1 + (by_+bw)/2.0::DOUBLE) AS sy
+FROM tiles JOIN d USING (camera_id) GROUP BY camera_id, tile_no""")
 def tile_to_frame(spark, sf):
     z = GR.zone_layout(B.zones(spark, sf))
-    t = TL.zone_tiles(z, 160, 0.25).filter("tile_no = 0").select("camera_id", "tx1", "ty1")
+    t = TL.zone_tiles(z, 160, 0.25).select("camera_id", "tile_no", "tx1", "ty1")
     d = B.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("camera_id"), (F.col("l_partkey") % 100).alias("x1"),
         (F.col("l_orderkey") % 90).alias("y1"), (F.col("l_partkey") % 100 + F.col("l_quantity")).alias("x2"),
         (F.col("l_orderkey") % 90 + F.col("l_quantity")).alias("y2")).join(t, "camera_id")
     f = G.to_frame(G.box(), F.col("tx1"), F.col("ty1"), F.lit(2.0))
-    return d.groupBy("camera_id").agg(F.count(F.lit(1)).alias("n"), F.sum(f.x1).alias("sx"), F.sum(f.y2).alias("sy"))
+    return d.groupBy("camera_id", "tile_no").agg(F.count(F.lit(1)).alias("n"), F.sum(f.x1).alias("sx"), F.sum(f.y2).alias("sy"))
 
 
 @query("zone_detections", f"""WITH {ZONES}, {OCCL} SELECT o.camera_id, o.x1, o.y1, o.x2, o.y2 FROM occ o JOIN zpoly USING (camera_id)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Reply openings that count as a bare yes, and the inline marker.
@@ -14,34 +14,30 @@ FALSY = ["false", "0", "0.0", "-0", "-0.0", '""', "null", "[]", "{}"]
 DECORATION = "*_# \n\t\"'"
 
 
-def parse_reply(text: Column) -> tuple[Column, Column]:
-    """(score, note) of a reply.
+def parse_replies(df: DataFrame, text: str, score: str = "score", note: str = "note") -> DataFrame:
+    """Adds (score, note) of the replies in a column.
 
     The text from the first to the last brace is read as JSON: the truth of `litter`
     decides and `confidence` (clamped to 0..1; by default 1 for a hit, else 0) grades.
     Without usable JSON a reply that opens with a yes word scores 1, any other 0.
     """
-    body = F.trim(text, F.lit(" \n\t\r"))
-    doc = F.try_parse_json(F.nullif(F.regexp_extract(body, r"(?s)\{.*\}", 0), F.lit("")))
-
-    def token(path: str) -> Column:
-        return F.to_json(F.try_variant_get(doc, path, "variant"))
-
-    litter, given = token("$.litter"), token("$.confidence")
-    hit = F.coalesce(~litter.isin(FALSY), F.lit(False))
+    # each step is a column of its own, so that a reply is parsed once
+    df = df.withColumn("_body", F.trim(text, F.lit(" \n\t\r")))
+    df = df.withColumn("_doc", F.try_parse_json(F.nullif(F.regexp_extract("_body", r"(?s)\{.*\}", 0), F.lit(""))))
+    token = lambda path: F.to_json(F.try_variant_get("_doc", path, "variant"))
+    df = df.withColumns({"_litter": token("$.litter"), "_given": token("$.confidence"),
+                         "_what": F.coalesce(F.try_variant_get("_doc", "$.what", "string"), F.lit(""))})
+    given, hit = F.col("_given"), F.coalesce(~F.col("_litter").isin(FALSY), F.lit(False))
     value = (F.when(given == "true", 1.0).when(given == "false", 0.0)
              .otherwise(F.trim(given, F.lit('" ')).try_cast("double")))
-    conf = F.when(given.isNull(), F.when(hit, 1.0).otherwise(0.0)).otherwise(value)
-    usable = doc.isNotNull() & conf.isNotNull()
-    conf = F.least(F.greatest(conf, F.lit(0.0)), F.lit(1.0))
-
-    low = F.ltrim(F.lower(body), F.lit(DECORATION))
-    yes = low.contains(INLINE_YES)
+    df = df.withColumns({"_hit": hit, "_conf": F.when(given.isNull(), F.when(hit, 1.0).otherwise(0.0)).otherwise(value),
+                         "_low": F.ltrim(F.lower("_body"), F.lit(DECORATION))})
+    yes = F.col("_low").contains(INLINE_YES)
     for word in YES_STARTS:
-        yes = yes | low.startswith(word)
-    what = F.coalesce(F.try_variant_get(doc, "$.what", "string"), F.lit(""))
-    score = (F.when(usable & hit, conf).when(usable, 1.0 - conf)
-             .when(yes, 1.0).otherwise(0.0))
-    note = (F.when(usable, F.substring(what, 1, 40)).when(yes, F.lit("unparsed-yes"))
-            .otherwise(F.concat(F.lit("unparsed: "), F.substring(body, 1, 30))))
-    return score, note
+        yes = yes | F.col("_low").startswith(word)
+    usable = F.col("_doc").isNotNull() & F.col("_conf").isNotNull()
+    conf = F.least(F.greatest("_conf", F.lit(0.0)), F.lit(1.0))
+    graded = F.when(usable & F.col("_hit"), conf).when(usable, 1.0 - conf).when(yes, 1.0).otherwise(0.0)
+    said = (F.when(usable, F.substring("_what", 1, 40)).when(yes, F.lit("unparsed-yes"))
+            .otherwise(F.concat(F.lit("unparsed: "), F.substring("_body", 1, 30))))
+    return df.withColumns({score: graded, note: said}).drop("_body", "_doc", "_litter", "_given", "_what", "_hit", "_conf", "_low")

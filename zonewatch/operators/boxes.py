@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewatch.functions import geometry as G
-from zonewatch.session import materialize
+from zonewatch.session import has_hot_group, materialize
 
 BUCKET = 256  # px; a few buckets per frame, most boxes touch one or two
 
@@ -76,15 +78,40 @@ def iou_pairs(boxes: DataFrame, by: list[str], ids: list[str], thr: float) -> Da
             .withColumn("iou", G.iou(G.box("l_"), G.box("r_"))))
 
 
+GREEDY_BOXES = 50_000  # boxes of one image that a single task may order
+
+
+def _greedy(table: pa.Table, score: str, iou_thr: float) -> pa.Table:
+    x1, y1, x2, y2, s = (table.column(c).to_numpy().astype(np.float64) for c in ("x1", "y1", "x2", "y2", score))
+    order, kept = np.lexsort((y2, x2, y1, x1, -s)), []
+    area = (x2 - x1) * (y2 - y1)
+    while len(order):
+        i, rest = order[0], order[1:]
+        kept.append(i)
+        w = np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest])
+        h = np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest])
+        both = np.maximum(w, 0.0) * np.maximum(h, 0.0)
+        order = rest[both / (area[i] + area[rest] - both + 1e-9) <= iou_thr]
+    return table.take(pa.array(kept, pa.int64()))
+
+
 def nms(boxes: DataFrame, by: list[str], iou_thr: float = 0.5, score: str = "score") -> DataFrame:
-    """Greedy non-maximum suppression, exact, without ordering an image in one task.
+    """Greedy non-maximum suppression.
 
-    A box is dropped when a kept box of higher rank overlaps it. Only boxes with such an
-    overlap take part in the rounds: in each round the boxes nothing outranks are kept and
-    those under them dropped. Rank: score, then the corners; identical boxes count once.
+    A box is dropped when a kept box of higher rank overlaps it. Rank: score, then the corners; of boxes
+    with the same corners and score the one with the least other columns counts. Images are worked on
+    one per group; if some image has more than `GREEDY_BOXES` boxes, all go by rounds over the overlapping
+    pairs: in each round the boxes nothing outranks are kept and those under them dropped.
     """
     corner = ["x1", "y1", "x2", "y2"]
-    boxes = materialize(boxes.dropDuplicates([*by, *corner, score]))
+    columns, rest = boxes.columns, [c for c in boxes.columns if c not in (*by, *corner, score)]
+    if rest:
+        boxes = boxes.groupBy(*by, *corner, score).agg(F.min(F.struct(*rest)).alias("_rest")).select(*by, *corner, score, "_rest.*")
+    else:
+        boxes = boxes.distinct()
+    boxes = materialize(boxes.select(*columns))
+    if not has_hot_group(boxes, by, GREEDY_BOXES):
+        return boxes.groupBy(*by).applyInArrow(lambda t: _greedy(t, score, iou_thr), boxes.schema)
     rank = F.struct((-F.col(score)).alias("s"), *corner)
     ranked = boxes.select(*by, rank.alias("id"), *corner)
     left = ranked.select(*by, F.col("id").alias("hi"), *G.box().named("l_"))

@@ -51,25 +51,28 @@ def diff_mask(pixels: DataFrame, background: DataFrame, by: list[str], frame: st
     return d.select(*by, frame, "row", "col")
 
 
-def _around(mask: DataFrame, keys: list[str], r: int) -> DataFrame:
+def _along(mask: DataFrame, keys: list[str], axis: str, r: int) -> DataFrame:
+    """Each pixel at all places up to r from it along one axis. Square kernels are one pass per axis."""
     off = F.sequence(F.lit(-r), F.lit(r))
-    return (mask.select(*keys, "row", "col").withColumn("_dr", F.explode(off)).withColumn("_dc", F.explode(off))
-            .select(*keys, (F.col("row") + F.col("_dr")).alias("row"), (F.col("col") + F.col("_dc")).alias("col")))
+    return (mask.select(*keys, "row", "col").withColumn("_d", F.explode(off))
+            .withColumn(axis, F.col(axis) + F.col("_d")).drop("_d"))
 
 
 def dilate(mask: DataFrame, keys: list[str], size: int, width: int, height: int) -> DataFrame:
-    inside = F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)
-    return _around(mask, keys, size // 2).filter(inside).distinct()
+    for axis, n in (("row", height), ("col", width)):
+        mask = _along(mask, keys, axis, size // 2).filter(F.col(axis).between(0, n - 1)).distinct()
+    return mask
 
 
 def erode(mask: DataFrame, keys: list[str], size: int, width: int, height: int) -> DataFrame:
     """Pixels whose whole neighbourhood, as far as it lies in the frame, is set."""
     r = size // 2
-    span = lambda v, n: F.least(v + r, F.lit(n - 1)) - F.greatest(v - r, F.lit(0)) + 1
-    need = span(F.col("row"), height) * span(F.col("col"), width)
-    counted = _around(mask, keys, r).groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("_n"))
-    return counted.filter(F.col("_n") == need).drop("_n").join(
-        mask.select(*keys, "row", "col"), [*keys, "row", "col"], "left_semi")
+    mask = mask.select(*keys, "row", "col")
+    for axis, n in (("row", height), ("col", width)):
+        need = F.least(F.col(axis) + r, F.lit(n - 1)) - F.greatest(F.col(axis) - r, F.lit(0)) + 1
+        counted = _along(mask, keys, axis, r).filter(F.col(axis).between(0, n - 1)).groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("_n"))
+        mask = counted.filter(F.col("_n") == need).drop("_n")
+    return mask
 
 
 def opened(mask: DataFrame, keys: list[str], width: int, height: int, size: int = 3) -> DataFrame:
