@@ -8,9 +8,11 @@ at least `SCORE` are retrieved, then verified: at least `QUESTION` of the five-w
 question and `ANSWER` of the distinct words of its answer are in the passage. The answer is an item's last
 line, or the last third of its words where it has one line.
 
-WAND moves through the postings of a passage's terms in item order and skips items whose summed maxima stay
-below the threshold, first by term maxima, then by the maxima of blocks of postings. Passages whose terms
-cannot reach the threshold at all are left out by a prefix sum over the text before that.
+Items are numbered by length, so that neighbours have alike impacts, and dealt into blocks. The sum of a
+passage's block maxima bounds its score in every block at once; only blocks whose bound reaches the threshold
+are opened. In an open block WAND moves through the postings of the passage's terms in item order and skips
+items whose summed maxima stay below the threshold, first by the terms' maxima, then by the maxima of short
+runs of postings.
 
 Postings are sent to the tasks in parts of at most `PART_POSTINGS`; with more, items are dealt into more
 parts and the texts are searched once per part. Term statistics are of all items.
@@ -34,7 +36,10 @@ from zonewatch.session import materialize, release
 
 K1, B = 1.2, 0.75
 SCORE, QUESTION, ANSWER = 0.5, 0.5, 0.5
-BLOCK = 64
+RUN = 64
+BLOCK_ITEMS = 4
+#: Numbers in the table of block maxima; blocks get larger where more would be needed.
+BLOCK_TABLE = 1 << 24
 PART_POSTINGS = 2_000_000
 
 
@@ -74,17 +79,31 @@ class Index:
         self.terms, first = np.unique(terms, return_index=True)
         self.first = np.append(first, len(terms))
         self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.blocks = []  # per term: last item and largest impact of each block
+        self.runs = []  # per term: last item and largest impact of each run of postings
         for a, b in zip(self.first[:-1], self.first[1:]):
-            starts = np.arange(a, b, BLOCK)
-            self.blocks.append((self.item[np.append(starts[1:], b) - 1], np.maximum.reduceat(self.impact, starts)))
+            starts = np.arange(a, b, RUN)
+            self.runs.append((self.item[np.append(starts[1:], b) - 1], np.maximum.reduceat(self.impact, starts)))
+        self.width = max(BLOCK_ITEMS, -(-len(items) * max(1, len(self.terms)) // BLOCK_TABLE))
+        self.bounds = np.zeros((len(self.terms), -(-len(items) // self.width)), dtype=np.float32)
+        np.maximum.at(self.bounds, (np.repeat(np.arange(len(self.terms)), np.diff(self.first)), self.item // self.width),
+                      np.nextafter(self.impact.astype(np.float32), np.float32(2)))
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
         self.step = max(1, longest)
 
     def retrieve(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """(item, score) of all items with at least the score, by block-max WAND. `terms` are distinct positions."""
-        at = [[int(self.first[t]), int(self.first[t + 1]), int(t)] for t in terms]
+        """(item, score) of all items with at least the score. `terms` are distinct positions of terms."""
+        bound = self.bounds[terms].sum(axis=0)
+        return [x for b in np.flatnonzero(bound >= least - 1e-4) for x in self._wand(terms, least, int(b) * self.width, int(b + 1) * self.width)]
+
+    def _wand(self, terms: np.ndarray, least: float, low: int, high: int) -> list[tuple[int, float]]:
+        """Items from `low` to below `high`, by block-max WAND."""
+        at = []
+        for t in terms:
+            a, b = int(self.first[t]), int(self.first[t + 1])
+            i, j = np.searchsorted(self.item[a:b], (low, high))
+            if i < j:
+                at.append([a + int(i), a + int(j), int(t)])
         found = []
         least -= 1e-9
         while at:
@@ -102,7 +121,7 @@ class Index:
                 pivot += 1
             bound, until = 0.0, None
             for c in at[:pivot + 1]:
-                last, most = self.blocks[c[2]]
+                last, most = self.runs[c[2]]
                 k = int(np.searchsorted(last, d))
                 if k < len(last):
                     bound += most[k]
@@ -134,15 +153,23 @@ class Index:
             return out
         t = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         known = self.terms[t] == h
-        if self.most[t[known]].sum() < score - 1e-9:
+        # distinct terms per piece of `step` words, and per piece the bounds of all blocks; a passage is two pieces
+        place = np.flatnonzero(known)
+        if not len(place):
             return out
-        sums = np.concatenate([[0.0], np.cumsum(np.where(known, self.most[t], 0.0))])
-        starts = np.arange(0, max(1, len(h) - self.step), self.step)
-        ends = np.minimum(starts + 2 * self.step, len(h))
-        for a, b in zip(starts[(may := sums[ends] - sums[starts] >= score - 1e-6)], ends[may]):
-            terms = np.unique(t[a:b][known[a:b]])
-            if self.most[terms].sum() < score - 1e-9:
+        pairs = np.unique((place // self.step) * len(self.terms) + t[place])
+        piece, term = pairs // len(self.terms), pairs % len(self.terms)
+        heads = np.flatnonzero(np.diff(piece, prepend=-1))
+        held = np.zeros((int(piece[-1]) + 2, self.bounds.shape[1]), dtype=np.float32)
+        held[piece[heads]] = np.add.reduceat(self.bounds[term], heads)
+        may = (held[:-1] + held[1:]).max(axis=1) >= score - 1e-4
+        first = np.searchsorted(piece, np.arange(len(held) + 1))
+        last = max(0, -(-len(h) // self.step) - 2)  # the passage at the end holds the piece after the last start
+        for k in np.flatnonzero(may):
+            if k > last:
                 continue
+            a, b = int(k) * self.step, min(len(h), (int(k) + 2) * self.step)
+            terms = np.unique(term[first[k]:first[k + 2]])
             for d, s in self.retrieve(terms, score):
                 q = share_in(self.parts[d][0], h[a:b], True)
                 w = share_in(self.parts[d][1], h[a:b], False)
@@ -186,7 +213,7 @@ def build(benchmark: DataFrame, part_postings: int = PART_POSTINGS) -> list[Inde
     scored = materialize(scored.join(own, "item_id").select("item_id", "term", (F.col("impact") / F.col("self")).alias("impact"), part.alias("part")))
     out = []
     for p in range(parts):
-        texts = [(r["item_id"], r["text"]) for r in items.filter(part == p).orderBy("item_id").collect()]
+        texts = sorted(((r["item_id"], r["text"]) for r in items.filter(part == p).collect()), key=lambda x: (len(words_of(x[1])), x[0]))
         rows = scored.filter(F.col("part") == p).select("item_id", "term", "impact").toArrow()
         where = {i: k for k, (i, _) in enumerate(texts)}
         at = np.array([where[i] for i in rows.column("item_id").to_pylist()], dtype=np.int64)
