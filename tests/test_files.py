@@ -118,7 +118,9 @@ def test_dataset_and_report_sinks(spark, tmp_path):
     W.write_tiles(tiles, labels, str(tmp_path / "d"))
     assert spark.read.parquet(str(tmp_path / "d/tiles")).count() == 2
     W.write_yolo_text(labels, str(tmp_path / "y"), F.lit(640.0))
-    assert spark.read.text(str(tmp_path / "y")).first().value == "0 0.250000 0.500000 0.500000 1.000000"
+    assert spark.read.text(str(tmp_path / "y")).first().value == "S_1_t0\t0 0.250000 0.500000 0.500000 1.000000"
+    back = RD.read_yolo_lines(spark, str(tmp_path / "y"), "S").first()
+    assert (back.split, back.stem, back.cls, back.cx, back.h, back.source) == ("train", "S_1_t0", 0, 0.25, 1.0, "S")
     W.write_report(tiles.select("stem"), str(tmp_path / "m"), "markdown")
     assert {r.value for r in spark.read.text(str(tmp_path / "m")).collect()} == {"| S_1_t0 |", "| S_2_t1 |"}
     z = spark.createDataFrame([("c", "z", [[0.123456, 1.0]])], "camera_id string, zone_id string, points array<array<double>>")

@@ -16,9 +16,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from zonewatch.operators.ordered import SLICE, slices
 from zonewatch.session import has_hot_group, materialize, release
@@ -40,15 +43,19 @@ def _key_runs(pdf: pd.DataFrame, keys: list[str]):
         yield tuple(None if pd.isna(v) else v for v in k.iloc[a]), a, b
 
 
+def _exact(batch: pa.RecordBatch, columns: list[str]) -> pd.DataFrame:
+    """Columns in which whole numbers stay whole where some are null (a step sees them as doubles)."""
+    return batch.select(columns).to_pandas(integer_object_nulls=True)
+
+
 def _columns(pdf: pd.DataFrame) -> Rows:
     return {c: pdf[c].to_numpy() for c in pdf.columns}
 
 
-def _emit(pdf: pd.DataFrame, keep: list[str], results: list[dict], names: list[str]):
-    added = {n: [v for r in results for v in r[n]] for n in results[0]}
-    return pdf[keep].reset_index(drop=True).assign(
-        **{n: pd.Series(v, dtype=object if v and isinstance(v[0], (list, np.ndarray, dict))
-                        else None) for n, v in added.items()})[names]
+def _emit(batch: pa.RecordBatch, keep: list[str], results: list[dict], extra: pa.Schema) -> pa.RecordBatch:
+    """The kept columns as they came, and the step's columns."""
+    added = [pa.array([v for r in results for v in r[f.name]], f.type, from_pandas=True) for f in extra]
+    return pa.record_batch([*[batch.column(c) for c in keep], *added], names=[*keep, *extra.names])
 
 
 def replay(df: DataFrame, by: list[str], order: list[str], step: Step,
@@ -61,23 +68,23 @@ def replay(df: DataFrame, by: list[str], order: list[str], step: Step,
     if has_hot_group(df, by):
         return _replay_sliced(df, by, order, step, keep, extra, schema)
 
-    names = [f.name for f in schema.fields]
+    added = to_arrow_schema(extra)
 
     def run(batches):
         key, state = None, None
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            cols, results = _columns(pdf), []
-            for k, a, b in _key_runs(pdf, by):
+            cols, results = _columns(batch.to_pandas()), []
+            for k, a, b in _key_runs(_exact(batch, by), by):
                 if k != key:
                     key, state = k, None
                 state, res = step(state, {c: v[a:b] for c, v in cols.items()})
                 results.append(res)
-            yield _emit(pdf, keep, results, names)
+            yield _emit(batch, keep, results, added)
 
     return (df.repartition(*by).sortWithinPartitions(*by, *order)
-            .mapInPandas(run, schema=schema))
+            .mapInArrow(run, schema=schema))
 
 
 def _replay_sliced(df, by, order, step, keep, extra, schema) -> DataFrame:
@@ -97,14 +104,16 @@ def _replay_sliced(df, by, order, step, keep, extra, schema) -> DataFrame:
             data = data.unionByName(heads, allowMissingColumns=True)
         return data.repartition(*keys).sortWithinPartitions(*keys, "_kind", *order)
 
-    def drive(emit_rows: bool, names: list[str]):
+    added = to_arrow_schema(extra)
+
+    def drive(emit_rows: bool):
         def run(batches):
             key, state = None, None
-            for pdf in batches:
-                if pdf.empty:
+            for batch in batches:
+                if not batch.num_rows:
                     continue
-                cols, results = _columns(pdf), []
-                for k, a, b in _key_runs(pdf, keys):
+                cols, results = _columns(batch.to_pandas()), []
+                for k, a, b in _key_runs(_exact(batch, keys), keys):
                     if k != key:
                         if key is not None and not emit_rows:
                             yield _end(key, state)
@@ -117,18 +126,19 @@ def _replay_sliced(df, by, order, step, keep, extra, schema) -> DataFrame:
                         state, res = step(state, {c: v[a:b] for c, v in cols.items()})
                         results.append(res)
                 if emit_rows and results:
-                    yield _emit(pdf[pdf["_kind"] == 1], keep, results, names)
+                    yield _emit(batch.filter(pa.compute.equal(batch.column("_kind"), 1)), keep, results, added)
             if key is not None and not emit_rows:
                 yield _end(key, state)
         return run
 
-    def _end(key, state):
-        return pd.DataFrame([[*key, pickle.dumps(state, protocol=4)]], columns=[*keys, STATE])
-
     end_schema = T.StructType([parts.schema[c] for c in keys] + [T.StructField(STATE, T.BinaryType())])
+    end_arrow = to_arrow_schema(end_schema)
+
+    def _end(key, state):
+        return pa.record_batch([pa.array([v], f.type) for v, f in zip([*key, pickle.dumps(state, protocol=4)], end_arrow)], schema=end_arrow)
 
     def ends_of(starts, rows) -> DataFrame:
-        return materialize(rows_with(starts, rows).mapInPandas(drive(False, []), end_schema))
+        return materialize(rows_with(starts, rows).mapInArrow(drive(False), end_schema))
 
     starts = None
     if chain.limit(1).count():
@@ -152,5 +162,4 @@ def _replay_sliced(df, by, order, step, keep, extra, schema) -> DataFrame:
             release(ends, starts, moved, again)
             ends, starts = new_ends, new_starts
         release(ends)
-    names = [f.name for f in schema.fields]
-    return rows_with(starts, parts).mapInPandas(drive(True, names), schema=schema)
+    return rows_with(starts, parts).mapInArrow(drive(True), schema=schema)

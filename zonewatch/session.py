@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -91,3 +93,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     choice of join to Spark. For sides whose rows have a bounded size."""
     kept = materialize(df)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python tasks, once per application.
+
+    Nothing is sent where workers find it anyway: it is installed, on PYTHONPATH, or in the folder in
+    which a local session runs.
+    """
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    found = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if sc.master.startswith("local["):
+        found.append(os.getcwd())
+    if top in found or "site-packages" in top or getattr(sc, "_zonewatch_shipped", False):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="spark-zonewatch-"), "zonewatch")  # read by the driver alone
+    sc.addPyFile(shutil.make_archive(base, "zip", top, os.path.basename(os.path.dirname(os.path.abspath(__file__)))))
+    sc._zonewatch_shipped = True

@@ -58,11 +58,11 @@ def write_tiles(tiles: DataFrame, labels: DataFrame, path: str) -> None:
 
 
 def write_yolo_text(labels: DataFrame, path: str, side: Column) -> None:
-    """Label lines, one folder per tile (split=../stem=..)."""
+    """Label lines, one folder per split; each line starts with its tile (stem) and a tab, so that
+    millions of tiles do not become millions of folders. `read_yolo_lines` reads them."""
     line = G.yolo_line(F.coalesce(F.col("cls"), F.lit(0)), G.box(), side, side)
-    lines = labels.select("split", "stem", line.alias("value"))
-    # rows of one tile go to one task, so a tile becomes one file
-    lines.repartition("split", "stem").write.mode("overwrite").partitionBy("split", "stem").text(path)
+    (labels.select("split", F.concat_ws("\t", "stem", line).alias("value"))
+     .write.mode("overwrite").partitionBy("split").text(path))
 
 
 def write_class_names(spark, names: list[str], path: str) -> None:

@@ -91,12 +91,12 @@ def read_coco(spark: SparkSession, path: str, source: str) -> tuple[DataFrame, D
     return images, annotations, categories
 
 
-def yolo_lines(lines: DataFrame, keep: list[int] | None = None) -> DataFrame:
+def yolo_lines(lines: DataFrame, keep: list[int] | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """text lines (value, stem, line_no) -> labels; short or unreadable lines are skipped."""
     parts = F.split(F.trim("value"), r"\s+")
     num = [parts[i].try_cast("double") for i in range(1, 5)]
     out = (lines.filter(F.size(parts) >= 5)
-           .select("stem", "line_no", F.size(parts).alias("n_fields"), parts[0].try_cast("double").cast("int").alias("cls"),
+           .select(*also, "stem", "line_no", F.size(parts).alias("n_fields"), parts[0].try_cast("double").cast("int").alias("cls"),
                    *[c.alias(n) for c, n in zip(num, ("cx", "cy", "w", "h"))])
            .filter("cls is not null and cx is not null and cy is not null and w is not null and h is not null"))
     return out.filter(F.col("cls").isin(keep)) if keep else out
@@ -110,6 +110,13 @@ def read_yolo(spark: SparkSession, path: str, source: str, keep: list[int] | Non
     return yolo_lines(raw, keep).withColumn("source", F.lit(source))
 
 
+def read_yolo_lines(spark: SparkSession, path: str, source: str, keep: list[int] | None = None) -> DataFrame:
+    """Label lines that start with their tile and a tab (`write_yolo_text`), with their split."""
+    v = F.split("value", "\t", 2)
+    lines = spark.read.text(path).select("split", v[0].alias("stem"), F.lit(0).alias("line_no"), v[1].alias("value"))
+    return yolo_lines(lines, keep, ("split",)).drop("line_no").withColumn("source", F.lit(source))
+
+
 def read_listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Files below a folder, with their folder name; contents are not read."""
     f = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
