@@ -91,3 +91,23 @@ def reference_lookup(spark, sf):
     refs = d.filter("cell % 3 != 0").groupBy("cell").agg(F.min_by("desc", "scan_no").alias("desc"))
     return GR.with_reference(d, refs, ["cell"]).select("cell", "scan_no", F.element_at("desc", 1).cast("double").alias("now"),
                                                        F.element_at("ref", 1).cast("double").alias("was"))
+
+
+VERIFY = """v AS (SELECT CAST(vec_id % 4 AS VARCHAR) AS camera_id, label, row_number() OVER (PARTITION BY vec_id % 4, label ORDER BY vec_id) AS scan_no, embedding AS e FROM embeddings)"""
+
+
+@query("scan_to_report", f"""WITH {VERIFY}, s AS (SELECT camera_id, scan_no, count(*) FILTER (e[2] < 0.05) AS n, max(e[5] * 2 + 0.5) FILTER (e[2] < 0.05) AS conf FROM v GROUP BY ALL)
+SELECT camera_id, max(scan_no) * 30.0::DOUBLE - min(scan_no) * 30.0::DOUBLE AS span_s, count(*) AS n_scans, CAST(sum(n) AS BIGINT) AS n_boxes,
+  CAST(max(conf) AS DOUBLE) AS top_conf FROM s GROUP BY camera_id""")
+def scan_to_report(spark, sf):
+    """Zone scan, its log, the reports on it: detections and confidence come through to the end."""
+    from zonewatch.catalog.scans import zone_cells
+    from zonewatch.operators.zone_scan import scan_batch
+    from zonewatch.plans import runlog
+    by = ["camera_id", "zone_id", "scan_no"]
+    scans = zone_scans(spark, sf)
+    boxes = zone_cells(spark, sf).filter("det_hit").select(*by, F.col("score").alias("conf"))
+    log = runlog.scan_log(scan_batch(scans, PARAMS), scans, by, boxes)
+    top = log.groupBy("camera_id").agg(F.max("verify_conf").alias("top_conf"))
+    return (runlog.run_summary(log, ["camera_id"]).join(runlog.reject_share(log, ["camera_id"], ["scan_no"]), "camera_id").join(top, "camera_id")
+            .select("camera_id", "span_s", "n_scans", F.col("n_boxes"), "top_conf"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from zonewatch.functions.grading import rate_per_day, rate_verdict
 from zonewatch.operators.ordered import arrange, indexed_values
+from zonewatch.sinks.writers import hot_cells_text
 
 SHIFT_PX = 3.0  # fixed: a scan counts as shifted from here
 
@@ -23,6 +24,28 @@ def stitch_segments(log: DataFrame, by: list[str], order: list[str], t: str = "t
             .drop("_prev", "_jump", "_new", "_off"))
 
 
+def scan_log(results: DataFrame, scans: DataFrame, by: list[str], boxes: DataFrame | None = None,
+             ms: DataFrame | None = None) -> DataFrame:
+    """The results of a zone scan as a log that the reports below can read: all log columns.
+
+    `scans` are the scans that went in (shift_px, stab_px and, if there, stab_deg are theirs), `boxes` the
+    detections (by.., conf) and `ms` the durations (by.., ms) of single scans, where there are any. `by`
+    names one scan.
+    """
+    given = scans.select(*by, *[(F.col(c) if c in scans.columns else F.lit(None)).cast("double").alias(c)
+                                for c in ("shift_px", "stab_px", "stab_deg")])
+    log = results.join(given, by, "left")
+    if boxes is not None:
+        seen = boxes.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("n_verify_boxes"), F.max("conf").alias("verify_conf"))
+        log = log.join(seen, by, "left").withColumn("n_verify_boxes", F.coalesce("n_verify_boxes", F.lit(0)))
+    else:
+        log = log.withColumns({"n_verify_boxes": F.lit(0), "verify_conf": F.lit(None).cast("double")})
+    log = log.join(ms, by, "left") if ms is not None else log.withColumn("ms", F.lit(None).cast("double"))
+    notes = F.concat_ws("; ", F.when(F.col("late"), "late"), F.when(F.col("global_change"), "whole scene changed"),
+                        F.when(F.col("ref_reset"), "references reset"), F.when(F.col("verify_failed"), "detector failed"))
+    return log.withColumns({"hot_cells": hot_cells_text(F.col("hot_rows"), F.col("hot_cols")), "notes": notes})
+
+
 def run_summary(log: DataFrame, by: list[str]) -> DataFrame:
     n = F.count(F.lit(1))
     return log.groupBy(*by).agg(
