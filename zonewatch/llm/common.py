@@ -21,6 +21,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def long_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches have at most so many rows from now on: rows here are whole texts, and a batch
+    of ten thousand of them is held several times over on its way through a Python task."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting, "10000")) <= rows:
+        spark.conf.set(setting, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

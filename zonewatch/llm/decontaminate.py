@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonewatch.llm.common import long_rows
 from zonewatch.llm.hashing import SHINGLE, row_words, shingle_hashes, word_hashes
 from zonewatch.session import materialize, release
 
@@ -181,6 +182,7 @@ class Index:
 
 def build(benchmark: DataFrame, part_postings: int = PART_POSTINGS) -> list[Index]:
     """Indexes of all items of (item_id, text), in parts of bounded size."""
+    long_rows(benchmark.sparkSession)
     items = materialize(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).filter("item_id IS NOT NULL")
                         .groupBy("item_id").agg(F.min("text").alias("text")))
 

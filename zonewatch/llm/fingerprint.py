@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonewatch.llm.common import partitions
+from zonewatch.llm.common import long_rows, partitions
 from zonewatch.llm.neighbours import beside, cuts
 
 BUCKETS = 256
@@ -92,6 +92,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of all (doc_id, text), of the edited texts, and their likeness; see the contract.
 
     In ascending order the next document in descending order is the row before."""
+    long_rows(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key_"))
     spans = cuts(rows, "key_", 3 * partitions(docs.sparkSession))

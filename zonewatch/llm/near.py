@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonewatch.llm.common import add_pieces, counting, fixed_counts, pieces_of
+from zonewatch.llm.common import add_pieces, fixed_counts, long_rows, pieces_of
 from zonewatch.llm.components import connected
 from zonewatch.llm.hashing import mix, row_sets, set_digest
 from zonewatch.session import materialize, release
@@ -246,6 +246,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                     order_cells: int = ORDER_CELLS) -> DataFrame:
     """Per row of `docs`: its id, its number of distinct shingles, and the smallest id of its component."""
+    long_rows(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(docs.dtypes)["id"]
     profile = materialize(_profile(docs, id_type, order_cells))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonewatch.llm.common import lookup_side
+from zonewatch.llm.common import long_rows, lookup_side
 from zonewatch.session import materialize, release
 
 MAX_TERMS = 2000
@@ -110,7 +110,7 @@ def choose_terms(counts: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
 class Matcher:
     """All terms' Levenshtein automata run on the trie of the terms, states built as they are met."""
 
-    def __init__(self, terms: dict[str, float], max_states: int = 200_000):
+    def __init__(self, terms: dict[str, float], max_states: int = 20_000, max_seen: int = 60_000):
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[tuple[str, bool] | None] = [None]
         self.reach: list[int] = [0]  # errors that the longest term below a node allows
@@ -128,7 +128,7 @@ class Matcher:
                 self.reach[node] = max(self.reach[node], allowed)
             if self.ends[node] is None or term.endswith("*"):
                 self.ends[node] = (term, term.endswith("*"))
-        self.max_states = max_states
+        self.max_states, self.max_seen = max_states, max_seen
         self.clear()
 
     def clear(self) -> None:
@@ -186,8 +186,10 @@ class Matcher:
         """(errors, term) of the best term that the word, or a beginning of it, is; else None."""
         if word in self.seen:
             return self.seen[word]
-        if len(self.states) > self.max_states or len(self.seen) > self.max_states:
+        if len(self.states) > self.max_states:
             self.clear()
+        elif len(self.seen) > self.max_seen:
+            self.seen = {}  # the states stay: they are few, words are many
         at, best = self.start, None
         for c in word:
             to = self.moves[at].get(c)
@@ -266,6 +268,7 @@ class Model:
     def score(self, docs: DataFrame, text_col: str = "text", name: str = "score") -> DataFrame:
         """`docs` with the score of each whole text as a new column (which replaces one of that name)."""
         terms, weights = self.terms, self.weights
+        long_rows(docs.sparkSession)
 
         @F.pandas_udf("double")
         def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -282,6 +285,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learn from documents (doc_id, text) and labels (doc_id, toxic). The caller leaves out held-out rows."""
+    long_rows(docs.sparkSession)
     marks = lookup_side(labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), 1_000_000)
     labelled = docs.select("doc_id", "text").join(marks, "doc_id")
     size = {int(r["toxic"] > 0): r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
