@@ -81,26 +81,62 @@ def iou_pairs(boxes: DataFrame, by: list[str], ids: list[str], thr: float) -> Da
 GREEDY_BOXES = 50_000  # boxes of one image that a single task may order
 
 
-def _greedy(table: pa.Table, score: str, iou_thr: float) -> pa.Table:
-    x1, y1, x2, y2, s = (table.column(c).to_numpy().astype(np.float64) for c in ("x1", "y1", "x2", "y2", score))
-    order, kept = np.lexsort((y2, x2, y1, x1, -s)), []
-    area = (x2 - x1) * (y2 - y1)
+SMALL = 48  # boxes of one image up to which plain loops are faster than array steps
+
+
+def _keep(b: list[tuple], iou_thr: float) -> list[int]:
+    """Positions kept of boxes (x1, y1, x2, y2) in order of rank."""
+    kept: list[int] = []
+    for i, (x1, y1, x2, y2) in enumerate(b):
+        area = (x2 - x1) * (y2 - y1)
+        for k in kept:
+            u1, v1, u2, v2 = b[k]
+            both = max(min(x2, u2) - max(x1, u1), 0.0) * max(min(y2, v2) - max(y1, v1), 0.0)
+            if both / (area + (u2 - u1) * (v2 - v1) - both + 1e-9) > iou_thr:
+                break
+        else:
+            kept.append(i)
+    return kept
+
+
+def _keep_many(c: np.ndarray, iou_thr: float) -> list[int]:
+    x1, y1, x2, y2 = c.T
+    area, order, kept = (x2 - x1) * (y2 - y1), np.arange(len(c)), []
     while len(order):
         i, rest = order[0], order[1:]
-        kept.append(i)
+        kept.append(int(i))
         w = np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest])
         h = np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest])
         both = np.maximum(w, 0.0) * np.maximum(h, 0.0)
         order = rest[both / (area[i] + area[rest] - both + 1e-9) <= iou_thr]
-    return table.take(pa.array(kept, pa.int64()))
+    return kept
+
+
+def _image_starts(rows: pa.Table, by: list[str]) -> np.ndarray:
+    change = np.zeros(rows.num_rows, dtype=bool)
+    change[:1] = True
+    for k in by:
+        codes = rows.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        change[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(change)
+
+
+def _suppress(rows: pa.Table, starts: np.ndarray, iou_thr: float) -> pa.Table:
+    """Rows kept of whole images, sorted by image and rank."""
+    c = np.stack([rows.column(x).to_numpy().astype(np.float64) for x in ("x1", "y1", "x2", "y2")], axis=1)
+    kept: list[int] = []
+    for a, b in zip(starts, [*starts[1:], rows.num_rows]):
+        part = c[a:b]
+        kept += [int(a) + i for i in (_keep(part.tolist(), iou_thr) if b - a <= SMALL else _keep_many(part, iou_thr))] if b - a > 1 else [int(a)]
+    return rows.take(pa.array(kept, pa.int64()))
 
 
 def nms(boxes: DataFrame, by: list[str], iou_thr: float = 0.5, score: str = "score") -> DataFrame:
     """Greedy non-maximum suppression.
 
     A box is dropped when a kept box of higher rank overlaps it. Rank: score, then the corners; of boxes
-    with the same corners and score the one with the least other columns counts. Images are worked on
-    one per group; if some image has more than `GREEDY_BOXES` boxes, all go by rounds over the overlapping
+    with the same corners and score the one with the least other columns counts. A task goes through its
+    images one by one; if some image has more than `GREEDY_BOXES` boxes, all go by rounds over the overlapping
     pairs: in each round the boxes nothing outranks are kept and those under them dropped.
     """
     corner = ["x1", "y1", "x2", "y2"]
@@ -111,7 +147,21 @@ def nms(boxes: DataFrame, by: list[str], iou_thr: float = 0.5, score: str = "sco
         boxes = boxes.distinct()
     boxes = materialize(boxes.select(*columns))
     if not has_hot_group(boxes, by, GREEDY_BOXES):
-        return boxes.groupBy(*by).applyInArrow(lambda t: _greedy(t, score, iou_thr), boxes.schema)
+        def run(batches):
+            held = None  # the image that may go on in the next batch
+            for batch in batches:
+                rows = pa.Table.from_batches([batch])
+                rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+                starts = _image_starts(rows, by)
+                if len(starts):
+                    done = int(starts[-1])
+                    yield from _suppress(rows.slice(0, done), starts[:-1], iou_thr).to_batches()
+                    held = rows.slice(done)
+            if held is not None and held.num_rows:
+                yield from _suppress(held, np.array([0]), iou_thr).to_batches()
+
+        ranked = boxes.repartition(*by).sortWithinPartitions(*by, F.desc(score), *corner)
+        return ranked.mapInArrow(run, boxes.schema)
     rank = F.struct((-F.col(score)).alias("s"), *corner)
     ranked = boxes.select(*by, rank.alias("id"), *corner)
     left = ranked.select(*by, F.col("id").alias("hi"), *G.box().named("l_"))
