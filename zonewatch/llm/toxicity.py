@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from zonewatch.llm.common import long_rows, lookup_side
 from zonewatch.session import materialize, release
 
-MAX_TERMS = 2000
+MAX_TERMS = 500
 MIN_DOCS = 3
 MIN_LOG_ODDS = 2.5
 FIT_ROWS = 20_000
@@ -110,7 +110,7 @@ def choose_terms(counts: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
 class Matcher:
     """All terms' Levenshtein automata run on the trie of the terms, states built as they are met."""
 
-    def __init__(self, terms: dict[str, float], max_states: int = 20_000, max_seen: int = 60_000):
+    def __init__(self, terms: dict[str, float], max_states: int = 200_000, max_seen: int = 60_000):
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[tuple[str, bool] | None] = [None]
         self.reach: list[int] = [0]  # errors that the longest term below a node allows
