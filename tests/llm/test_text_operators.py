@@ -187,6 +187,26 @@ def test_toxicity_learns_and_spares(spark):
     assert model.score(docs.limit(0)).collect() == []
 
 
+def test_copies_of_a_toxic_text_displace_no_terms(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(300)]
+    bad = ["idiot", "moron", "scum", "clown"]
+    hot = " ".join("".join(rng.choices("bcdfgjklmpquvwxyz", k=9)) for _ in range(700))
+    rows = [(i, " ".join(rng.choices(words, k=40) + ([bad[i // 6 % 4]] * 2 if i % 6 == 0 else [])), int(i % 6 == 0)) for i in range(900)]
+    rows += [(10_000 + i, hot, 1) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert set(bad) <= set(model.terms) and not set(hot.split()) & set(model.terms)
+    new = spark.createDataFrame([(i, " ".join(rng.choices(words, k=40) + [w] * 2)) for i, w in enumerate(bad)], "doc_id long, text string")
+    assert model.score(new).filter("score < 0.7").count() == 0
+
+
+def test_lexicon_has_all_significant_terms(spark):
+    terms = [f"{a}{b}{c}" for a in "bcdfgjklmp" for b in "aeiou" for c in "qvwxyzbcdfgjkl"]
+    counts = spark.createDataFrame([("", 5000, 50_000)] + [(t, 50, 0) for t in terms], "term string, pos long, neg long")
+    assert toxicity.choose_terms(counts, 5000, 50_000).keys() == set(terms) and len(terms) == 700
+
+
 def _bm25(items):
     toks = {i: t.lower().split() for i, t in items}
     mean = sum(map(len, toks.values())) / len(toks)

@@ -1,20 +1,21 @@
 """Operator 7: toxic documents by a learned lexicon, met exactly or misspelled, in context.
 
-1. **Lexicon.** Over all labelled training rows, every word and every word beginning of four to eight
-   letters is counted once per document and class. Terms whose smoothed log odds are high enough become
-   the lexicon; a beginning covers the forms built on it. At most `MAX_TERMS` terms are kept, best first.
+1. **Lexicon.** Over all distinct texts of labelled training rows, every word and every word beginning of
+   four to eight letters is counted once per text and class; copies of a text add nothing. All terms whose
+   smoothed log odds are high enough and that pass the significance test become the lexicon, however many
+   they are; a beginning covers the forms built on it.
 2. **Matching.** The terms form a trie, and one Levenshtein automaton per term is run on it at the same
    time: a state is the set of (trie node, errors so far), built when first met and kept. A word runs
    through it letter by letter and stops as soon as no term is left in reach. Terms of at least
    `FUZZY_MIN` letters may be one error off, those of at least nine letters two.
 3. **Context.** A hit counts fully in open text and at `QUOTED` of its weight inside quotation marks
    opened at most `WINDOW` words before it. The densest window of hits is a feature of its own.
-4. **Score.** A logistic regression over a handful of such features, fitted on at most `FIT_ROWS`
-   labelled training rows (those with the smallest hash of their id). Everything else uses all rows.
+4. **Score.** A logistic regression over a handful of such features, fitted on about `FIT_ROWS` distinct
+   texts of labelled training rows at most (by a hash of the text). Everything else uses all of them.
 
 Only the text is scored; labels, language, source and id are not features. Null and empty texts have no
 hits and get the score of a text without hits. Without training labels of both classes every score is 0.
-Labels that disagree for one id count as toxic; null labels are left out. Repeated rows are scored alike.
+Labels that disagree for one id, or for one text, count as toxic; null labels are left out. Repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 from zonewatch.llm.common import long_rows, lookup_side
 from zonewatch.session import materialize, release
 
-MAX_TERMS = 500
 MIN_DOCS = 3
 MIN_LOG_ODDS = 2.5
 FIT_ROWS = 20_000
@@ -51,8 +51,14 @@ def forms(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in range(4, min(8, len(word)) + 1)]] if len(word) > 2 else []
 
 
+def distinct_texts(labelled: DataFrame) -> DataFrame:
+    """(text, toxic), each text once; toxic if any of its rows is. Copies meet in the tasks that read them first."""
+    return labelled.groupBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")).agg(
+        F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+
+
 def term_counts(labelled: DataFrame) -> DataFrame:
-    """term, toxic documents, other documents: over all rows of (text, toxic)."""
+    """term, toxic texts, other texts: over all rows of (text, toxic). The empty term counts the rows themselves."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by = (Counter(), Counter())
 
@@ -64,7 +70,7 @@ def term_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 words = {w for w in _TOKEN.findall((text or "").lower()) if len(w) > 2}
-                by[int(toxic > 0)].update({f for w in words for f in forms(w)})
+                by[int(toxic > 0)].update({"", *(f for w in words for f in forms(w))})
                 if len(by[0]) + len(by[1]) > _FLUSH:
                     yield flush()
         yield flush()
@@ -74,12 +80,13 @@ def term_counts(labelled: DataFrame) -> DataFrame:
 
 
 def choose_terms(counts: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
-    """The best terms with their log odds.
+    """All terms that pass, with their log odds.
 
     A term must be more lopsided than the most lopsided of equally many terms would be by chance (G test,
     all terms counted). Of a beginning and a longer form with nearly the same documents the longer is kept;
     otherwise a kept beginning stands for all its longer forms.
     """
+    counts = counts.filter("term != ''")
     tried = counts.filter(F.col("pos") + F.col("neg") >= MIN_DOCS).count()
     base = n_pos / (n_pos + n_neg)
     share = F.col("pos") / (F.col("pos") + F.col("neg"))
@@ -88,7 +95,7 @@ def choose_terms(counts: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
     rows = (counts.filter(F.col("pos") >= MIN_DOCS).withColumn("odds", odds).withColumn("gain", gain)
             .filter((F.col("odds") >= MIN_LOG_ODDS) & (F.col("gain") >= float(np.log(max(tried, 1)) + 1)))
-            .orderBy(F.col("gain").desc(), F.length("term").desc(), "term").limit(4 * MAX_TERMS).collect())
+            .select("term", "pos", "odds").collect())
     found = {r["term"]: r for r in rows}
     longer: dict[str, int] = {}
     for t, r in found.items():
@@ -103,8 +110,7 @@ def choose_terms(counts: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
         covered = any(word[:k] + "*" in kept for k in range(4, len(word) + 1))
         if not covered and longer.get(t, 0) < 0.9 * found[t]["pos"]:
             kept[t] = float(found[t]["odds"])
-    best = sorted(kept, key=lambda t: (-found[t]["gain"], t))[:MAX_TERMS]
-    return {t: kept[t] for t in best}
+    return kept
 
 
 class Matcher:
@@ -288,14 +294,16 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     long_rows(docs.sparkSession)
     marks = lookup_side(labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), 1_000_000)
     labelled = docs.select("doc_id", "text").join(marks, "doc_id")
-    size = {int(r["toxic"] > 0): r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not size.get(1) or not size.get(0):
+    counts = materialize(term_counts(distinct_texts(labelled)))
+    size = counts.filter("term = ''").first()
+    if size is None or not size["pos"] or not size["neg"]:
+        release(counts)
         return Model({}, None)
-    counts = materialize(term_counts(labelled))
-    terms = choose_terms(counts, size[1], size[0])
+    terms = choose_terms(counts, size["pos"], size["neg"])
     release(counts)
-    share = min(1.0, fit_rows / max(1, size[0] + size[1]))
-    taken = labelled.filter((F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) | F.lit(share >= 1.0))
+    share = min(1.0, fit_rows / (size["pos"] + size["neg"]))
+    taken = distinct_texts(labelled.filter(
+        (F.pmod(F.xxhash64(F.lit("fit"), F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < int(share * 1_000_000)) | F.lit(share >= 1.0)))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(terms)
