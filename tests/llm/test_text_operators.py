@@ -159,6 +159,35 @@ def test_automata_against_edit_distance():
         assert m.match(w) == best, w
 
 
+def test_automata_with_errors_at_the_first_letter():
+    rng = random.Random(9)
+    terms = {"idiot": 1.0, "moron": 1.0, "asshole": 1.0, "disgusting": 1.0, "scum": 1.0, "lowei*": 1.0, "abcdefghij*": 1.0}
+    m = toxicity.Matcher(terms)
+    for _ in range(4000):
+        w = list(rng.choice([*terms, "idol", "closer", "loweischaft", "abcdefghijkl", "diotima"])) * rng.choice([1, 1, 1, 2])
+        for _ in range(rng.randint(0, 3)):
+            k = rng.choice([0, rng.randrange(len(w))])
+            rng.choice([lambda: w.insert(k, rng.choice("abidot*1")), lambda: len(w) > 1 and w.pop(k), lambda: w.__setitem__(k, rng.choice("abidotx@"))])()
+        w = "".join(w)
+        best = None
+        for t in terms:
+            word = t.rstrip("*")
+            allowed = (len(word) >= 5) + (len(word) >= 9)
+            for e in {w, *([w[:k] for k in range(1, len(w))] if t[-1] == "*" else [])}:
+                d = _levenshtein(e, word)
+                if d <= allowed and (best is None or (d, t) < best):
+                    best = (d, t)
+        assert m.match(w) == best, w
+
+
+def test_masked_words_are_met():
+    terms = {"idiot": 3.0, "asshole": 3.0, "scum": 3.0}
+    m = toxicity.Matcher(terms)
+    for text in ("you 1diot", "you xidiot", "you @sshole", "you id*ot", "you diot", "you *scum*", "fine.scum", "id_ot"):
+        assert sum(toxicity.features(text, terms, m)[:2]) > 0, text
+    assert m.words("he id*ot and/or well-known e.g. scum-idiot") == ["he", "id*ot", "and", "or", "well", "known", "e", "g", "scum", "idiot"]
+
+
 def test_toxicity_learns_and_spares(spark):
     rng = random.Random(5)
     words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(300)]

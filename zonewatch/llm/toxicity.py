@@ -4,10 +4,13 @@
    four to eight letters is counted once per text and class; copies of a text add nothing. All terms whose
    smoothed log odds are high enough and that pass the significance test become the lexicon, however many
    they are; a beginning covers the forms built on it.
-2. **Matching.** The terms form a trie, and one Levenshtein automaton per term is run on it at the same
-   time: a state is the set of (trie node, errors so far), built when first met and kept. A word runs
-   through it letter by letter and stops as soon as no term is left in reach. Terms of at least
-   `FUZZY_MIN` letters may be one error off, those of at least nine letters two.
+2. **Matching.** The Levenshtein automata of all terms run at the same time: a state is the band of the
+   edit table's row around the diagonal, for the terms still in reach. States are built when first met and
+   kept for all tasks of a Python worker. A word runs through them letter by letter and stops as soon as no
+   term is left in reach. Terms of at least `FUZZY_MIN` letters may be one error off, those of at least nine
+   letters two; an error may be anywhere, the first letter included. Up to two masking signs between letters
+   stay in a word (`id*ot`), which is then tried whole and in pieces; the better of the two counts, and pieces
+   where they are equally good. A sign before a word needs no such care: leaving a letter out costs the same.
 3. **Context.** A hit counts fully in open text and at `QUOTED` of its weight inside quotation marks
    opened at most `WINDOW` words before it. The densest window of hits is a feature of its own.
 4. **Score.** A logistic regression over a handful of such features, fitted on about `FIT_ROWS` distinct
@@ -40,7 +43,8 @@ WINDOW = 12
 QUOTED = 0.25
 THRESHOLD = 0.7
 FEATURES = 8
-_TOKEN = re.compile(r"[^\W_]+|[\"“”„«»‘’]")
+_TOKEN = re.compile(r"[^\W_]+(?:[*@#$%&!?+|~^._-]{1,2}[^\W_]+)*|[\"“”„«»‘’]")
+_PIECE = re.compile(r"[^\W_]+")
 _OPEN, _CLOSE, _EITHER = set("“„«‘"), set("”»’"), {'"'}
 _QUOTES = _OPEN | _CLOSE | _EITHER
 _FLUSH = 300_000
@@ -69,7 +73,7 @@ def term_counts(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                words = {w for w in _TOKEN.findall((text or "").lower()) if len(w) > 2}
+                words = {w for w in _PIECE.findall((text or "").lower()) if len(w) > 2}
                 by[int(toxic > 0)].update({"", *(f for w in words for f in forms(w))})
                 if len(by[0]) + len(by[1]) > _FLUSH:
                     yield flush()
@@ -114,77 +118,72 @@ def choose_terms(counts: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
 
 
 class Matcher:
-    """All terms' Levenshtein automata run on the trie of the terms, states built as they are met."""
+    """All terms' Levenshtein automata run at once, states built as they are met.
+
+    After j letters of a word, cell b of a term's row is the distance of these letters and the first
+    j - `wide` + b letters of the term, or the errors allowed and one more if it is higher.
+    """
 
     def __init__(self, terms: dict[str, float], max_states: int = 200_000, max_seen: int = 60_000):
-        self.next: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[str, bool] | None] = [None]
-        self.reach: list[int] = [0]  # errors that the longest term below a node allows
-        for term in sorted(terms):
-            word, node = term.rstrip("*"), 0
-            allowed = (len(word) >= FUZZY_MIN) + (len(word) >= 9)
-            self.reach[0] = max(self.reach[0], allowed)
-            for c in word:
-                if c not in self.next[node]:
-                    self.next[node][c] = len(self.next)
-                    self.next.append({})
-                    self.ends.append(None)
-                    self.reach.append(0)
-                node = self.next[node][c]
-                self.reach[node] = max(self.reach[node], allowed)
-            if self.ends[node] is None or term.endswith("*"):
-                self.ends[node] = (term, term.endswith("*"))
+        self.terms = sorted(terms)
+        words = [t.rstrip("*") for t in self.terms]
+        self.size = np.array([len(w) for w in words], dtype=np.int32)
+        self.allowed = ((self.size >= FUZZY_MIN).astype(np.int8) + (self.size >= 9)).astype(np.int8)
+        self.open = np.array([t.endswith("*") for t in self.terms], dtype=bool)
+        self.wide = int(self.allowed.max(initial=0))
+        self.longest = int(self.size.max(initial=0))
+        self.letters = np.zeros((len(words), self.longest + 3 * self.wide + 3), dtype=np.int32)
+        for k, w in enumerate(words):
+            self.letters[k, self.wide:self.wide + len(w)] = [ord(c) for c in w]
         self.max_states, self.max_seen = max_states, max_seen
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple[dict[int, int], tuple[int, str] | None]] = []
-        self.number: dict[frozenset, int] = {}
+        #: per state: letters read, terms in reach, their rows, best end of a beginning, best end of any term
+        self.states: list[tuple] = []
+        self.number: dict[tuple, int] = {}
         self.moves: list[dict[str, int]] = []
         self.seen: dict[str, tuple[int, str] | None] = {}
-        self.start = self._state({0: 0})
-
-    def _state(self, reached: dict[int, int]) -> int:
-        """The number of a state. Missing letters are closed over here."""
-        todo = list(reached.items())
-        while todo:
-            node, e = todo.pop()
-            if reached.get(node, 99) < e:
-                continue
-            for child in self.next[node].values():
-                if node and e + 1 <= self.reach[child] and reached.get(child, 99) > e + 1:
-                    reached[child] = e + 1
-                    todo.append((child, e + 1))
-        key = frozenset(reached.items())
+        at = np.arange(-self.wide, self.wide + 1, dtype=np.int32)
+        row = np.where((at >= 0) & (at <= self.size[:, None]), at, 99)
+        self.start = self._state(0, np.arange(len(self.terms), dtype=np.int32), np.minimum(row, self.allowed[:, None] + 1).astype(np.int8))
+
+    def _state(self, read: int, alive: np.ndarray, rows: np.ndarray) -> int:
+        """The number of a state."""
+        key = (read, alive.tobytes(), rows.tobytes())
         if key not in self.number:
-            best = None
-            for node, e in reached.items():
-                end = self.ends[node]
-                if end and e <= self._allowed(end[0]) and (best is None or (e, end[0]) < best):
-                    best = (e, end[0])
+            cell = self.size[alive] - read + self.wide
+            ends = np.flatnonzero((cell >= 0) & (cell <= 2 * self.wide))
+            errors = rows[ends, cell[ends]]
+            ok = errors <= self.allowed[alive[ends]]
+            found = [(int(e), int(t)) for e, t in zip(errors[ok], alive[ends[ok]])]
+            best = [min(((e, self.terms[t]) for e, t in found if self.open[t] or every), default=None) for every in (False, True)]
             self.number[key] = len(self.states)
-            self.states.append((reached, best))
+            self.states.append((read, alive, rows, *best))
             self.moves.append({})
         return self.number[key]
 
-    @staticmethod
-    def _allowed(term: str) -> int:
-        n = len(term.rstrip("*"))
-        return (n >= FUZZY_MIN) + (n >= 9)
-
     def _move(self, at: int, c: str) -> int:
-        reached: dict[int, int] = {}
-        for node, e in self.states[at][0].items():
-            hit = self.next[node].get(c)
-            if hit is not None and reached.get(hit, 99) > e:
-                reached[hit] = e
-            if node:  # the first letter is never wrong: most words stop there
-                if e + 1 <= self.reach[node] and reached.get(node, 99) > e + 1:
-                    reached[node] = e + 1
-                for child in self.next[node].values():
-                    if child != hit and e + 1 <= self.reach[child] and reached.get(child, 99) > e + 1:
-                        reached[child] = e + 1
-        to = self._state(reached) if reached else -1
+        read, alive, old = self.states[at][:3]
+        read += 1
+        to = -1
+        if read <= self.longest + self.wide:
+            wrong = self.letters[alive, read - 1:read + 2 * self.wide] != ord(c)
+            rows = old + wrong
+            if self.wide:
+                np.minimum(rows[:, :-1], old[:, 1:] + 1, out=rows[:, :-1])
+            first = read - self.wide  # letters of the term at cell 0
+            if first < 0:
+                rows[:, :-first] = 99
+            for b in range(1, 2 * self.wide + 1):
+                np.minimum(rows[:, b], rows[:, b - 1] + 1, out=rows[:, b])
+            beyond = np.arange(first, first + 2 * self.wide + 1, dtype=np.int32) > self.size[alive][:, None]
+            rows[beyond] = 99
+            most = self.allowed[alive]
+            rows = np.minimum(rows, (most + 1)[:, None]).astype(np.int8)
+            left = rows.min(axis=1) <= most
+            if left.any():
+                to = self._state(read, alive[left], rows[left])
         self.moves[at][c] = to
         return to
 
@@ -193,7 +192,7 @@ class Matcher:
         if word in self.seen:
             return self.seen[word]
         if len(self.states) > self.max_states:
-            self.clear()
+            self.clear()  # they are built anew, at the same results
         elif len(self.seen) > self.max_seen:
             self.seen = {}  # the states stay: they are few, words are many
         at, best = self.start, None
@@ -202,19 +201,47 @@ class Matcher:
             at = self._move(at, c) if to is None else to
             if at < 0:
                 break
-            end = self.states[at][1]
-            if end and end[1].endswith("*") and (best is None or end < best):
+            end = self.states[at][3]
+            if end and (best is None or end < best):
                 best = end
-        if at >= 0 and (end := self.states[at][1]) and (best is None or end < best):
+        if at >= 0 and (end := self.states[at][4]) and (best is None or end < best):
             best = end
         self.seen[word] = best
         return best
 
+    def words(self, text: str) -> list[str]:
+        """Words and quotation marks of a text; of a word with masking signs the pieces, unless it matches better whole."""
+        found = _TOKEN.findall(text)
+        out: list[str] = []
+        for w in found:
+            if w.isalnum() or w in _QUOTES:
+                out.append(w)
+                continue
+            pieces = _PIECE.findall(w)
+            whole = self.match(w)
+            if whole is not None and all(h is None or h[0] > whole[0] for h in (self.match(p) for p in pieces if len(p) > 2)):
+                out.append(w)
+            else:
+                out += pieces
+        return out
+
+
+_MATCHERS: dict[tuple[str, ...], Matcher] = {}
+
+
+def matcher_of(terms: dict[str, float]) -> Matcher:
+    """The matcher of this Python process for these terms; the one of other terms goes."""
+    key = tuple(sorted(terms))
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(terms)
+    return _MATCHERS[key]
+
 
 def features(text: str | None, terms: dict[str, float], matcher: Matcher) -> list[float]:
     """What the regression sees of one whole text; all zero without hits but for the length."""
     text = (text or "").lower()
-    words = _TOKEN.findall(text)
+    words = matcher.words(text)
     if not any(len(w) > 2 and matcher.match(w) is not None for w in set(words)):  # most texts: no hit at all
         n = len(words) - sum(text.count(c) for c in _QUOTES)
         return [0.0] * (FEATURES - 1) + [np.log1p(n) / 10.0]
@@ -278,7 +305,7 @@ class Model:
 
         @F.pandas_udf("double")
         def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            matcher = Matcher(terms)
+            matcher = matcher_of(terms)
             for texts in parts:
                 if weights is None:
                     yield pd.Series(np.zeros(len(texts)))
@@ -306,7 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
         (F.pmod(F.xxhash64(F.lit("fit"), F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < int(share * 1_000_000)) | F.lit(share >= 1.0)))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(terms)
+        matcher = matcher_of(terms)
         for b in batches:
             yield pd.DataFrame({"y": (b["toxic"] > 0).astype("int64"), "x": [features(t, terms, matcher) for t in b["text"]]})
 
