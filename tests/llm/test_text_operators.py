@@ -97,6 +97,22 @@ def test_rules_and_links(spark):
     assert urlrank.judge(df.limit(0)).collect() == []
 
 
+def test_distrust_has_one_scale(spark):
+    kind = "page_id long, url string, html string"
+    bad = '<a href="http://bad.com/">x</a>'
+    for n in (3, 3000):
+        rows = [(0, "http://bad.com/de/1", "")] + [(i, f"http://h{i}.net/", bad) for i in range(1, n + 1)]
+        got = {r["host"]: (r["verdict"], r["distrust"]) for r in urlrank.judge(spark.createDataFrame(rows, kind)).collect()}
+        assert len(got) == n + 1 and all(v == "block" and abs(d - 0.15 * (0.85 if h != "bad.com" else 1)) < 1e-9 for h, (v, d) in got.items())
+    mixed = [(i, f"http://mixed.com/{'de' if i < 2 else 'en'}/{i}", "") for i in range(10)]
+    mostly = [(20 + i, f"http://mostly.com/{'de' if i < 8 else 'en'}/{i}", "") for i in range(10)]
+    link = [(40, "http://one.net/", '<a href="http://two.net/">x</a>')]
+    want = {i: "block" if i < 2 or i >= 20 else "allow" for i in [*range(10), *range(20, 30)]}
+    alone, linked = ({r["page_id"]: (r["verdict"], r["trust"], r["distrust"]) for r in urlrank.judge(spark.createDataFrame(rows, kind)).collect()}
+                     for rows in (mixed + mostly, mixed + mostly + link))
+    assert {k: v[0] for k, v in alone.items()} == want and all(linked[k] == v for k, v in alone.items())
+
+
 def test_fingerprints(spark):
     rng = random.Random(2)
     rows = [(i * 2, " ".join(rng.choices(["the", "of", "and", "Ünder", "x1", "zz", f"q{i}"], k=rng.randint(0, 300))), None) for i in range(80)]

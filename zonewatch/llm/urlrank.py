@@ -6,14 +6,15 @@ an allow of the same length.
 
 Hosts are scored on the graph of links between hosts, repeated links counted once. Trust is a personalised
 PageRank: it starts from hosts by the share of their pages that rules allow and follows links. Distrust
-starts from the share that rules block and goes against the links, from the linked to the linking host.
-A host is blocked if its distrust is at least `FLOOR` and exceeds its trust. Rounds stop when no score moves
+starts from the share that rules block and goes against the links, from the linked to the linking host, which
+takes the mean over the hosts it links to: how many others link there too does not matter. Both scores are on
+one scale, with links or without: a host's own seed counts `1 - DAMPING` times. A host is blocked if its distrust is at least `FLOOR` and exceeds its trust. Rounds stop when no score moves
 by more than `TOLERANCE`, after `ROUNDS` at the latest; each round is two joins and a sum over distinct
 links, written to the shared folder, and one number reaches the driver.
 
 Defined results: a null url, or one without `://`, has an empty host and path, is a page of no host, and
-is allowed; null html has no links; links within a host do not count; without links every host keeps its own
-seeds; repeated rows come back repeated; an empty table gives an empty result.
+is allowed; null html has no links; links within a host do not count; without links every host's scores are
+`1 - DAMPING` times its seeds; repeated rows come back repeated; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,14 +62,13 @@ def host_links(pages: DataFrame) -> DataFrame:
 def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust) after the rounds, for seeds (host, s_trust, s_distrust) and distinct links."""
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    into = links.groupBy("dst").agg(F.count(F.lit(1)).alias("k"))
     along = links.join(out, "src").select(F.col("src").alias("frm"), F.col("dst").alias("to"), (1.0 / F.col("k")).alias("t"), F.lit(0.0).alias("d"))
-    against = links.join(into, "dst").select(F.col("dst").alias("frm"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (1.0 / F.col("k")).alias("d"))
+    against = links.join(out, "src").select(F.col("dst").alias("frm"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (1.0 / F.col("k")).alias("d"))
     flow = materialize(along.union(against))
     hosts = seeds.select("host").union(links.select("src")).union(links.select("dst")).distinct()
     base = materialize(hosts.join(seeds, "host", "left").select(
         "host", F.coalesce("s_trust", F.lit(0.0)).alias("s_trust"), F.coalesce("s_distrust", F.lit(0.0)).alias("s_distrust")))
-    state = materialize(base.select("host", F.col("s_trust").alias("trust"), F.col("s_distrust").alias("distrust")))
+    state = materialize(base.select("host", *[((1 - damping) * F.col(f"s_{c}")).alias(c) for c in ("trust", "distrust")]))
     for _ in range(rounds if not flow.isEmpty() else 0):
         got = flow.join(state, F.col("frm") == F.col("host")).groupBy("to").agg(
             F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
