@@ -305,3 +305,18 @@ def test_leaks(spark):
     assert kept.columns == docs.columns and sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == sorted([d for d, _ in clean] + [-1, 5000])
     assert decontaminate.leaks(docs, bench.limit(0)).collect() == [] and decontaminate.leaks(docs.limit(0), bench).collect() == []
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_every_row_of_the_benchmark_is_searched(spark):
+    rng = random.Random(10)
+    words = [f"v{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, k=20)) for _ in range(6)]
+    ids = [1, 1, 1, 2, None, None]
+    bench = spark.createDataFrame([*zip(ids, texts), (1, texts[0]), (3, None)], "item_id long, text string")
+    around = lambda t: " ".join(rng.choices(words, k=50)) + " " + t + " " + " ".join(rng.choices(words, k=50))
+    docs = spark.createDataFrame([(k, around(t)) for k, t in enumerate(texts)] + [(10, around("")), (11, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()), key=str)
+    assert got == sorted(enumerate(ids), key=str)
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [10, 11]
+    unnamed = bench.filter("item_id IS NULL")
+    assert [r["item_id"] for r in decontaminate.leaks(docs, unnamed).collect()] == [None, None]

@@ -17,8 +17,11 @@ runs of postings.
 Postings are sent to the tasks in parts of at most `PART_POSTINGS`; with more, items are dealt into more
 parts and the texts are searched once per part. Term statistics are of all items.
 
-Defined results: null and empty texts and items match nothing; repeated rows come back repeated; items of
-equal text are all found; without items nothing is found; other columns are not looked at.
+Every distinct pair of id and text is an item of its own: an id with several texts is reported once per text
+found, and items without an id are reported with a null id.
+
+Defined results: null and empty texts and items match nothing; repeated rows of texts come back repeated; items
+of equal text and different ids are all found; without items nothing is found; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from zonewatch.llm.common import long_rows
 from zonewatch.llm.hashing import SHINGLE, row_words, shingle_hashes, word_hashes
@@ -180,11 +184,12 @@ class Index:
         return out
 
 
-def build(benchmark: DataFrame, part_postings: int = PART_POSTINGS) -> list[Index]:
-    """Indexes of all items of (item_id, text), in parts of bounded size."""
+def build(benchmark: DataFrame, part_postings: int = PART_POSTINGS, nameless: bool = False) -> list[Index]:
+    """Indexes of all items of (item_id, text), those without an id if asked for, in parts of bounded size."""
     long_rows(benchmark.sparkSession)
-    items = materialize(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).filter("item_id IS NOT NULL")
-                        .groupBy("item_id").agg(F.min("text").alias("text")))
+    items = materialize(benchmark.filter(F.col("item_id").isNotNull() | F.lit(nameless))
+                        .select(F.coalesce("text", F.lit("")).alias("text"), "item_id").distinct()
+                        .select(F.monotonically_increasing_id().alias("number"), "text", "item_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,41 +201,41 @@ def build(benchmark: DataFrame, part_postings: int = PART_POSTINGS) -> list[Inde
                 tf += k.tolist()
                 n += [len(h)] * len(u)
             yield pa.record_batch([pa.array(ids, batch.column(0).type), pa.array(term, pa.int64()), pa.array(tf, pa.int64()), pa.array(n, pa.int64())],
-                                  names=["item_id", "term", "tf", "n"])
+                                  names=["number", "term", "tf", "n"])
 
-    id_type = dict(items.dtypes)["item_id"]
-    postings = materialize(items.mapInArrow(count, f"item_id {id_type}, term long, tf long, n long"))
+    postings = materialize(items.select("number", "text").mapInArrow(count, "number long, term long, tf long, n long"))
     size = postings.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("longest")).first()
     if not size["rows"]:
         release(items, postings)
         return []
-    lengths = postings.groupBy("item_id").agg(F.max("n").alias("n")).agg(F.count(F.lit(1)).alias("k"), F.avg("n").alias("mean")).first()
+    lengths = postings.groupBy("number").agg(F.max("n").alias("n")).agg(F.count(F.lit(1)).alias("k"), F.avg("n").alias("mean")).first()
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((lengths["k"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / lengths["mean"]))
-    scored = postings.join(df, "term").select("item_id", "term", impact.alias("impact"))
-    own = scored.groupBy("item_id").agg(F.sum("impact").alias("self"))
+    scored = postings.join(df, "term").select("number", "term", impact.alias("impact"))
+    own = scored.groupBy("number").agg(F.sum("impact").alias("self"))
     parts = -(-size["rows"] // part_postings)
-    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
-    scored = materialize(scored.join(own, "item_id").select("item_id", "term", (F.col("impact") / F.col("self")).alias("impact"), part.alias("part")))
+    part = F.pmod(F.xxhash64("number"), F.lit(parts))
+    scored = materialize(scored.join(own, "number").select("number", "term", (F.col("impact") / F.col("self")).alias("impact"), part.alias("part")))
     out = []
     for p in range(parts):
-        texts = sorted(((r["item_id"], r["text"]) for r in items.filter(part == p).collect()), key=lambda x: (len(words_of(x[1])), x[0]))
-        rows = scored.filter(F.col("part") == p).select("item_id", "term", "impact").toArrow()
-        where = {i: k for k, (i, _) in enumerate(texts)}
-        at = np.array([where[i] for i in rows.column("item_id").to_pylist()], dtype=np.int64)
-        out.append(Index(texts, rows.column("term").to_numpy().astype(np.int64).view(np.uint64), at, rows.column("impact").to_numpy(), size["longest"]))
+        held = sorted(((r["number"], r["item_id"], r["text"]) for r in items.filter(part == p).collect()), key=lambda x: (len(words_of(x[2])), x[0]))
+        rows = scored.filter(F.col("part") == p).select("number", "term", "impact").toArrow()
+        where = {x[0]: k for k, x in enumerate(held)}
+        at = np.array([where[i] for i in rows.column("number").to_pylist()], dtype=np.int64)
+        out.append(Index([x[1:] for x in held], rows.column("term").to_numpy().astype(np.int64).view(np.uint64), at, rows.column("impact").to_numpy(), size["longest"]))
     release(items, postings, scored)
     return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, question: float = QUESTION, answer: float = ANSWER,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and item found in it: doc_id, item_id, n_passages, score, overlaps."""
+    """One row per document and item (id and text) found in it: doc_id, item_id, n_passages, score, overlaps."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     doc_type, item_type = dict(rows.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {doc_type}, item_id {item_type}, n_passages long, score double, question_overlap double, answer_overlap double"
-    found = [rows.mapInArrow(_finder(index, score, question, answer), schema) for index in build(benchmark)]
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
+    found = [rows.mapInArrow(_finder(index, score, question, answer, kind), schema) for index in build(benchmark, nameless=True)]
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
     out = found[0]
@@ -239,7 +244,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, question:
     return out
 
 
-def _finder(index: Index, score: float, question: float, answer: float):
+def _finder(index: Index, score: float, question: float, answer: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, items, rest = [], [], []
@@ -249,12 +254,11 @@ def _finder(index: Index, score: float, question: float, answer: float):
                     items.append(index.ids[d])
                     rest.append(values)
             n, s, q, w = zip(*rest) if rest else ((), (), (), ())
-            yield pa.record_batch([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(items),
+            yield pa.record_batch([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(items, kind),
                                    pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(q, pa.float64()), pa.array(w, pa.float64())],
                                   names=["doc_id", "item_id", "n_passages", "score", "question_overlap", "answer_overlap"]) if rest else _none(batch)
 
     def _none(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kind = pa.array(index.ids[:1]).type
         return pa.record_batch([batch.column(0).slice(0, 0), pa.array([], kind), *[pa.array([], t) for t in (pa.int64(), *[pa.float64()] * 3)]],
                                names=["doc_id", "item_id", "n_passages", "score", "question_overlap", "answer_overlap"])
     return run
@@ -263,7 +267,7 @@ def _finder(index: Index, score: float, question: float, answer: float):
 def clean(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, question: float = QUESTION, answer: float = ANSWER,
           text_col: str = "text") -> DataFrame:
     """The rows of `docs` in whose text no item is found."""
-    for index in build(benchmark):
+    for index in build(benchmark, nameless=True):
         docs = docs.filter(~_flag(index, score, question, answer)(F.col(text_col)))
     return docs
 
