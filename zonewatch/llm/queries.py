@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewatch.llm import chat, decontaminate, fingerprint, licences, mixing, pages, sharding, toxicity, urlrank
+from zonewatch.llm import (chat, decontaminate, fingerprint, knn, licences, mixing, negatives, pages, repeats, sharding, toxicity,
+                            urlrank)
 from zonewatch.llm.common import read_table
 from zonewatch.llm.near import near_components
 
@@ -184,3 +185,42 @@ JOIN n ON n.id = i.id GROUP BY 1, 2, n.n HAVING 2 * count(*) >= n.n
 """)
 def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
+
+
+@query("""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10
+""")
+def op11_voronoi_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM p WHERE alike) WHERE nth <= 5),
+n AS (SELECT g.anchor_id, g.vec_id AS positive_id, g.score AS positive_score, p.vec_id AS negative_id, p.score AS negative_score,
+    row_number() OVER (PARTITION BY g.anchor_id, g.vec_id ORDER BY p.score DESC, p.vec_id) AS rank
+  FROM g JOIN p ON p.anchor_id = g.anchor_id AND NOT p.alike AND 80 * g.score <= 100 * p.score AND p.score <= g.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+""")
+def op12_l2ap_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = read_table(spark, sf_dir, "embeddings").withColumn("label", relabelled)
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.scan(read_table(spark, sf_dir, "documents"), plant=True)
+
+
+QUERIES["op13_periodic_runs"] = op13_periodic_runs
