@@ -54,6 +54,34 @@ def region_csv_lookup(spark, sf):
     return RD.read_region_csv(spark, path, listing).select("file_name", "x1", "y1", "x2", "y2", "path")
 
 
+@query("coco_documents", """WITH a AS (SELECT o_orderkey // 20000 AS doc, o_orderkey AS image_id, 'p/' || o_orderkey || '_' || o_orderpriority || '".jpg' AS file_name FROM orders)
+SELECT 'S' AS source, a.image_id, a.file_name, CAST(l_partkey % 7 AS BIGINT) AS category_id, 'class {' || l_partkey % 7 || '}' AS name, CAST(l_partkey * 37 % 400 AS DOUBLE) AS x,
+  CAST(l_quantity AS DOUBLE) AS w FROM lineitem JOIN a ON l_orderkey = a.image_id""")
+def coco_documents(spark, sf):
+    """Annotation documents, one for each 20 000 order numbers: written by a task each, read back in byte ranges."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    orders, lines = B.table(spark, sf, "orders"), B.table(spark, sf, "lineitem")
+    doc = lambda key: F.floor(F.col(key) / 20_000).alias("doc")
+    file_name = text("p/", F.col("o_orderkey"), "_", F.col("o_orderpriority"), '".jpg')
+    image = F.to_json(F.struct(F.col("o_orderkey").alias("id"), file_name.alias("file_name"), F.lit(640).alias("width"), F.lit(480).alias("height")))
+    box = F.array((F.col("l_partkey") * 37 % 400).cast("double"), F.lit(0.0), F.col("l_quantity").cast("double"), F.lit(1.0))
+    mark = F.to_json(F.struct(F.col("l_orderkey").alias("image_id"), (F.col("l_partkey") % 7).alias("category_id"), box.alias("bbox"),
+                              F.struct(F.lit("}{").alias("counts")).alias("segmentation")))
+    parts = [(orders, "o_orderkey", image), (lines, "l_orderkey", mark)]
+    docs = orders.select(doc("o_orderkey")).distinct()
+    line = lambda df, nth, value: df.select("doc", F.lit(nth).alias("nth"), value.alias("value"))
+    rows = [line(docs, 0, F.lit('{"info": {"version": "1"}, "images": [{"id": -1}')), line(docs, 2, F.lit('], "annotations": [{"id": -1}')),
+            line(docs, 4, text('], "categories": [', ", ".join(f'{{"id": {i}, "name": "class {{{i}}}"}}' for i in range(7)), "]}"))]
+    rows += [line(df.select(doc(key), text(",", value).alias("v")), nth, F.col("v")) for (df, key, value), nth in zip(parts, (1, 3))]
+    whole = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).unionByName(rows[4])
+    path = _folder(spark, "coco")
+    whole.repartition("doc").sortWithinPartitions("doc", "nth").select("doc", "value").write.partitionBy("doc").text(path)
+    images, marks, names = RD.read_coco(spark, f"{path}/*/*.txt", "S")
+    names = names.select("source", F.col("id").alias("category_id"), "name").distinct()
+    return (marks.join(images, ["source", "image_id"]).join(names, ["source", "category_id"])
+            .select("source", "image_id", "file_name", "category_id", "name", F.col("bbox")[0].alias("x"), F.col("bbox")[2].alias("w")))
+
+
 @query("scan_log_files", f"""WITH {LOG} SELECT t_s, dirty, alert, n_hot, n_cells, n_changed, shift_px, nullif(hot_cells, '') AS hot_cells FROM log""")
 def scan_log_files(spark, sf):
     """The scan log through CSV files with all columns; quoted cell lists hold commas."""
@@ -66,7 +94,7 @@ def scan_log_files(spark, sf):
                        F.array_join("cells", " ").alias("hot_cells"))
 
 
-@query("state_restored", """SELECT CAST(vec_id % 4 AS VARCHAR) AS camera_id, 'z0' AS zone_id, 'g1' AS sig FROM embeddings WHERE vec_id % 4 <> 2 GROUP BY 1""")
+@query("state_restored", """SELECT CAST(vec_id // 125 AS VARCHAR) AS camera_id, 'z0' AS zone_id, 'g1' AS sig FROM embeddings WHERE vec_id // 125 <> 2 GROUP BY 1""")
 def state_restored(spark, sf):
     """Saved states come back for the zones whose grid is still the same, known references or not."""
     scans = zone_scans(spark, sf)
@@ -93,7 +121,7 @@ def reference_lookup(spark, sf):
                                                        F.element_at("ref", 1).cast("double").alias("was"))
 
 
-VERIFY = """v AS (SELECT CAST(vec_id % 4 AS VARCHAR) AS camera_id, label, row_number() OVER (PARTITION BY vec_id % 4, label ORDER BY vec_id) AS scan_no, embedding AS e FROM embeddings)"""
+VERIFY = """v AS (SELECT CAST(vec_id // 125 AS VARCHAR) AS camera_id, label, row_number() OVER (PARTITION BY vec_id // 125, label ORDER BY vec_id) AS scan_no, embedding AS e FROM embeddings)"""
 
 
 @query("scan_to_report", f"""WITH {VERIFY}, s AS (SELECT camera_id, scan_no, count(*) FILTER (e[2] < 0.05) AS n, max(e[5] * 2 + 0.5) FILTER (e[2] < 0.05) AS conf FROM v GROUP BY ALL)

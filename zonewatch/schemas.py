@@ -21,11 +21,11 @@ ZONES = _struct("camera_id string, zone_id string, points array<array<double>>,
 CELLS = _struct("camera_id string, zone_id string, sig string, row int, col int, x1 int, y1 int, x2 int, y2 int")
 ZONE_FILE = "points array<array<double>>"
 TRUTH_FILE = "intervals array<array<double>>"
-COCO_FILE = (
-    "images array<struct<id:bigint,file_name:string,width:double,height:double,flickr_url:string,"
-    "coco_url:string,flickr_640_url:string>>,"
-    "annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>>>,"
-    "categories array<struct<id:bigint,name:string,supercategory:string>>")
+COCO_PARTS = {
+    "images": "id bigint, file_name string, width double, height double, flickr_url string, coco_url string, flickr_640_url string",
+    "annotations": "id bigint, image_id bigint, category_id bigint, bbox array<double>",
+    "categories": "id bigint, name string, supercategory string"}
+COCO_FILE = ", ".join(f"{name} array<struct<{fields}>>" for name, fields in COCO_PARTS.items())
 
 # One row per scan, written by the live run.
 SCAN_LOG = _struct(

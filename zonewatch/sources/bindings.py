@@ -140,12 +140,12 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings -> 8 x 8 gray frames of four cameras, 30 s apart."""
+    """embeddings -> 8 x 8 gray frames, 30 s apart, of a camera per 125 vectors."""
     gray = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(
         F.lit(255.0), 128 + 400 * v.cast("double"))).cast("int"))
     data = F.unhex(F.array_join(F.transform(gray, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
-    scan = F.floor(F.col("vec_id") / 4)
+    scan = F.col("vec_id") % 125
     return table(spark, sf_dir, "embeddings").select(
-        (F.col("vec_id") % 4).cast("string").alias("camera_id"), scan.alias("scan_no"),
+        F.floor(F.col("vec_id") / 125).cast("string").alias("camera_id"), scan.alias("scan_no"),
         F.timestamp_seconds(scan * 30).alias("ts"), F.lit(8).alias("width"), F.lit(8).alias("height"),
         F.lit(1).alias("channels"), data.alias("data"))

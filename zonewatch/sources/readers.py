@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from zonewatch import schemas
 from zonewatch.operators.ordered import arrange
+from zonewatch.sources.documents import read_elements
 
 IMAGE_GLOB = "*.{jpg,jpeg,png,bmp,webp,JPG,JPEG,PNG,BMP,WEBP}"  # fixed: accepted file types
 
@@ -78,16 +79,24 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
                     F.col("i")[0].alias("a"), F.col("i")[1].alias("b")))
 
 
-def read_coco(spark: SparkSession, path: str, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, annotations, categories) of annotation documents."""
-    doc = spark.read.schema(schemas.COCO_FILE).option("multiLine", True).json(path)
+def read_coco(spark: SparkSession, path: str, source: str, split: bool = True, glob: str = "*") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, annotations, categories) of annotation documents.
+
+    Documents are read in byte ranges (`documents.read_elements`). With `split` off each is one value of one task,
+    which does for many small documents.
+    """
     src = F.lit(source).alias("source")
-    images = doc.select(F.explode("images").alias("i")).select(
-        src, F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height",
-        F.coalesce("i.flickr_640_url", "i.flickr_url", "i.coco_url").alias("url"))
-    annotations = doc.select(F.explode("annotations").alias("a")).select(
-        src, "a.image_id", "a.category_id", "a.bbox")
-    categories = doc.select(F.explode("categories").alias("c")).select(src, "c.id", "c.name", "c.supercategory")
+    if split:
+        found = read_elements(spark, path, glob)
+        part = lambda key: found.filter(F.col("key") == key).select(F.from_json("element", schemas.COCO_PARTS[key]).alias("x"))
+    else:
+        doc = spark.read.schema(schemas.COCO_FILE).option("multiLine", True).json(path)
+        part = lambda key: doc.select(F.explode(key).alias("x"))
+    images = part("images").select(
+        src, F.col("x.id").alias("image_id"), "x.file_name", "x.width", "x.height",
+        F.coalesce("x.flickr_640_url", "x.flickr_url", "x.coco_url").alias("url"))
+    annotations = part("annotations").select(src, "x.image_id", "x.category_id", "x.bbox")
+    categories = part("categories").select(src, "x.id", "x.name", "x.supercategory")
     return images, annotations, categories
 
 
