@@ -65,7 +65,7 @@ def test_components_by_task_and_by_rounds_agree(spark):
     c = cells(spark)
     key = lambda df: sorted(tuple(r[k] for k in ("scan", "row", "col", "comp_row", "comp_col")) for r in df.collect())
     fast = key(C.components(c, ["scan"]))
-    assert fast == key(C._components_by_rounds(c.distinct(), ["scan"], 1))
+    assert fast == key(C.components_by_blocks(c.distinct(), ["scan"], 1, side=7))
     assert [r for r in fast if r[0] == "t"] == [("t", 0, 0, 0, 0), ("t", 1, 1, 0, 0), ("t", 5, 5, 5, 5)]
 
 
@@ -153,3 +153,21 @@ def test_crops_keep_their_rules(spark, crowd):
     for r in labels.collect():
         assert -1e-6 <= r.lx1 < r.lx2 <= 640 + 1e-6 and r.lx2 - r.lx1 >= 4
     assert {(r.image, r.copy) for r in labels.collect()} == set(at)  # the chosen object is always seen
+
+
+@pytest.mark.parametrize("gap,side,linked", [(1, 4, 10 ** 6), (2, 5, 10 ** 6), (1, 3, 0), (3, 1, 10 ** 6)])
+def test_components_in_blocks(spark, monkeypatch, gap, side, linked):
+    """Blocks of any size give the labels of one pass over the whole scan, also where the linked labels of
+    a scan are settled in rounds (`linked` 0)."""
+    rng = random.Random(gap)
+    cells = [(s, r, c) for s in range(3) for r in range(-9, 22) for c in range(-14, 25) if rng.random() < (0.08, 0.2, 0.42)[s] / gap]
+    cells += [(3, r, 0 if r % 4 else c) for r in range(40) for c in range(9)]  # one winding shape
+    cells += [(3, r, c) for k, r in enumerate(range(1, 40, 4)) for c in ([8] if k % 2 else [0])]
+    df = spark.createDataFrame(sorted(set(cells)), "scan int, row int, col int")
+    want = C._labelled(df, ["scan"], gap)
+    if not linked:
+        monkeypatch.setattr(C, "COMPONENT_CELLS", 0)
+    got = C.components_by_blocks(df, ["scan"], gap, side)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert C.components_by_blocks(df.limit(0), ["scan"], gap, side).count() == 0

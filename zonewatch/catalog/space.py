@@ -181,6 +181,20 @@ def cell_components(spark, sf):
     return C.components(B.daily_cells(spark, sf), ["zone", "day"])
 
 
+LARGE_MASK = """m AS (SELECT DISTINCT CAST(o_custkey AS INTEGER) AS "row", CAST(o_orderkey * 37 % 61 AS INTEGER) AS col FROM orders),
+reach AS (SELECT "row" AS r0, col AS c0, "row", col FROM m
+  UNION SELECT p.r0, p.c0, d."row", d.col FROM reach p JOIN m d ON d."row" BETWEEN p."row" - 1 AND p."row" + 1 AND d.col BETWEEN p.col - 1 AND p.col + 1)"""
+
+
+@query("large_mask_components", f"""WITH RECURSIVE {LARGE_MASK} SELECT 0 AS scan, "row", col, struct_extract(min((r0, c0)), 1) AS comp_row,
+  struct_extract(min((r0, c0)), 2) AS comp_col FROM reach GROUP BY ALL""")
+def large_mask_components(spark, sf):
+    """orders -> the cells of one mask, which grows with the table; labelled in blocks of 64 x 64 cells."""
+    mask = B.table(spark, sf, "orders").select(F.lit(0).alias("scan"), F.col("o_custkey").cast("int").alias("row"),
+                                              (F.col("o_orderkey") * 37 % 61).cast("int").alias("col")).distinct()
+    return C.components_by_blocks(mask, ["scan"], 1, 64)
+
+
 def _clusters(spark, sf):
     cells = B.daily_cells(spark, sf)
     comp = C.components(cells, ["zone", "day"])

@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from zonewatch.functions import geometry as G
 from zonewatch.operators.ordered import arrange
-from zonewatch.session import has_hot_group, materialize
+from zonewatch.session import broadcast_if_small, has_hot_group, materialize, release
 
 COMPONENT_CELLS = 200_000  # cells of one scan a single task may label
+BLOCK = 512  # side of the blocks of cells in which larger scans are labelled
 
 
 def lowest_labels(r: np.ndarray, c: np.ndarray, gap: int) -> np.ndarray:
@@ -26,7 +27,12 @@ def lowest_labels(r: np.ndarray, c: np.ndarray, gap: int) -> np.ndarray:
             met = code[at] == code + dr * width + dc
             a.append(np.flatnonzero(met))
             b.append(at[met])
-    a, b, low = np.concatenate(a), np.concatenate(b), np.arange(len(code))
+    return _settled(np.concatenate(a), np.concatenate(b), len(code))
+
+
+def _settled(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Per node the lowest node that it is linked to."""
+    low = np.arange(n)
     while True:
         new = low.copy()
         m = np.minimum(low[a], low[b])
@@ -42,7 +48,12 @@ def components(cells: DataFrame, by: list[str], gap: int = 1) -> DataFrame:
     """Adds (comp_row, comp_col): the lowest cell of the transitive Chebyshev cluster."""
     cells = cells.select(*by, "row", "col").distinct()
     if has_hot_group(cells, by, COMPONENT_CELLS):
-        return _components_by_rounds(cells, by, gap)
+        return components_by_blocks(cells, by, gap)
+    return _labelled(cells, by, gap)
+
+
+def _labelled(cells: DataFrame, by: list[str], gap: int) -> DataFrame:
+    """Labels within each group of `by`, one task per group."""
     schema = T.StructType([*cells.schema.fields, T.StructField("comp_row", cells.schema["row"].dataType),
                            T.StructField("comp_col", cells.schema["col"].dataType)])
 
@@ -56,26 +67,96 @@ def components(cells: DataFrame, by: list[str], gap: int = 1) -> DataFrame:
     return cells.groupBy(*by).applyInPandas(label, schema)
 
 
-def _components_by_rounds(cells: DataFrame, by: list[str], gap: int) -> DataFrame:
-    """Same labels by repeated joins: take the lowest label around, then jump to its label."""
-    off = F.sequence(F.lit(-gap), F.lit(gap))
-    spot = F.struct("row", "col")
-    now = materialize(cells.withColumn("label", spot))
+def components_by_blocks(cells: DataFrame, by: list[str], gap: int = 1, side: int | None = None) -> DataFrame:
+    """The labels of `components` for scans of any size. `cells`: distinct `by`, row, col.
+
+    Cells are labelled per block of side x side. Those within `gap` of a border meet the ones across it, which links
+    labels of adjacent blocks. The linked labels, a few per border, get the lowest label of their cluster, and cells
+    take it over. Cells are shuffled once, and once more only where the linked labels are too many to broadcast.
+    """
+    side = max(side or BLOCK, gap)
+    block = {"_br": F.floor(F.col("row") / side).cast("bigint"), "_bc": F.floor(F.col("col") / side).cast("bigint")}
+    local = materialize(_labelled(cells.select(*by, "row", "col").withColumns(block), [*by, "_br", "_bc"], gap))
+    links = materialize(_border_links(local, by, gap, side))
+    lowest = broadcast_if_small(_lowest_linked(links, by), 200_000)
+    release(links)
+    joined = local.join(lowest, [*by, "comp_row", "comp_col"], "left")
+    kinds = dict(local.dtypes)
+    return joined.select(*by, "row", "col", *[F.coalesce(F.col(f"low.{c}"), F.col(c)).cast(kinds[c]).alias(c) for c in ("comp_row", "comp_col")])
+
+
+def _border_links(local: DataFrame, by: list[str], gap: int, side: int) -> DataFrame:
+    """(by, a, b): labels of cells that lie within `gap` of each other in two blocks."""
+    r, c = F.col("row") - F.col("_br") * side, F.col("col") - F.col("_bc") * side
+    low = lambda x: x < gap
+    high = lambda x: x >= side - gap
+    # each border is looked at in its later block: cells there wait, those of the earlier one visit
+    waits = low(r) | low(c) | high(c)
+    visits = {(0, 1): high(c), (1, -1): high(r) & low(c), (1, 0): high(r), (1, 1): high(r) & high(c)}
+    place = lambda dr, dc, guest: F.struct((F.col("_br") + dr).alias("br"), (F.col("_bc") + dc).alias("bc"), F.lit(guest).alias("guest"))
+    none = F.lit(None).cast("struct<br:bigint,bc:bigint,guest:boolean>")
+    spots = F.array_compact(F.array(F.when(waits, place(0, 0, False)).otherwise(none),
+                                    *[F.when(when, place(*at, True)).otherwise(none) for at, when in visits.items()]))
+    dealt = local.withColumn("p", F.explode(spots)).select(*by, "row", "col", "comp_row", "comp_col", "p.br", "p.bc", "p.guest")
+    ends = [f"{n}_{x}" for n in "ab" for x in ("row", "col")]
+    schema = T.StructType([*[local.schema[c] for c in by], *[T.StructField(c, T.LongType()) for c in ends]])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "col"], ignore_index=True)
+        r, c, guest = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64), pdf["guest"].to_numpy(bool)
+        here, there = np.flatnonzero(~guest), np.flatnonzero(guest)
+        pairs = []
+        if len(here) and len(there):
+            width = int(c.max() - c.min()) + 2 * gap + 1
+            code = (r - r.min()) * width + (c - c.min() + gap)
+            for dr in range(-gap, gap + 1):
+                for dc in range(-gap, gap + 1):
+                    want = code[there] + dr * width + dc
+                    at = np.minimum(np.searchsorted(code[here], want), len(here) - 1)
+                    met = code[here][at] == want
+                    pairs.append(np.column_stack([there[met], here[at[met]]]))
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        labels = pdf[["comp_row", "comp_col"]].to_numpy(np.int64)
+        found = np.unique(np.column_stack([labels[pairs[:, 0]], labels[pairs[:, 1]]]), axis=0)
+        out = pd.DataFrame(found, columns=ends)
+        for name in by:
+            out[name] = pdf[name].iloc[0] if len(pdf) else None
+        return out[schema.names]
+    met = dealt.groupBy(*by, "br", "bc").applyInPandas(meet, schema).distinct()
+    return met.select(*by, *[F.struct(F.col(f"{n}_row").alias("comp_row"), F.col(f"{n}_col").alias("comp_col")).alias(n) for n in "ab"])
+
+
+def _lowest_linked(links: DataFrame, by: list[str]) -> DataFrame:
+    """(by, comp_row, comp_col, low): the lowest label that a label is linked to, over any number of links."""
+    if not has_hot_group(links, by, COMPONENT_CELLS):
+        ends = [f"{n}_{x}" for n in "ab" for x in ("row", "col")]
+        flat = links.select(*by, *[F.col(f"{n}.comp_{x}").alias(f"{n}_{x}") for n in "ab" for x in ("row", "col")])
+        names = ["comp_row", "comp_col", "low_row", "low_col"]
+        schema = T.StructType([*[links.schema[c] for c in by], *[T.StructField(c, T.LongType()) for c in names]])
+
+        def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+            spots, at = np.unique(pdf[ends].to_numpy(np.int64).reshape(-1, 2), axis=0, return_inverse=True)
+            a, b = at.reshape(-1, 2).T
+            low = _settled(a, b, len(spots))
+            out = pd.DataFrame(np.column_stack([spots, spots[low]]), columns=names)
+            for name in by:
+                out[name] = pdf[name].iloc[0]
+            return out[schema.names]
+        found = flat.groupBy(*by).applyInPandas(settle, schema)
+        return found.select(*by, "comp_row", "comp_col", F.struct(F.col("low_row").alias("comp_row"), F.col("low_col").alias("comp_col")).alias("low"))
+    both = materialize(links.unionByName(links.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))))
+    now = materialize(both.select(*by, F.col("a").alias("node")).distinct().withColumn("low", F.col("node")))
     while True:
-        sent = (now.withColumn("_dr", F.explode(off)).withColumn("_dc", F.explode(off))
-                .select(*by, (F.col("row") + F.col("_dr")).alias("row"),
-                        (F.col("col") + F.col("_dc")).alias("col"), "label")
-                .groupBy(*by, "row", "col").agg(F.min("label").alias("label")))
-        lowest = now.select(*by, "row", "col").join(sent, [*by, "row", "col"])
-        ahead = now.select(*by, F.struct("row", "col").alias("label"), F.col("label").alias("next"))
-        new = materialize(lowest.join(ahead, [*by, "label"], "left").select(
-            *by, "row", "col", F.least("label", F.coalesce("next", "label")).alias("label")))
-        moved = new.join(now.withColumnRenamed("label", "old"), [*by, "row", "col"]).filter("label != old")
-        done = not moved.limit(1).count()
+        around = both.join(now.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("low").alias("best"))
+        nearer = now.join(around, [*by, "node"]).select(*by, "node", F.least("low", "best").alias("step"), F.col("low").alias("was"))
+        ahead = now.select(*by, F.col("node").alias("step"), F.col("low").alias("next"))
+        new = materialize(nearer.join(ahead, [*by, "step"]).select(*by, "node", F.least("step", "next").alias("low"), "was"))
+        moved = new.filter("low != was").limit(1).count()
+        release(now)
         now = new
-        if done:
-            return now.select(*by, "row", "col", F.col("label.row").alias("comp_row"),
-                              F.col("label.col").alias("comp_col"))
+        if not moved:
+            release(both)
+            return now.select(*by, "node.comp_row", "node.comp_col", "low")
 
 
 def hot_hull(hot: DataFrame, by: list[str]) -> DataFrame:
