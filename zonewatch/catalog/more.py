@@ -119,7 +119,7 @@ def recall_by_target_px(spark, sf):
 
 
 # the change gate of every cell, guard off, hidden scans left out
-GATE = f"""c AS (SELECT CAST(vec_id % 4 AS VARCHAR) AS camera_id, label, row_number() OVER (PARTITION BY vec_id % 4, label ORDER BY vec_id) AS scan_no,
+GATE = f"""c AS (SELECT CAST(vec_id // 125 AS VARCHAR) AS camera_id, label, row_number() OVER (PARTITION BY vec_id // 125, label ORDER BY vec_id) AS scan_no,
    list_transform(embedding, lambda v: v::DOUBLE) AS d, embedding[1] < 0.25 AS visible FROM embeddings),
 q AS (SELECT *, row_number() OVER (PARTITION BY camera_id, label ORDER BY scan_no) AS rn FROM c WHERE visible),
 run AS (

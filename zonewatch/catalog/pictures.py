@@ -93,7 +93,7 @@ def color_count(spark, sf):
     return P.color_count(B.pictures(spark, sf), KEYS, (F.col("gray") > 120) & (F.col("col") < 5), 20)
 
 
-@query("frame_descriptors", """WITH f AS (SELECT CAST(vec_id % 4 AS VARCHAR) AS camera_id, vec_id // 4 AS scan_no,
+@query("frame_descriptors", """WITH f AS (SELECT CAST(vec_id // 125 AS VARCHAR) AS camera_id, vec_id % 125 AS scan_no,
    list_transform(embedding, lambda v: trunc(greatest(0.0, least(255.0, 128+400*v::DOUBLE)))) AS g FROM embeddings),
 d AS (SELECT camera_id, scan_no, list_transform(g, lambda v: v - list_sum(g)/64) AS d FROM f)
 SELECT camera_id, scan_no, 1 AS n_cells, d[1] AS first, d[64] AS last, list_sum(list_transform(d, lambda v: abs(v))) AS total FROM d""")

@@ -64,9 +64,9 @@ def gated_ema_reference(spark, sf):
 
 
 def zone_cells(spark, sf):
-    """embeddings -> cells of four cameras: the label is the cell, its k-th vector the k-th scan."""
+    """embeddings -> cells of a camera per 125 vectors: the label is the cell, its k-th vector the k-th scan."""
     d = B.table(spark, sf, "embeddings")
-    cam = (F.col("vec_id") % 4).cast("string")
+    cam = F.floor(F.col("vec_id") / 125).cast("string")
     k = Window.partitionBy("camera_id", "label").orderBy("vec_id")
     # events hide cells and stand for detections, both as fixed functions of the vector
     c = d.withColumn("camera_id", cam).withColumn("scan_no", F.row_number().over(k).cast("bigint"))

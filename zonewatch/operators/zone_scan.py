@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from zonewatch import schemas
 from zonewatch.functions.descriptors import TOP
 from zonewatch.operators.gates import latch_step
+from zonewatch.operators.ordered import arrange
 from zonewatch.operators.replay import replay
 from zonewatch.params import ScanParams
 
@@ -328,14 +329,16 @@ def pack_scans(cells: DataFrame, by: list[str], extra: list[str] = ()) -> DataFr
 def with_control(scans: DataFrame, control: DataFrame, by=KEY) -> DataFrame:
     """Attach each control order to the first scan at or after it.
 
-    control: keys, t_s, order. With several orders before one scan the last one counts.
+    control: keys, t_s, order. With several orders before one scan the last one counts, of one time the
+    greatest text. Orders and scans of a key stand in one time line; each scan ends a stretch of it.
     """
-    from zonewatch.plans.runlog import first_scan_after
-    ids = control.withColumn("event_id", F.monotonically_increasing_id())
-    placed = first_scan_after(ids.withColumnRenamed("t_s", "_at"), scans, list(by), "_at", "t_s", "scan_no")
-    orders = (placed.join(ids.select("event_id", "order"), "event_id")
-              .groupBy(*by, "scan_no").agg(F.max_by("order", "_at").alias("control")))
-    return scans.drop("control").join(orders, [*by, "scan_no"], "left")
+    by, plain = list(by), scans.drop("control")
+    scan = plain.select(*by, "t_s", F.struct(*plain.columns).alias("_scan"), F.lit(1).alias("_is"), F.col("scan_no").alias("_tie"))
+    rows = scan.unionByName(control.select(*by, "t_s", "order", F.lit(0).alias("_is")), allowMissingColumns=True)
+    line = arrange(rows, by, ["t_s", "_is", "_tie"]).running({"_scans": ("sum", F.col("_is"))}).done()
+    stretch = line.withColumn("_nth", F.col("_scans") - F.col("_is")).groupBy(*by, "_nth").agg(
+        F.max_by("_scan", "_is").alias("s"), F.max_by("order", F.when(F.col("_is") == 0, F.struct("t_s", "order"))).alias("control"))
+    return stretch.filter("s IS NOT NULL").select("s.*", "control")
 
 
 def stabilise_policy(dx: Column, dy: Column, deg: Column, fdx: Column, fdy: Column, fdeg: Column,

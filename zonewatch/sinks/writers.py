@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from zonewatch.functions import geometry as G
 
 
-def write_scan_log(stream: DataFrame, path: str, checkpoint: str, once: bool = False, **options):
+def write_scan_log(stream: DataFrame, path: str, checkpoint: str, once: bool = False, name: str | None = None, **options):
     """Append every scan exactly once; the checkpoint takes the place of flushing each row."""
     w = (stream.writeStream.format("parquet").outputMode("append")
          .option("path", path).option("checkpointLocation", checkpoint))
     for k, v in options.items():
         w = w.option(k, v)
+    w = w.queryName(name) if name else w
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")).start()
 
 
