@@ -25,7 +25,7 @@ def counter():
     return step
 
 
-def test_slices_run_at_most_twice(spark, hot, monkeypatch):
+def test_rows_are_read_a_fixed_number_of_times(spark, hot, monkeypatch):
     made = []
     original = RP.materialize
     monkeypatch.setattr(RP, "materialize", lambda df: made.append(1) or original(df))
@@ -33,8 +33,26 @@ def test_slices_run_at_most_twice(spark, hot, monkeypatch):
     got = {r["id"]: r["total"] for r in RP.replay(rows, ["key"], ["id"], counter(), "total bigint").collect()}
     want = np.cumsum(np.arange(700) % 3)
     assert got == {i: int(want[i]) for i in range(700)}
-    n = -(-700 // hot)
-    assert len(made) <= 4 + 4 * 2 * n  # four tables for each of the 2 n slices, not for each pair of them
+    assert -(-700 // hot) == 12 and len(made) <= 4 + 4 * RP.ROUNDS + 3  # however many slices there are
+
+
+def test_keys_that_forget_and_keys_that_do_not(spark, hot):
+    """One key is settled in the first round, one never; one has a single slice."""
+    def step(state, cols):
+        out = []
+        for k, v in zip(cols["key"], cols["v"]):
+            state = int(v) if k == "f" and v % 20 == 0 else (state or 0) + int(v)
+            out.append(state)
+        return state, {"total": out}
+    rows = spark.range(1500).select(F.when(F.col("id") % 3 == 0, "f").when(F.col("id") % 3 == 1, "n").otherwise("m").alias("key"), "id",
+                                    (F.col("id") * 7 % 101).alias("v")).filter("key <> 'm' OR id < 100")
+    got = {(r["key"], r["id"]): r["total"] for r in RP.replay(rows, ["key"], ["id"], step, "total bigint").collect()}
+    states, want = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r["id"]):
+        k = r["key"]
+        states[k] = r["v"] if k == "f" and r["v"] % 20 == 0 else states.get(k, 0) + r["v"]
+        want[k, r["id"]] = states[k]
+    assert got == want
 
 
 def test_ids_beyond_double_stay_whole(spark):

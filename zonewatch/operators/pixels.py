@@ -8,6 +8,8 @@ Arrow batches, one frame at a time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -180,10 +182,13 @@ def describe(patch: np.ndarray) -> np.ndarray:
     return (d - d.mean()).ravel().astype(np.float32)
 
 
-def describe_frames(frames: DataFrame, cells: DataFrame) -> DataFrame:
+def describe_frames(frames: DataFrame, cells: DataFrame,
+                    make_scorer: Callable[[], Callable[[list[np.ndarray]], list[float]]] | None = None) -> DataFrame:
     """Frames and grid cells to one packed scan row per frame and zone.
 
-    The grid travels as arrays (one row per zone) so that a frame is decoded once.
+    The grid travels as arrays (one row per zone) so that a frame is decoded once. `make_scorer` is called once per
+    task, to load a model, say; what it returns gets the patches of a frame (height x width x channels, a patch per
+    cell) and gives a score for each, which the classifier mode of the zone scan decides by (`score`).
     """
     grid = (cells.groupBy(*KEY, "sig").agg(
         F.sort_array(F.collect_list(F.struct("row", "col", "x1", "y1", "x2", "y2"))).alias("c"))
@@ -193,9 +198,19 @@ def describe_frames(frames: DataFrame, cells: DataFrame) -> DataFrame:
         T.StructField("sig", T.StringType()), T.StructField("scan_no", T.LongType()),
         T.StructField("ts", T.TimestampType()), T.StructField("t_s", T.DoubleType()),
         T.StructField("n_cells", T.IntegerType()), T.StructField("rows", T.ArrayType(T.IntegerType())),
-        T.StructField("cols", T.ArrayType(T.IntegerType())), T.StructField("desc", T.ArrayType(T.FloatType()))])
+        T.StructField("cols", T.ArrayType(T.IntegerType())), T.StructField("desc", T.ArrayType(T.FloatType())),
+        *([T.StructField("score", T.ArrayType(T.DoubleType()))] if make_scorer else [])])
+
+    def scored(score, f) -> list[float]:
+        px = np.frombuffer(f["data"], np.uint8).reshape(f["height"], f["width"], f["channels"])
+        patches = [px[y1:y2, x1:x2] for x1, y1, x2, y2 in zip(f["_x1"], f["_y1"], f["_x2"], f["_y2"])]
+        got = [float(v) for v in score(patches)]
+        if len(got) != len(patches):
+            raise ValueError(f"the scorer gave {len(got)} scores for {len(patches)} patches")
+        return got
 
     def run(batches):
+        score = make_scorer() if make_scorer else None
         for pdf in batches:
             out = []
             for f in pdf.itertuples(index=False, name=None):
@@ -204,7 +219,8 @@ def describe_frames(frames: DataFrame, cells: DataFrame) -> DataFrame:
                 parts = [describe(gray[y1:y2, x1:x2])
                          for x1, y1, x2, y2 in zip(f["_x1"], f["_y1"], f["_x2"], f["_y2"])]
                 out.append((f["camera_id"], f["zone_id"], f["sig"], f["scan_no"], f["ts"],
-                            f["t_s"], len(parts), f["_row"], f["_col"], np.concatenate(parts)))
+                            f["t_s"], len(parts), f["_row"], f["_col"], np.concatenate(parts),
+                            *([scored(score, f)] if score else [])))
             yield pd.DataFrame(out, columns=schema.names)
 
     timed = frames.withColumn("t_s", F.unix_micros("ts") / 1_000_000.0)

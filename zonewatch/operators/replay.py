@@ -3,9 +3,11 @@
 The step keeps O(state) memory: rows arrive sorted in Arrow batches and the state is
 carried from batch to batch, so no key is ever collected. When one key is too large for
 one task, its rows are cut into range slices that run in parallel from assumed start
-states; then, of each key, the first slice that started from a wrong state is run again,
-until all start states agree. A slice runs at most twice, and the result is that of the
-sequential run.
+states; then, of each key, the first slice that started from a wrong state is run again.
+A machine that forgets is settled after that. Where start states are still wrong after
+`ROUNDS` such rounds, the machine does not forget, and what is left of its key runs once
+more in order, slice after slice in one task. So rows are read a fixed number of times,
+however many slices there are, and the result is that of the sequential run.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from zonewatch.session import has_hot_group, materialize, release
 Rows = dict[str, np.ndarray]
 Step = Callable[[Any, Rows], tuple[Any, dict[str, Any]]]
 STATE = "_state"
+ROUNDS = 2
 
 
 def _key_runs(pdf: pd.DataFrame, keys: list[str]):
@@ -106,7 +109,9 @@ def _replay_sliced(df, by, order, step, keep, extra, schema) -> DataFrame:
 
     added = to_arrow_schema(extra)
 
-    def drive(emit_rows: bool):
+    def drive(emit_rows: bool, goes_on: bool = False):
+        """The step over slices: its rows, or the state at the end of each slice. `goes_on`: a slice without a
+        start state of its own takes over that of the slice before."""
         def run(batches):
             key, state = None, None
             for batch in batches:
@@ -117,7 +122,8 @@ def _replay_sliced(df, by, order, step, keep, extra, schema) -> DataFrame:
                     if k != key:
                         if key is not None and not emit_rows:
                             yield _end(key, state)
-                        key, state = k, None
+                        state = state if goes_on and key is not None and k[:-1] == key[:-1] else None
+                        key = k
                     if cols["_kind"][a] == 0:  # the start state leads its slice
                         if cols[STATE][a] is not None:
                             state = pickle.loads(cols[STATE][a])
@@ -143,10 +149,11 @@ def _replay_sliced(df, by, order, step, keep, extra, schema) -> DataFrame:
     starts = None
     if chain.limit(1).count():
         # all slices at once from empty states; then, of each key, the first slice whose start was
-        # wrong. Everything before it is settled, so no slice runs more than twice.
+        # wrong. Everything before it is settled.
         ends = ends_of(None, parts.join(chain.select(*keys), keys, "left_semi"))
         starts = materialize(chain.select(*keys).withColumn(STATE, no_state))
         first = Window.partitionBy(*by).orderBy(SLICE)
+        rounds = 0
         while True:
             before = ends.select(*by, F.col(SLICE).alias("_prev"), F.col(STATE).alias("_in"))
             moved = materialize(chain.join(before, by + ["_prev"]).join(starts, keys)
@@ -156,6 +163,20 @@ def _replay_sliced(df, by, order, step, keep, extra, schema) -> DataFrame:
             if not moved.limit(1).count():
                 release(moved)
                 break
+            rounds += 1
+            if rounds > ROUNDS:
+                left = moved.select(*by, F.col(SLICE).alias("_from"))
+                heads = moved.withColumn("_kind", F.lit(0))
+                data = (parts.join(left, by).filter(F.col(SLICE) >= F.col("_from")).drop("_from")
+                        .withColumn(STATE, no_state).withColumn("_kind", F.lit(1)).unionByName(heads, allowMissingColumns=True))
+                data = data.repartition(*by).sortWithinPartitions(*by, SLICE, "_kind", *order)
+                again = materialize(data.mapInArrow(drive(False, goes_on=True), end_schema))
+                settled = ends.join(again.select(*keys), keys, "left_anti").unionByName(again)
+                before = settled.select(*by, F.col(SLICE).alias("_prev"), F.col(STATE))
+                new_starts = materialize(chain.join(before, by + ["_prev"]).select(*keys, STATE))
+                release(starts, moved, again)
+                starts = new_starts
+                break
             again = ends_of(moved, parts.join(moved.select(*keys), keys, "left_semi"))
             new_ends = materialize(ends.join(again.select(*keys), keys, "left_anti").unionByName(again))
             new_starts = materialize(starts.join(moved.select(*keys), keys, "left_anti").unionByName(moved))

@@ -118,6 +118,11 @@ def _whole_scene_changed(rows, cols, known, changed, n_cells: int, p: ScanParams
     return share >= p.guard_spread
 
 
+def _boxes(given) -> list[list[float]]:
+    """Boxes of a scan's row as plain lists."""
+    return [[float(v) for v in b] for b in given] if given is not None else []
+
+
 def _verify(s: dict, at: np.ndarray, hot: np.ndarray, row: dict, res: dict, p: ScanParams) -> np.ndarray:
     """Keep hot cells the detector confirms; look closer where it keeps refusing."""
     if not p.verify_on or not hot.any():
@@ -125,6 +130,8 @@ def _verify(s: dict, at: np.ndarray, hot: np.ndarray, row: dict, res: dict, p: S
     if row["det_hit"] is None:
         res["verify_failed"] = True
         return hot
+    res["verify_boxes"] = _boxes(row.get("det_boxes"))
+    res["verify_conf"] = max((b[4] for b in res["verify_boxes"]), default=0.0)
     keep = hot & np.asarray(row["det_hit"], bool)
     dropped = hot & ~keep
     res["n_verify_dropped"] = int(dropped.sum())
@@ -134,6 +141,8 @@ def _verify(s: dict, at: np.ndarray, hot: np.ndarray, row: dict, res: dict, p: S
         again = dropped & (s["reject"][at] >= p.escalate_after) & np.asarray(row["fine_hit"], bool)
         s["reject"][at[again]] = 0
         res["n_escalated_hot"] = int(again.sum())
+        if again.any():
+            res["verify_boxes"] = res["verify_boxes"] + _boxes(row.get("fine_boxes"))
         keep = keep | again
     return keep
 
@@ -149,6 +158,8 @@ def _sweep(s: dict, at: np.ndarray, hot: np.ndarray, row: dict, res: dict, p: Sc
     muted = s["muted"][at] if p.clutter_on else False
     add = (s["sweep"][at] >= p.dwell) & ~hot & ~muted
     res["n_sweep_hot"] = int(add.sum())
+    if add.any():
+        res["verify_boxes"] = res["verify_boxes"] + _boxes(row.get("sweep_boxes"))
     return hot | add
 
 
@@ -194,7 +205,7 @@ def _classifier(s, at, ids, desc, score, changed, row, res, p) -> np.ndarray:
 
 def zone_step(state: dict | None, row: dict, p: ScanParams) -> tuple[dict | None, dict]:
     """One scan: (state, input row) -> (state, result row)."""
-    res = {**_EMPTY, "hot_rows": [], "hot_cols": []}
+    res = {**_EMPTY, "hot_rows": [], "hot_cols": [], "verify_boxes": []}
     t, order = float(row["t_s"]), row["control"]
     if order == "remove":
         return None, res
@@ -303,7 +314,8 @@ def scan_batch(scans: DataFrame, params: ScanParams) -> DataFrame:
 
 def clean_row(row: dict) -> dict:
     """NULLs come out of Arrow as NaN in scalar columns; make them None again."""
-    for k in ("control", "shift_px", "stab_fits", "stab_px", "score", "det_hit", "fine_hit", "sweep_hit"):
+    for k in ("control", "shift_px", "stab_fits", "stab_px", "score", "det_hit", "fine_hit", "sweep_hit",
+              "det_boxes", "fine_boxes", "sweep_boxes"):
         v = row[k]
         if v is not None and np.isscalar(v) and not isinstance(v, str) and v != v:
             row[k] = None

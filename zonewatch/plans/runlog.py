@@ -30,16 +30,17 @@ def scan_log(results: DataFrame, scans: DataFrame, by: list[str], boxes: DataFra
 
     `scans` are the scans that went in (shift_px, stab_px and, if there, stab_deg are theirs), `boxes` the
     detections (by.., conf) and `ms` the durations (by.., ms) of single scans, where there are any. `by`
-    names one scan.
+    names one scan. Without `boxes`, those count that went through the scan itself.
     """
     given = scans.select(*by, *[(F.col(c) if c in scans.columns else F.lit(None)).cast("double").alias(c)
                                 for c in ("shift_px", "stab_px", "stab_deg")])
     log = results.join(given, by, "left")
     if boxes is not None:
+        log = log.drop("verify_conf")
         seen = boxes.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("n_verify_boxes"), F.max("conf").alias("verify_conf"))
         log = log.join(seen, by, "left").withColumn("n_verify_boxes", F.coalesce("n_verify_boxes", F.lit(0)))
     else:
-        log = log.withColumns({"n_verify_boxes": F.lit(0), "verify_conf": F.lit(None).cast("double")})
+        log = log.withColumn("n_verify_boxes", F.size("verify_boxes"))
     log = log.join(ms, by, "left") if ms is not None else log.withColumn("ms", F.lit(None).cast("double"))
     notes = F.concat_ws("; ", F.when(F.col("late"), "late"), F.when(F.col("global_change"), "whole scene changed"),
                         F.when(F.col("ref_reset"), "references reset"), F.when(F.col("verify_failed"), "detector failed"))

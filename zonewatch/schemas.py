@@ -39,12 +39,14 @@ SCAN_LOG = _struct(
 #   desc       64 values per cell, one after the other
 #   det_hit    cell touched by a detection; NULL array = the detector failed
 #   fine_hit   same for the finer second look, sweep_hit for the sweep of the whole zone
+#   det_boxes  what the detector saw, [x1, y1, x2, y2, confidence] each; fine_boxes, sweep_boxes likewise
 #   score      classifier score per cell (classifier mode)
 #   control    'reset' | 'reset_all' | 'remove' | 'unmute:<row>,<col>', applied before the scan
 SCANS = _struct(
     "camera_id string, zone_id string, scan_no bigint, t_s double, sig string, n_cells int, "
     "rows array<int>, cols array<int>, desc array<float>, det_hit array<boolean>, fine_hit array<boolean>, "
-    "sweep_hit array<boolean>, score array<double>, shift_px double, stab_fits boolean, stab_px double, "
+    "sweep_hit array<boolean>, det_boxes array<array<double>>, fine_boxes array<array<double>>, "
+    "sweep_boxes array<array<double>>, score array<double>, shift_px double, stab_fits boolean, stab_px double, "
     "control string")
 
 SCAN_RESULT = _struct(
@@ -52,7 +54,7 @@ SCAN_RESULT = _struct(
     "n_raw_hot int, n_occluded int, n_changed int, n_scored int, n_dropped int, n_muted_hit int, "
     "n_verify_dropped int, n_sweep_hot int, n_escalated_hot int, max_run int, mask_progress double, "
     "global_change boolean, ref_reset boolean, verify_failed boolean, anchor_refreshed boolean, "
-    "hot_rows array<int>, hot_cols array<int>, max_change double")
+    "hot_rows array<int>, hot_cols array<int>, max_change double, verify_boxes array<array<double>>, verify_conf double")
 
 REF_STATE = _struct("camera_id string, zone_id string, sig string, row int, col int, desc array<double>")
 CLUTTER_STATE = _struct("camera_id string, zone_id string, sig string, row int, col int, total bigint, "

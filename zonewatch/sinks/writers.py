@@ -39,6 +39,21 @@ def alert_rows(scans: DataFrame, boxes: DataFrame, hulls: DataFrame, by: list[st
     return out.select(*by, F.lit("trash").alias("label"), F.lit(1.0).alias("score"), corners.alias("bbox"), "extra")
 
 
+def result_boxes(results: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., x1..y2, conf): the boxes that came through the zone scan, for `alert_rows`."""
+    return (results.select(*by, F.explode("verify_boxes").alias("b"))
+            .select(*by, *[F.col("b")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2", "conf"))]))
+
+
+def result_hulls(results: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., x1..y2): hull of the hot cells of each scan; `cells` holds by.., row, col, x1..y2."""
+    hot = results.select(*by, F.explode(F.arrays_zip(F.col("hot_rows").alias("row"), F.col("hot_cols").alias("col"))).alias("h"))
+    hot = hot.select(*by, F.col("h.row").alias("row"), F.col("h.col").alias("col"))
+    low, high = ("x1", "y1"), ("x2", "y2")
+    return hot.join(cells.select(*by, "row", "col", *low, *high), [*by, "row", "col"]).groupBy(*by).agg(
+        *[F.min(c).alias(c) for c in low], *[F.max(c).alias(c) for c in high])
+
+
 def hard_negatives(boxes: DataFrame, pad: int = 16, min_side: int = 24) -> DataFrame:
     """Crops around detections of a clean period: padded, clipped, not too small.
 
