@@ -30,7 +30,6 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
 FLOOR = 0.05
-ROUNDS = 30
 TOLERANCE = 1e-4
 LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,8 +58,8 @@ def host_links(pages: DataFrame) -> DataFrame:
             .filter("src != '' AND dst != '' AND src != dst").distinct())
 
 
-def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after the rounds, for seeds (host, s_trust, s_distrust) and distinct links."""
+def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """(host, trust, distrust) once they stand still, for seeds (host, s_trust, s_distrust) and distinct links."""
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
     along = links.join(out, "src").select(F.col("src").alias("frm"), F.col("dst").alias("to"), (1.0 / F.col("k")).alias("t"), F.lit(0.0).alias("d"))
     against = links.join(out, "src").select(F.col("dst").alias("frm"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (1.0 / F.col("k")).alias("d"))
@@ -69,7 +68,8 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds:
     base = materialize(hosts.join(seeds, "host", "left").select(
         "host", F.coalesce("s_trust", F.lit(0.0)).alias("s_trust"), F.coalesce("s_distrust", F.lit(0.0)).alias("s_distrust")))
     state = materialize(base.select("host", *[((1 - damping) * F.col(f"s_{c}")).alias(c) for c in ("trust", "distrust")]))
-    for _ in range(rounds if not flow.isEmpty() else 0):
+    still = flow.isEmpty()
+    while not still:
         got = flow.join(state, F.col("frm") == F.col("host")).groupBy("to").agg(
             F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
         step = lambda s, x: (1 - damping) * F.col(s) + damping * F.coalesce(F.col(x), F.lit(0.0))
@@ -78,8 +78,7 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds:
                                     F.greatest(F.abs(step("s_trust", "t") - F.col("trust")), F.abs(step("s_distrust", "d") - F.col("distrust"))).alias("change")))
         release(state)
         state = moved
-        if (state.agg(F.max("change")).first()[0] or 0.0) <= TOLERANCE:
-            break
+        still = (state.agg(F.max("change")).first()[0] or 0.0) <= TOLERANCE
     release(flow, base)
     return state.select("host", "trust", "distrust")
 
