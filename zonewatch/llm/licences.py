@@ -21,7 +21,13 @@ from pyspark.sql import functions as F
 
 from zonewatch.llm.common import lookup_side
 
-COPYRIGHT = r"^[\s/*#;!.\-]*(copyright\b|\(c\)|©|all rights reserved)"
+_SIGNS = r"^[\s/*#;!.\-]*"
+#: A copyright line: the word or sign with a sign, year or "by" behind it.
+COPYRIGHT = _SIGNS + r"(copyright\s*(\(c\)|©|[:,]|by\b|[0-9]{4}|$)|\(c\)\s*(copyright\b|©|[0-9]{4})|©|all rights reserved)"
+#: Or with a name behind it, the whole of a short line; but not a sentence that goes on from the line before.
+NAMED = _SIGNS + r"copyright\s+\S+(\s+\S+){0,5}\s*$"
+GOES_ON = _SIGNS + (r"copyright\s+(holders?|owners?|notices?|laws?|licen[sc]es?|statements?|protections?|interests?|treat(y|ies)|and|or|in|of|is|are|"
+                    r"to|for|the|this|that|which|as|with|on|at|may|shall|must|not)\b")
 #: Spellings that count as the same, in canonical form; applied in this order.
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
              ("merchantibility", "merchantability"), ("organisation", "organization"), ("authorisation", "authorization"),
@@ -74,9 +80,14 @@ KNOWN = (
 )
 
 
+def _notice(line: Column) -> Column:
+    """Whether a line (in lower case) is a copyright line."""
+    return F.rlike(line, F.lit(COPYRIGHT)) | (F.rlike(line, F.lit(NAMED)) & ~F.rlike(line, F.lit(GOES_ON)))
+
+
 def canonical_lines(text: Column) -> Column:
     """The canonical forms of a text's lines, copyright lines and empty ones left out."""
-    lines = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\r\n|\n|\r"), lambda x: ~F.rlike(x, F.lit(COPYRIGHT)))
+    lines = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\r\n|\n|\r"), lambda x: ~_notice(x))
 
     def form(x: Column) -> Column:
         return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
