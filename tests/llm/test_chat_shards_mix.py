@@ -43,6 +43,20 @@ def test_windows_keep_the_budget_and_the_system_turn(spark):
     assert learned == [r[3] for r in rows if r[2] == "assistant"]
 
 
+@pytest.mark.parametrize("turns", [[100] * 299, [2, 1900, 30, 1600, 2000, 40, 1540] * 8, [1990] * 9, [3, 600, 700, 800] * 20, [2400, 5, 2100]])
+def test_windows_never_go_over_budget(spark, turns):
+    """turns: tokens each (a turn takes six for its template). Longer ones than the budget stand alone."""
+    rows = [(1, t, "user", "a " * (n - 6), None) for t, n in enumerate(turns)]
+    win = chat.windows(spark.createDataFrame(rows, TURNS)).orderBy("window").collect()
+    count = lambda s: len(re.findall(r"[^\W\d_]{1,6}|\d{1,3}|[^\w\s]|_", s))
+    sizes = [[count(p) + 4 for p in w["text"].split("<|im_end|>\n")[:-1]] for w in win]
+    assert all(count(w["text"]) <= chat.BUDGET or len(s) == 1 for w, s in zip(win, sizes))
+    tokens = sum(count(f"<|im_start|>user\n{r[3]}<|im_end|>\n") for r in rows)
+    alone = sum(n > chat.HISTORY for n in turns)
+    assert len(win) <= 1.1 * (tokens / (chat.BUDGET - chat.HISTORY)) + alone + 1
+    assert sum(len(s) for s in sizes) - sum(w["n_repeated"] for w in win) == len(turns)
+
+
 def test_no_turns(spark):
     assert chat.read_back(chat.windows(spark.createDataFrame([], TURNS))).collect() == []
 

@@ -6,11 +6,12 @@ never hold a control string, and taking one away again gives the text back exact
 become `\\n` and its backslashes `\\\\`.
 
 Windows: a turn's tokens are counted by `token_count`. Prefix sums over a conversation's turns deal them
-into spans of at most `budget - history - system` tokens: the turns that lie wholly between two multiples
-of that stride are a span, and a turn across a multiple is a span of its own (so a turn is never cut; one
-longer than the budget makes a longer window). Each window holds the system turn (a first turn of role
-`system`), then as many turns before the span as fit into `history` tokens, then the span. Assistant
-texts of the span are the loss; repeated turns are masked. Every turn is new in exactly one window.
+into spans by multiples of a stride of `budget - history - system` tokens: the turns that end between two multiples
+are a span. A turn that begins up to `history` tokens before a multiple belongs to the span behind it; one that
+begins earlier is a span of its own, so a turn is never cut. Each window holds the system turn (a first turn of role
+`system`), then as many turns before the span as fit into `history` tokens and into what the span leaves of the
+budget, then the span. So no window is over budget but that of a single turn which is longer than the budget leaves
+it. Assistant texts of the span are the loss; repeated turns are masked. Every turn is new in exactly one window.
 
 A window has a bounded number of turns, so conversations of any length are worked on in pieces; only
 `read_back`, whose digests are of whole conversations, brings the pieces of one together.
@@ -69,19 +70,24 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     rows = (rows.withColumn("begin", F.coalesce(F.sum(own).over(upto), F.lit(0))).withColumn("end", F.col("begin") + own)
             .withColumn("head", F.first(F.when(F.col("system"), F.struct("piece", "tokens"))).over(conv)))
     stride = F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce("head.tokens", F.lit(0)))
-    low = F.floor(F.col("begin") / stride)
-    across = (F.col("end") > (low + 1) * stride) & ~F.col("system")
-    rows = rows.withColumn("span", F.struct(low.cast("long").alias("k"), F.when(across, F.lit(1)).otherwise(F.lit(0)).alias("cut")))
-    rows = rows.select("conv_id", "i", "role", "piece", "system", "begin", "span", "head")
-
-    # a turn is repeated by the spans that start at most `history` tokens behind its own start
+    of_begin = F.floor(F.col("begin") / stride)
+    of_end = F.greatest(of_begin, F.floor((F.col("end") - 1) / stride))
+    alone = (of_end > of_begin) & (of_end * stride - F.col("begin") > history) & ~F.col("system")
+    rows = rows.withColumn("span", F.struct(F.when(alone, of_begin).otherwise(of_end).cast("long").alias("k"),
+                                            F.when(alone, F.lit(1)).otherwise(F.lit(0)).alias("cut")))
+    rows = rows.select("conv_id", "i", "role", "piece", "system", "begin", "end", "span", "head")
+
+    # a turn is repeated by the spans that start at most `room` tokens behind its own start
     reach = F.lit(max(1, history)).cast("long")
-    spans = rows.groupBy("conv_id", "span").agg(F.min("begin").alias("starts"), F.min("i").alias("first_i"))
-    near = spans.select("conv_id", F.col("span").alias("to"), "starts", "first_i", F.floor(F.col("starts") / reach).alias("cell"))
+    spans = rows.groupBy("conv_id", "span").agg(
+        F.min("begin").alias("starts"), F.min("i").alias("first_i"),
+        (F.lit(budget) - F.max(F.coalesce("head.tokens", F.lit(0))) - F.sum(F.col("end") - F.col("begin"))).alias("left"))
+    room = F.greatest(F.lit(0), F.least(F.lit(history), F.col("left")))
+    near = spans.select("conv_id", F.col("span").alias("to"), "starts", "first_i", room.alias("room"), F.floor(F.col("starts") / reach).alias("cell"))
     back = rows.filter(~F.col("system")).withColumn("cell", F.explode(F.array(F.floor(F.col("begin") / reach), F.floor(F.col("begin") / reach) + 1)))
     r, s = back.alias("r"), near.alias("s")
     repeated = (r.join(s, F.col("r.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("r.cell") == F.col("s.cell")))
-                .filter("r.i < s.first_i AND s.starts - r.begin <= " + str(history))
+                .filter("r.i < s.first_i AND s.starts - r.begin <= s.room")
                 .select("r.conv_id", F.col("s.to").alias("span"), "r.i", F.lit(False).alias("new"), "r.role", "r.piece", "r.head"))
     placed = rows.select("conv_id", "span", "i", F.lit(True).alias("new"), "role", "piece", "head").union(repeated)
 

@@ -109,9 +109,11 @@ o AS (SELECT *, CASE WHEN sys THEN 0 ELSE tokens END AS own,
         max(CASE WHEN sys THEN chars END) OVER (PARTITION BY conv_id) AS h_chars FROM k),
 b AS (SELECT *, coalesce(sum(own) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg,
         greatest(1, 1536 - h_tokens) AS stride FROM o),
-s AS (SELECT *, beg // stride AS low, CASE WHEN NOT sys AND beg + own > (beg // stride + 1) * stride THEN 1 ELSE 0 END AS cut FROM b),
-w AS (SELECT conv_id, low, cut, min(beg) AS starts, min(i) AS fi, max(h_chars) AS h_chars FROM s GROUP BY 1, 2, 3),
-x AS (SELECT w.conv_id, sum(s.chars) AS chars FROM w JOIN s ON s.conv_id = w.conv_id AND NOT s.sys AND s.i < w.fi AND w.starts - s.beg <= 512 GROUP BY 1),
+e AS (SELECT *, beg // stride AS of_beg, greatest(beg // stride, (beg + own - 1) // stride) AS of_end FROM b),
+s AS (SELECT *, CASE WHEN NOT sys AND of_end > of_beg AND of_end * stride - beg > 512 THEN of_beg ELSE of_end END AS low,
+        CASE WHEN NOT sys AND of_end > of_beg AND of_end * stride - beg > 512 THEN 1 ELSE 0 END AS cut FROM e),
+w AS (SELECT conv_id, low, cut, min(beg) AS starts, min(i) AS fi, max(h_chars) AS h_chars, greatest(0, least(512, 2048 - max(h_tokens) - sum(own))) AS room FROM s GROUP BY 1, 2, 3),
+x AS (SELECT w.conv_id, sum(s.chars) AS chars FROM w JOIN s ON s.conv_id = w.conv_id AND NOT s.sys AND s.i < w.fi AND w.starts - s.beg <= w.room GROUP BY 1),
 y AS (SELECT conv_id, sum(CASE WHEN fi > 1 THEN coalesce(h_chars, 0) ELSE 0 END) AS chars FROM w GROUP BY 1)
 SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(s.role || chr(10) || s.txt || chr(10), '' ORDER BY i)) AS turns_sha256,
   CAST(coalesce(sum(length(s.txt)) FILTER (s.role = 'assistant'), 0) AS BIGINT) AS loss_chars,
@@ -142,7 +144,8 @@ def _licence_sql() -> str:
             x = f"replace({x}, '{a}', '{b}')"
         return x
     lines = (f"list_filter(list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\r\\n|\\n|\\r'), "
-             f"lambda x: NOT regexp_matches(x, '{licences.COPYRIGHT}')), lambda x: {form('x')}), lambda x: x <> '')")
+             f"lambda x: NOT (regexp_matches(x, '{licences.COPYRIGHT}') OR (regexp_matches(x, '{licences.NAMED}') AND "
+             f"NOT regexp_matches(x, '{licences.GOES_ON}')))), lambda x: {form('x')}), lambda x: x <> '')")
     known = ", ".join(f"('{n}', '{t}')" for n, t in licences.KNOWN)
     return f"""
 WITH k AS (SELECT sha256({spelled("array_to_string(l, ' ')")}) AS digest, min(licence) AS licence FROM
