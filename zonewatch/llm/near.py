@@ -134,7 +134,9 @@ def _classes(docs: DataFrame, id_type: str, levels: np.ndarray, percent: int) ->
     at = F.monotonically_increasing_id()
     number = (F.shiftleft(F.least("x.rare", F.lit((1 << 17) - 1)), 45).bitwiseOR(F.shiftleft(F.shiftright(at, 33), 28))
               .bitwiseOR(at.bitwiseAND(F.lit((1 << 28) - 1))))
-    return distinct.select(number.alias("class"), "d1", "d2", "id", "x.n", "x.first")
+    fits = (F.shiftright(at, 33) < 1 << 17) & (at.bitwiseAND(F.lit((1 << 33) - 1)) < 1 << 28)
+    checked = F.when(fits, number).otherwise(F.raise_error(F.lit("more than 2^17 tasks, or 2^28 sets in one: set the shuffle partitions in between")))
+    return distinct.select(checked.alias("class"), "d1", "d2", "id", "x.n", "x.first")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
