@@ -337,3 +337,27 @@ def test_every_row_of_the_benchmark_is_searched(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [10, 11]
     unnamed = bench.filter("item_id IS NULL")
     assert [r["item_id"] for r in decontaminate.leaks(docs, unnamed).collect()] == [None, None]
+
+
+def test_the_trie_is_shared_and_small_caches_change_nothing():
+    terms = {"disgusting": 1.0, "disgust*": 1.0, "disgrace": 1.0, "idiot": 1.0, "idio*": 1.0}
+    m, tight = toxicity.Matcher(terms), toxicity.Matcher(terms, cache_bytes=2000, seen_bytes=500)
+    assert len(m.trie.most) == 1 + len("disgusting") + len("race") + len("idiot")
+    rng = random.Random(7)
+    for _ in range(1500):
+        w = list(rng.choice([t.rstrip("*") for t in terms]) + rng.choice(["", "s", "ed"]))
+        for _ in range(rng.randint(0, 3)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice("disgut"))
+            w.pop(rng.randrange(len(w)))
+        assert m.match("".join(w)) == tight.match("".join(w))
+    assert tight.size < 2000 + 20_000 and len(tight.states) < len(m.states)
+    assert toxicity.Matcher({}).match("idiot") is None
+
+
+def test_an_apostrophe_closes_no_quotation():
+    terms = {"idiot": 5.0}
+    m = toxicity.Matcher(terms)
+    quoted = lambda t: toxicity.features(t, terms, m)[2] > 0
+    assert quoted("they said “you idiot” there") and quoted("they said “don’t you idiot” there") and quoted("‘isn’t he an idiot’ they said")
+    assert not quoted("they said “don’t” you idiot") and not quoted("it isn’t you idiot") and not quoted("the dogs’ idiot")
+    assert m.words("“don’t”") == ["“", "don", "t", "”"]

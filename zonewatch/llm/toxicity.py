@@ -4,13 +4,15 @@
    four to eight letters is counted once per text and class; copies of a text add nothing. All terms whose
    smoothed log odds are high enough and that pass the significance test become the lexicon, however many
    they are; a beginning covers the forms built on it.
-2. **Matching.** The Levenshtein automata of all terms run at the same time: a state is the band of the
-   edit table's row around the diagonal, for the terms still in reach. States are built when first met and
-   kept for all tasks of a Python worker. A word runs through them letter by letter and stops as soon as no
-   term is left in reach. Terms of at least `FUZZY_MIN` letters may be one error off, those of at least nine
+2. **Matching.** The terms form a trie, and the Levenshtein automaton of a word is intersected with it: a
+   state is the set of trie nodes in reach, each with the fewest errors by which the letters so far lead to it.
+   What terms begin with in common is worked out once. A node is in reach while a term below it allows its errors.
+   States are built when first met and kept for all tasks of a Python worker, up to `CACHE_BYTES`. A word runs
+   through them letter by letter and stops as soon as no node is left. Terms of at least `FUZZY_MIN` letters may be one error off, those of at least nine
    letters two; an error may be anywhere, the first letter included. Up to two masking signs between letters
    stay in a word (`id*ot`), which is then tried whole and in pieces; the better of the two counts, and pieces
    where they are equally good. A sign before a word needs no such care: leaving a letter out costs the same.
+   An apostrophe between letters is no quotation mark.
 3. **Context.** A hit counts fully in open text and at `QUOTED` of its weight inside quotation marks
    opened at most `WINDOW` words before it. The densest window of hits is a feature of its own.
 4. **Score.** A logistic regression over a handful of such features, fitted on about `FIT_ROWS` distinct
@@ -43,11 +45,13 @@ WINDOW = 12
 QUOTED = 0.25
 THRESHOLD = 0.7
 FEATURES = 8
-_TOKEN = re.compile(r"[^\W_]+(?:[*@#$%&!?+|~^._-]{1,2}[^\W_]+)*|[\"“”„«»‘’]")
+_TOKEN = re.compile(r"[^\W_]+(?:[*@#$%&!?+|~^._-]{1,2}[^\W_]+)*|[\"“”„«»]|(?<![^\W_])[‘’]|[‘’](?![^\W_])")
 _PIECE = re.compile(r"[^\W_]+")
 _OPEN, _CLOSE, _EITHER = set("“„«‘"), set("”»’"), {'"'}
 _QUOTES = _OPEN | _CLOSE | _EITHER
 _FLUSH = 300_000
+#: Memory for states and for words seen, per Python worker; beyond it they are built anew.
+CACHE_BYTES, SEEN_BYTES = 200 << 20, 16 << 20
 
 
 def forms(word: str) -> list[str]:
@@ -117,96 +121,111 @@ def choose_terms(counts: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
     return kept
 
 
-class Matcher:
-    """All terms' Levenshtein automata run at once, states built as they are met.
+class Trie:
+    """The terms by their letters. Per node: children by letter, the most errors that a term at or below it allows,
+    and the terms that end there, with whether they are beginnings."""
 
-    After j letters of a word, cell b of a term's row is the distance of these letters and the first
-    j - `wide` + b letters of the term, or the errors allowed and one more if it is higher.
-    """
+    def __init__(self, terms: list[str], allowed: list[int]):
+        self.children: list[dict[str, int]] = [{}]
+        self.most = [-1]
+        self.ends: dict[int, list[tuple[int, bool]]] = {}
+        for n, t in enumerate(terms):
+            at = 0
+            self.most[0] = max(self.most[0], allowed[n])
+            for c in t.rstrip("*"):
+                at = self.children[at].setdefault(c, len(self.most))
+                if at == len(self.most):
+                    self.children.append({})
+                    self.most.append(-1)
+                self.most[at] = max(self.most[at], allowed[n])
+            self.ends.setdefault(at, []).append((n, t[-1] == "*"))
+
+
+class Matcher:
+    """Words against all terms at once: sets of (trie node, errors), built as they are met."""
 
-    def __init__(self, terms: dict[str, float], max_states: int = 200_000, max_seen: int = 60_000):
+    def __init__(self, terms: dict[str, float], cache_bytes: int = CACHE_BYTES, seen_bytes: int = SEEN_BYTES):
         self.terms = sorted(terms)
-        words = [t.rstrip("*") for t in self.terms]
-        self.size = np.array([len(w) for w in words], dtype=np.int32)
-        self.allowed = ((self.size >= FUZZY_MIN).astype(np.int8) + (self.size >= 9)).astype(np.int8)
-        self.open = np.array([t.endswith("*") for t in self.terms], dtype=bool)
-        self.wide = int(self.allowed.max(initial=0))
-        self.longest = int(self.size.max(initial=0))
-        self.letters = np.zeros((len(words), self.longest + 3 * self.wide + 3), dtype=np.int32)
-        for k, w in enumerate(words):
-            self.letters[k, self.wide:self.wide + len(w)] = [ord(c) for c in w]
-        self.max_states, self.max_seen = max_states, max_seen
+        self.allowed = [int(len(t.rstrip("*")) >= FUZZY_MIN) + int(len(t.rstrip("*")) >= 9) for t in self.terms]
+        self.trie = Trie(self.terms, self.allowed)
+        self.cache_bytes, self.seen_bytes = cache_bytes, seen_bytes
+        self.seen: dict[str, tuple[int, str] | None] = {}
+        self.seen_size = 0
         self.clear()
 
     def clear(self) -> None:
-        #: per state: letters read, terms in reach, their rows, best end of a beginning, best end of any term
+        #: per state: its (node, errors), best end of a beginning, best end of any term
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
         self.moves: list[dict[str, int]] = []
-        self.seen: dict[str, tuple[int, str] | None] = {}
-        at = np.arange(-self.wide, self.wide + 1, dtype=np.int32)
-        row = np.where((at >= 0) & (at <= self.size[:, None]), at, 99)
-        self.start = self._state(0, np.arange(len(self.terms), dtype=np.int32), np.minimum(row, self.allowed[:, None] + 1).astype(np.int8))
-
-    def _state(self, read: int, alive: np.ndarray, rows: np.ndarray) -> int:
-        """The number of a state."""
-        key = (read, alive.tobytes(), rows.tobytes())
+        self.size = 0
+        self.start = self._state({0: 0} if self.terms else {})
+
+    def _state(self, reach: dict[int, int]) -> int:
+        """The state of these nodes and of those that letters left out lead to; -1 without any."""
+        children, most = self.trie.children, self.trie.most
+        todo = [n for n, e in reach.items() if e < most[n]]
+        for n in todo:  # grows as it is walked
+            e = reach[n] + 1
+            for k in children[n].values():
+                if e <= most[k] and reach.get(k, 9) > e:
+                    reach[k] = e
+                    if e < most[k]:
+                        todo.append(k)
+        if not reach:
+            return -1
+        key = tuple(sorted(reach.items()))
         if key not in self.number:
-            cell = self.size[alive] - read + self.wide
-            ends = np.flatnonzero((cell >= 0) & (cell <= 2 * self.wide))
-            errors = rows[ends, cell[ends]]
-            ok = errors <= self.allowed[alive[ends]]
-            found = [(int(e), int(t)) for e, t in zip(errors[ok], alive[ends[ok]])]
-            best = [min(((e, self.terms[t]) for e, t in found if self.open[t] or every), default=None) for every in (False, True)]
+            ends = [(e, self.terms[t], open_) for n, e in key for t, open_ in self.trie.ends.get(n, ()) if e <= self.allowed[t]]
+            best = [min(((e, t) for e, t, open_ in ends if open_ or every), default=None) for every in (False, True)]
             self.number[key] = len(self.states)
-            self.states.append((read, alive, rows, *best))
+            self.states.append((key, *best))
             self.moves.append({})
+            self.size += 500 + 130 * len(key)
         return self.number[key]
 
     def _move(self, at: int, c: str) -> int:
-        read, alive, old = self.states[at][:3]
-        read += 1
-        to = -1
-        if read <= self.longest + self.wide:
-            wrong = self.letters[alive, read - 1:read + 2 * self.wide] != ord(c)
-            rows = old + wrong
-            if self.wide:
-                np.minimum(rows[:, :-1], old[:, 1:] + 1, out=rows[:, :-1])
-            first = read - self.wide  # letters of the term at cell 0
-            if first < 0:
-                rows[:, :-first] = 99
-            for b in range(1, 2 * self.wide + 1):
-                np.minimum(rows[:, b], rows[:, b - 1] + 1, out=rows[:, b])
-            beyond = np.arange(first, first + 2 * self.wide + 1, dtype=np.int32) > self.size[alive][:, None]
-            rows[beyond] = 99
-            most = self.allowed[alive]
-            rows = np.minimum(rows, (most + 1)[:, None]).astype(np.int8)
-            left = rows.min(axis=1) <= most
-            if left.any():
-                to = self._state(read, alive[left], rows[left])
+        """The state after one more letter: it is a child's letter, or stands for one, or is one too many."""
+        children, most = self.trie.children, self.trie.most
+        reach: dict[int, int] = {}
+        for n, e in self.states[at][0]:
+            if e < most[n]:
+                if reach.get(n, 9) > e + 1:
+                    reach[n] = e + 1
+                for letter, k in children[n].items():
+                    now = e if letter == c else e + 1
+                    if now <= most[k] and reach.get(k, 9) > now:
+                        reach[k] = now
+            elif (k := children[n].get(c)) is not None and e <= most[k] and reach.get(k, 9) > e:
+                reach[k] = e
+        to = self._state(reach)
         self.moves[at][c] = to
+        self.size += 150
         return to
 
     def match(self, word: str) -> tuple[int, str] | None:
         """(errors, term) of the best term that the word, or a beginning of it, is; else None."""
         if word in self.seen:
             return self.seen[word]
-        if len(self.states) > self.max_states:
+        if self.size > self.cache_bytes:
             self.clear()  # they are built anew, at the same results
-        elif len(self.seen) > self.max_seen:
-            self.seen = {}  # the states stay: they are few, words are many
+        if self.seen_size > self.seen_bytes:
+            self.seen, self.seen_size = {}, 0  # the states stay: they are few, words are many
         at, best = self.start, None
         for c in word:
+            if at < 0:
+                break
             to = self.moves[at].get(c)
             at = self._move(at, c) if to is None else to
             if at < 0:
                 break
-            end = self.states[at][3]
+            end = self.states[at][1]
             if end and (best is None or end < best):
                 best = end
-        if at >= 0 and (end := self.states[at][4]) and (best is None or end < best):
+        if at >= 0 and (end := self.states[at][2]) and (best is None or end < best):
             best = end
         self.seen[word] = best
+        self.seen_size += 200 + 4 * len(word)
         return best
 
     def words(self, text: str) -> list[str]:
@@ -243,7 +262,7 @@ def features(text: str | None, terms: dict[str, float], matcher: Matcher) -> lis
     text = (text or "").lower()
     words = matcher.words(text)
     if not any(len(w) > 2 and matcher.match(w) is not None for w in set(words)):  # most texts: no hit at all
-        n = len(words) - sum(text.count(c) for c in _QUOTES)
+        n = sum(w not in _QUOTES for w in words)
         return [0.0] * (FEATURES - 1) + [np.log1p(n) / 10.0]
     n = exact = fuzzy = quoted = 0.0
     kinds: dict[str, float] = {}
