@@ -13,7 +13,7 @@ from zonewatch.operators import detect as DT
 from zonewatch.operators import grid as GR
 from zonewatch.operators import pixels as P
 from zonewatch.plans import calibrate
-from zonewatch.session import shared_dir
+from zonewatch.session import materialize, shared_dir
 from zonewatch.sinks import writers as W
 from zonewatch.sources import bindings as B
 from zonewatch.streaming import run as R
@@ -80,6 +80,32 @@ def left_objects(spark, sf):
                          max_frac=1.0, hold=0.2)
 
 
+SCENE, FRAMES = 32, 12
+# what must come out of a scene follows from its object alone: opening keeps it if no side is under 3, dilation by 7 adds 3
+# around, the gates are 120 pixels and 15 % of the frame, and it has to be there in the last five frames
+OBJECTS = """o AS (SELECT s_suppkey AS camera_id, 2 + s_suppkey % 9 AS w, 2 + s_suppkey * 3 % 8 AS h, s_suppkey * 5 % 22 AS x, s_suppkey * 11 % 22 AS y,
+  4 + s_suppkey % 6 AS f0, CASE WHEN s_suppkey % 7 = 0 THEN 9 ELSE 99 END AS f1 FROM supplier),
+g AS (SELECT *, greatest(x-3,0) AS x1, greatest(y-3,0) AS y1, least(x+w+3,32) AS x2, least(y+h+3,32) AS y2 FROM o),
+k AS (SELECT *, (x2-x1)*(y2-y1) AS area, w >= 3 AND h >= 3 AND f0 <= 7 AND f1 > 12 AND (x2-x1)*(y2-y1) BETWEEN 120 AND 0.15*32*32 AS found FROM g)"""
+
+
+@query("left_object_events", f"""WITH {OBJECTS} SELECT camera_id, CASE WHEN found THEN area END AS area, CASE WHEN found THEN x1 END AS x1, CASE WHEN found THEN y1 END AS y1,
+  CASE WHEN found THEN x2 END AS x2, CASE WHEN found THEN y2 END AS y2, CASE WHEN found THEN f0 END AS event_frame, CASE WHEN found THEN f0 / 2.5::DOUBLE END AS event_s FROM k""")
+def left_object_events(spark, sf):
+    """supplier -> a scene each of 12 frames with a texture, in which an object is put down and sometimes taken away;
+    the operator's own gates decide which are events."""
+    k, f, r, c = (F.col(n) for n in ("camera_id", "frame", "row", "col"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    px = (B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("camera_id")).withColumn("frame", upto(FRAMES))
+          .repartition("camera_id", "frame").withColumn("row", upto(SCENE)).withColumn("col", upto(SCENE)))
+    w, h, x, y, f0 = 2 + k % 9, 2 + k * 3 % 8, k * 5 % 22, k * 11 % 22, 4 + k % 6
+    there = (f >= f0) & ((k % 7 != 0) | (f < 9)) & (c >= x) & (c < x + w) & (r >= y) & (r < y + h)
+    px = px.withColumn("gray", (60 + (k * 7 + r * 3 + c * 5) % 20 + F.when(there, 90).otherwise(0)).cast("int"))
+    # the operator reads its pixels several times
+    out = P.find_events(materialize(px), ["camera_id"], "frame", SCENE, SCENE, warm=4, fps=2.5)
+    return out.select("camera_id", *[F.col(n).cast("bigint").alias(n) for n in ("area", "x1", "y1", "x2", "y2", "event_frame")], "event_s")
+
+
 @query("difference_objects")
 def difference_objects(spark, sf):
     px = B.pictures(spark, sf)

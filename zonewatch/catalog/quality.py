@@ -126,13 +126,13 @@ curve AS (SELECT model, conf, n_hit, n_gt, coalesce(n_box,0) AS n_box, greatest(
 
 
 def _curve(spark, sf):
-    truth = materialize(B.truth_boxes(spark, sf))
+    truth = B.truth_boxes(spark, sf)
     det = materialize(B.boxes(spark, sf).select("image", *CORNERS, "model", "score").distinct())
-    gt = per_model(truth, det.select("model").distinct())
-    best = E.best_scores(gt, det, ["image", "model"], CORNERS)
+    best = E.hit_scores(truth, det, ["image"], CORNERS, ["model"])
+    n_gt = det.select("model").distinct().join(F.broadcast(truth.agg(F.count(F.lit(1)).alias("n_gt"))))
     has_gt = truth.select("image").distinct()
     clean = det.join(has_gt, "image", "left_anti").withColumnRenamed("image", "frame")
-    return E.threshold_curve(best, det.join(has_gt, "image", "left_semi"), clean, CONFS, ["model"])
+    return E.threshold_curve(best, det.join(has_gt, "image", "left_semi"), clean, CONFS, ["model"], n_gt)
 
 
 @query("threshold_curve", f"WITH {CURVE} SELECT * FROM curve")

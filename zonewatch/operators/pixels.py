@@ -116,10 +116,11 @@ def box_coverage(masks: DataFrame, frames: DataFrame, boxes: DataFrame, by: list
 
 
 def find_events(pixels: DataFrame, by: list[str], frame: str, width: int, height: int, warm: int = 20,
-                thr: float = 35.0, min_area: int = 120, max_frac: float = 0.15, hold: float = 0.35) -> DataFrame:
+                thr: float = 35.0, min_area: int = 120, max_frac: float = 0.15, hold: float = 0.35,
+                fps: float | None = None) -> DataFrame:
     """Left objects: for every sequence the frame from which its largest lasting change stays.
 
-    Sequences without one come out with NULLs.
+    Sequences without one come out with NULLs. With `fps` the event's time in seconds comes along (event_s).
     """
     keys = [*by, frame]
     frames = frame_rank(pixels, by, frame)
@@ -129,7 +130,8 @@ def find_events(pixels: DataFrame, by: list[str], frame: str, width: int, height
     cover = box_coverage(masks, frames, boxes, by, frame)
     kept = gates.persist_from(cover, F.col("coverage"), hold, by, [frame])
     start = kept.filter("persists").groupBy(*by).agg(F.min(frame).alias("event_frame"))
-    return (pixels.select(*by).distinct().join(boxes, by, "left").join(start, by, "left"))
+    out = pixels.select(*by).distinct().join(boxes, by, "left").join(start, by, "left")
+    return out if fps is None else out.withColumn("event_s", F.col("event_frame") / F.lit(float(fps)))
 
 
 def color_count(pixels: DataFrame, by: list[str], predicate: Column, at_least: int = 60) -> DataFrame:

@@ -9,7 +9,6 @@ from zonewatch.functions import geometry as G
 from zonewatch.functions.keys import hash_order, hash_uniform
 from zonewatch.operators.boxes import spatial_join
 from zonewatch.operators.clusters import explode_tiles
-from zonewatch.session import materialize
 
 KEEP_IN, DROP_IN = 0.60, 0.10  # fixed: share of a box inside a tile
 
@@ -77,9 +76,8 @@ def label_tiles(images: DataFrame, boxes: DataFrame, by: list[str], tile: int, o
     between drop and keep) is left out whole; a smaller overlap is ignored; a tile without
     labels stays as an empty one.
     """
-    # read by the verdict, the tiles and the labels: worked out once
-    part = materialize(box_in_tile(boxes, tile, overlap).filter(F.col("frac") > drop)
-                       .select(*by, "tile_no", *G.box(), *G.box("r_"), "frac"))
+    part = (box_in_tile(boxes, tile, overlap).filter(F.col("frac") > drop)
+            .select(*by, "tile_no", *G.box(), *G.box("r_"), "frac"))
     full = F.col("frac") >= keep
     cut = ~full
     verdict = part.groupBy(*by, "tile_no").agg(F.bool_or(cut).alias("_cut"),
@@ -88,8 +86,9 @@ def label_tiles(images: DataFrame, boxes: DataFrame, by: list[str], tile: int, o
             .filter(~F.coalesce("_cut", F.lit(False))).drop("_cut")
             .withColumn("n_labels", F.coalesce("n_labels", F.lit(0).cast("bigint"))))
     b, t = G.box(), G.box("r_")
-    # only tiles with a cut are looked up, and they exclude their labels
-    labels = (part.filter(full).join(verdict.filter("_cut").select(*by, "tile_no"), [*by, "tile_no"], "left_anti")
+    # a label is told whether its tile is cut by a window over the tile: one exchange, nothing is written
+    beside = Window.partitionBy(*by, "tile_no")
+    labels = (part.withColumn("_cut", F.bool_or(cut).over(beside)).filter(full & ~F.col("_cut"))
               .select(*by, "tile_no",
                       (F.greatest(b.x1, t.x1) - t.x1).alias("x1"), (F.greatest(b.y1, t.y1) - t.y1).alias("y1"),
                       (F.least(b.x2, t.x2) - t.x1).alias("x2"), (F.least(b.y2, t.y2) - t.y1).alias("y2")))

@@ -72,27 +72,34 @@ def compare_configs(results: DataFrame) -> DataFrame:
          / F.nullif(F.count_if("clean"), F.lit(0))).alias("clean_false_share"))
 
 
+def _per_threshold(df: DataFrame, by: list[str], confs: list[float], value: str, name: str, share_of: Column | None = None) -> DataFrame:
+    """(by.., conf, name): rows with at least each threshold, in one pass; as a share of `share_of` if given."""
+    counts = df.groupBy(*by).agg(*[F.count_if(F.col(value) >= c).alias(f"_{i}") for i, c in enumerate(confs)], (share_of if share_of is not None else F.lit(None)).alias("_of"))
+    at = lambda i: F.col(f"_{i}") / F.col("_of") if share_of is not None else F.col(f"_{i}")
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("conf"), at(i).alias(name)) for i, c in enumerate(confs)]))
+    return counts.select(*by, rows.alias("_r")).select(*by, "_r.conf", f"_r.{name}")
+
+
 def threshold_curve(gt_hits: DataFrame, det: DataFrame, clean: DataFrame, confs: list[float],
-                    by: list[str]) -> DataFrame:
+                    by: list[str], n_gt: DataFrame | None = None) -> DataFrame:
     """Operating curve: per threshold the truths hit, boxes, extra boxes, boxes per clean frame.
 
     gt_hits: one row per truth with the best score among the detections that hit it, so a
-    threshold needs no second match.
+    threshold needs no second match. With `n_gt` (by.., n_gt) truths that nothing hit may be
+    left out of it (`hit_scores`).
     """
-    grid = F.explode(F.array(*[F.lit(c) for c in confs])).alias("conf")
-    h = (gt_hits.select(*by, "best_score", grid)
-         .groupBy(*by, "conf").agg(F.count_if(F.col("best_score") >= F.col("conf")).alias("n_hit"),
-                                   F.count(F.lit(1)).alias("n_gt")))
-    d = (det.select(*by, "score", grid)
-         .groupBy(*by, "conf").agg(F.count_if(F.col("score") >= F.col("conf")).alias("n_box")))
-    c = (clean.select(*by, "frame", "score", grid)
-         .groupBy(*by, "conf").agg(
-        (F.count_if(F.col("score") >= F.col("conf")) / F.count_distinct("frame")).alias("clean_boxes")))
     z = F.lit(0).cast("bigint")
-    return (h.join(d, [*by, "conf"], "left").join(c, [*by, "conf"], "left")
-            .withColumn("n_box", F.coalesce("n_box", z))
+    if n_gt is None:
+        n_gt = gt_hits.groupBy(*by).agg(F.count(F.lit(1)).alias("n_gt"))
+    h = _per_threshold(gt_hits, by, confs, "best_score", "n_hit")
+    d = _per_threshold(det, by, confs, "score", "n_box")
+    c = _per_threshold(clean, by, confs, "score", "clean_boxes", F.count_distinct("frame"))
+    rows = n_gt.withColumn("conf", F.explode(F.array(*[F.lit(c) for c in confs])))
+    out = rows.join(h, [*by, "conf"], "left").join(d, [*by, "conf"], "left").join(c, [*by, "conf"], "left")
+    return (out.withColumn("n_hit", F.coalesce("n_hit", z)).withColumn("n_box", F.coalesce("n_box", z))
             .withColumn("n_extra", F.greatest(z, F.col("n_box") - F.col("n_gt")))
-            .withColumn("clean_boxes", F.coalesce("clean_boxes", F.lit(0.0))))
+            .withColumn("clean_boxes", F.coalesce("clean_boxes", F.lit(0.0)))
+            .select(*by, "conf", "n_hit", "n_gt", "n_box", "n_extra", "clean_boxes"))
 
 
 def operating_point(curve: DataFrame, by: list[str], max_extra: int = 4, min_recall: float = 0.9) -> DataFrame:
@@ -125,14 +132,12 @@ def detector_summary(det: DataFrame, by: list[str]) -> DataFrame:
                                 F.avg(long_side()).alias("mean_side"))
 
 
-def best_scores(gt: DataFrame, det: DataFrame, by: list[str], ids: list[str]) -> DataFrame:
-    """Each truth with the best score of the detections centred in it (NULL if none)."""
-    r = det.select(*by, "score", *G.box().named("r_"))
-    d = at_point(r, G.box("r_").cx, G.box("r_").cy)
-    g = in_buckets(gt, G.box())
-    best = (g.join(d, [*by, "_bx", "_by"]).filter(G.center_in(G.box("r_"), G.box()))
-            .groupBy(*by, *ids).agg(F.max("score").alias("best_score")))
-    return gt.join(best, [*by, *ids], "left")
+def hit_scores(gt: DataFrame, det: DataFrame, by: list[str], ids: list[str], per: list[str]) -> DataFrame:
+    """(by.., ids.., per.., best_score): truths that detections are centred in, with the best score for each `per` (such as
+    the model) of the detections. Truths meet the detections of all models in one join."""
+    d = at_point(det.select(*by, *per, "score", *G.box().named("r_")), G.box("r_").cx, G.box("r_").cy)
+    return (in_buckets(gt, G.box()).join(d, [*by, "_bx", "_by"]).filter(G.center_in(G.box("r_"), G.box()))
+            .groupBy(*by, *ids, *per).agg(F.max("score").alias("best_score")))
 
 
 def recall_by_target(windows: DataFrame, hits: DataFrame, ids: list[str], by: list[str]) -> DataFrame:
