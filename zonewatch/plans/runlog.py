@@ -112,16 +112,17 @@ def event_latency(alerts: DataFrame, truth: DataFrame, by: list[str], grace_s: f
 def event_recall(log: DataFrame, truth: DataFrame, by: list[str], grace_s: float = 180.0) -> DataFrame:
     """Recall, upper-median and worst latency, true and false alarms, false alarms per day."""
     alerts = log.filter("alert").select(*by, "t_s")
-    events = event_latency(alerts, truth, by, grace_s)
-    recall = events.groupBy(*by).agg(F.count(F.lit(1)).alias("n_events"), F.count_if("hit").alias("n_hit"),
-                                     F.max("latency_s").alias("worst_s"))
-    middle = indexed_values(events, by, "latency_s", {"median_s": F.floor(F.col("n") / 2)}).drop("n")
-    verdicts = alerts_in_truth(alerts, truth, by).groupBy(*by).agg(
-        F.count_if("inside").alias("n_true"), F.count_if(~F.col("inside")).alias("n_false"))
-    out = (recall.join(middle, by, "left").join(verdicts, by, "left")
-           .join(clean_time(truth, log, by), by, "left"))
-    zero = F.lit(0).cast("bigint")
-    out = out.withColumns({"n_true": F.coalesce("n_true", zero), "n_false": F.coalesce("n_false", zero)})
+    # one time line answers both which alerts lie in an event and which alert an event has first
+    line = (arrange(_timeline(alerts, truth, by), by, ["t", "kind", "event_id"]).running({"open": ("sum", F.col("step"))})
+            .remaining({"t_alert": ("min", F.when(F.col("kind") == 1, F.col("t")))}).done())
+    event, alert = F.col("kind") == 0, F.col("kind") == 1
+    hit = event & F.coalesce(F.col("t_alert") <= F.col("b") + grace_s, F.lit(False))
+    line = line.withColumn("latency_s", F.when(hit, F.col("t_alert") - F.col("t")))
+    counts = line.groupBy(*by).agg(
+        F.count_if(event).alias("n_events"), F.count_if(hit).alias("n_hit"), F.max("latency_s").alias("worst_s"),
+        F.count_if(alert & (F.col("open") > 0)).alias("n_true"), F.count_if(alert & (F.col("open") <= 0)).alias("n_false")).filter("n_events > 0")
+    middle = indexed_values(line.filter(event), by, "latency_s", {"median_s": F.floor(F.col("n") / 2)}).drop("n")
+    out = counts.join(middle, by, "left").join(clean_time(truth, log, by), by, "left")
     rate = rate_per_day(F.col("n_false"), F.col("clean_s") / 3600.0)
     return out.withColumn("false_per_day", rate).withColumn("verdict", rate_verdict(rate))
 
@@ -201,18 +202,17 @@ def latency_breakdown(scans: DataFrame, events: DataFrame, by: list[str], min_ho
     """
     s = scans.join(events.select(*by, "ev_scan"), by)
     after = F.col(scan) >= F.col("ev_scan")
-    alert_at = F.min(F.when(after & F.col("alert"), F.col(scan)))
-    firsts = s.groupBy(*by).agg(
-        F.max("ev_scan").alias("ev_scan"), alert_at.alias("alert_scan"),
-        F.min(F.when(after & (F.col("n_raw_hot") >= min_hot), F.col(scan))).alias("raw_scan"),
-        F.count_if(~after & F.col("alert")).alias("n_false"))
-    t = s.drop("ev_scan").join(firsts, by)
-    waiting = (F.col(scan) >= F.col("ev_scan")) & (F.col("alert_scan").isNull() | (F.col(scan) <= F.col("alert_scan")))
+    answers = (after & F.col("alert")).cast("int")
+    # a scan waits as long as no alert has answered the event before it; scans are told in one ordered pass
+    line = arrange(s.withColumn("_answer", answers), by, [scan, "_answer"]).running({"_answers": ("sum", F.col("_answer"))}).done()
+    waiting = after & (F.col("_answers") - F.col("_answer") == 0)
     raw, hot = F.col("n_raw_hot") >= min_hot, F.col("n_hot") >= min_hot
-    causes = t.groupBy(*by).agg(F.count_if(waiting & ~raw).alias("n_not_persistent"),
-                                F.count_if(waiting & raw & ~hot).alias("n_rejected"),
-                                F.count_if(waiting & raw & hot & ~F.col("alert")).alias("n_held"))
-    return firsts.join(causes, by).withColumn("delay", F.col("alert_scan") - F.col("ev_scan"))
+    out = line.groupBy(*by).agg(
+        F.max("ev_scan").alias("ev_scan"), F.min(F.when(F.col("_answer") == 1, F.col(scan))).alias("alert_scan"),
+        F.min(F.when(after & raw, F.col(scan))).alias("raw_scan"), F.count_if(~after & F.col("alert")).alias("n_false"),
+        F.count_if(waiting & ~raw).alias("n_not_persistent"), F.count_if(waiting & raw & ~hot).alias("n_rejected"),
+        F.count_if(waiting & raw & hot & ~F.col("alert")).alias("n_held"))
+    return out.withColumn("delay", F.col("alert_scan") - F.col("ev_scan"))
 
 
 def event_outcome(alert_scans: DataFrame, on_target: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
