@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from zonewatch import schemas
-from zonewatch.catalog.base import BOXES, LOG, query
+from zonewatch.catalog.base import BOXES, LOG, ZONES, query
 from zonewatch.catalog.scans import PARAMS, zone_scans
-from zonewatch.catalog.space import GRID
+from zonewatch.catalog.space import GRID, LABELLED, _labelled
 from zonewatch.operators import grid as GR
 from zonewatch.session import shared_dir
 from zonewatch.sinks import writers as W
@@ -54,6 +54,32 @@ def region_csv_lookup(spark, sf):
     return RD.read_region_csv(spark, path, listing).select("file_name", "x1", "y1", "x2", "y2", "path")
 
 
+@query("zone_files", f"""WITH {ZONES} SELECT CAST(camera_id AS VARCHAR) AS camera_id, round(a, 4) AS x1, round(b, 4) AS y1, round(a+0.40::DOUBLE, 4) AS x2, round(b+0.05::DOUBLE, 4) AS y2,
+  round(a+0.45::DOUBLE, 4) AS x3, round(b+0.50::DOUBLE, 4) AS y3, round(a+0.02::DOUBLE, 4) AS x4, round(b+0.45::DOUBLE, 4) AS y4 FROM zpts""")
+def zone_files(spark, sf):
+    """Zones through their files."""
+    path = _folder(spark, "zones")
+    W.write_zones(B.zones(spark, sf).withColumn("camera_id", F.col("camera_id").cast("string")), path)
+    p = F.col("points")
+    return RD.read_zone_lines(spark, path).select("camera_id", *[p[i][k].alias(f"{c}{i + 1}") for i in range(4) for k, c in enumerate("xy")])
+
+
+@query("tile_files", f"""WITH {LABELLED}, t AS (SELECT image, tile_no, image % 5 = 0 AS held, 'S' || image % 3 AS source FROM it LEFT JOIN v USING (image, tile_no) WHERE NOT coalesce(cut, false)),
+l AS (SELECT image, tile_no, count(*) AS n FROM part p JOIN v USING (image, tile_no) WHERE NOT cut AND frac >= 0.60 GROUP BY ALL)
+SELECT CASE WHEN held THEN 'val' ELSE 'train' END AS split, source, count(*) AS n_tiles, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_labels FROM t LEFT JOIN l USING (image, tile_no) GROUP BY ALL""")
+def tile_files(spark, sf):
+    """Tiles and their labels through the dataset's folders, one per split and source."""
+    tiles, labels = _labelled(spark, sf)
+    image = F.col("image")
+    placed = {"split": F.when(image % 5 == 0, "val").otherwise("train"), "source": F.concat(F.lit("S"), (image % 3).cast("string")),
+              "stem": F.concat_ws("_", image.cast("string"), F.col("tile_no").cast("string"))}
+    path = _folder(spark, "tiles")
+    W.write_tiles(tiles.withColumns(placed), labels.withColumns(placed), path)
+    n = spark.read.parquet(f"{path}/labels").groupBy("split", "source", "stem").agg(F.count(F.lit(1)).alias("n"))
+    back = spark.read.parquet(f"{path}/tiles").join(n, ["split", "source", "stem"], "left")
+    return back.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_tiles"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_labels"))
+
+
 @query("coco_documents", """WITH a AS (SELECT o_orderkey // 20000 AS doc, o_orderkey AS image_id, 'p/' || o_orderkey || '_' || o_orderpriority || '".jpg' AS file_name FROM orders)
 SELECT 'S' AS source, a.image_id, a.file_name, CAST(l_partkey % 7 AS BIGINT) AS category_id, 'class {' || l_partkey % 7 || '}' AS name, CAST(l_partkey * 37 % 400 AS DOUBLE) AS x,
   CAST(l_quantity AS DOUBLE) AS w FROM lineitem JOIN a ON l_orderkey = a.image_id""")

@@ -70,6 +70,13 @@ def read_zones(spark: SparkSession, path: str, frame_w: int = 1920, frame_h: int
                      F.lit(frame_w).alias("frame_w"), F.lit(frame_h).alias("frame_h"))
 
 
+def read_zone_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Zones as `write_zones` writes them: a line each, with their keys."""
+    df = spark.read.schema(schemas.ZONES).json(path)
+    ok = F.coalesce(F.size("points") >= 3, F.lit(False))
+    return df.withColumn("points", F.when(ok, F.col("points")).otherwise(F.raise_error(F.lit("a zone needs at least 3 points"))))
+
+
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """Truth files ({"intervals": [[a, b], ..]}, seconds); the file name is the camera."""
     df = spark.read.schema(schemas.TRUTH_FILE).option("multiLine", True).json(path)
