@@ -6,12 +6,15 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_ROWS_CONF = "spark.zonewatch.hotRows"
 DEFAULT_HOT_ROWS = 5_000_000
+_TRACKED: list[list[DataFrame]] = []
 
 
 def local_session(cores: str = "8", app: str = "zonewatch", **conf: str) -> SparkSession:
@@ -56,11 +59,24 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._zonewatch_path = path
+    for made in _TRACKED:
+        made.append(kept)
     return kept
 
 
+@contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """The tables that `materialize` makes in this block, so that they can be released when its result is written."""
+    made: list[DataFrame] = []
+    _TRACKED.append(made)
+    try:
+        yield made
+    finally:
+        _TRACKED[:] = [m for m in _TRACKED if m is not made]
+
+
 def release(*tables: DataFrame) -> None:
-    """Delete tables made by `materialize`, once nothing that is still to run reads them."""
+    """Delete tables made by `materialize`, once nothing that is still to run reads them. Once more does no harm."""
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._zonewatch_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
