@@ -41,11 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    sc = spark.sparkContext
+    if not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="spark-zonewatch-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not hasattr(sc, "_zonewatch_shared"):  # the setting itself cannot be changed in a running session
+        sc._zonewatch_shared = tempfile.mkdtemp(prefix="spark-zonewatch-")
+    return sc._zonewatch_shared
 
 
 def materialize(df: DataFrame) -> DataFrame:
