@@ -9,7 +9,7 @@ from zonewatch.llm import decontaminate, mixing, sharding, toxicity
 from zonewatch.llm.common import lookup_side, read_table
 from zonewatch.llm.near import near_components
 from zonewatch.llm.queries import held_out
-from zonewatch.session import materialize
+from zonewatch.session import materialize, release, tables_made
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over `documents`. What a stage wrote on its way, and what it read, is deleted once its result is written."""
+    docs, written = read_table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with tables_made() as made:
+            kept = materialize(stage(spark, docs, sf_dir))
+        release(*written, *[t for t in made if t is not kept])
+        docs, written = kept, [kept]
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write what `run` returns, and leave nothing else behind in the shared folder."""
+    with tables_made() as made:
+        run(spark, sf_dir).write.parquet(path)
+    release(*made)

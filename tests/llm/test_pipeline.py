@@ -95,6 +95,14 @@ def test_run(spark, tables):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_written_and_nothing_left_behind(spark, tables, tmp_path):
+    from zonewatch.session import shared_dir
+    shared = shared_dir(spark)
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    corpus_pipeline.write(spark, tables[0], str(tmp_path / "out"))
+    assert set(os.listdir(shared)) - before == set() and spark.read.parquet(str(tmp_path / "out")).count() > 500
+
+
 def test_empty_tables(spark, tables, tmp_path):
     for f in glob.glob(f"{tables[0]}/*.parquet"):
         spark.read.parquet(f).limit(0).write.parquet(f"{tmp_path}/{os.path.basename(f)}")
