@@ -94,3 +94,35 @@ def test_sketches_merge_within_their_rank_error(spark):
         assert low - 0.0015 <= p <= high + 0.0015
     few = calibrate.noise_floor_sketch(*[calibrate.value_sketches(df.filter("scan_no < 9"), ["site", "day"], "v", "scan_no")] * 3, ["site"]).first()
     assert few["thr"] is None and few["n_scores"] > 0
+
+
+def test_pixels_of_scenes_are_neither_written_nor_shuffled(spark, monkeypatch):
+    from zonewatch.catalog import pictures as C
+    rows, original = [], PX.materialize if hasattr(PX, "materialize") else C.materialize
+
+    def counted(df):
+        kept = original(df)
+        rows.append(kept.count())
+        return kept
+    monkeypatch.setattr(PX, "materialize", counted, raising=False)
+    monkeypatch.setattr(C, "materialize", counted, raising=False)
+    monkeypatch.setattr(C.B, "table", lambda spark, sf, name: spark.range(1, 5).withColumnRenamed("id", "s_suppkey"))
+    keys = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(keys, "true")
+    assert C.left_object_events(spark, "").count() == 4 and spark.conf.get(keys) == before
+    assert max(rows) < 4 * C.FRAMES * C.SCENE ** 2 / 4
+
+
+def test_background_is_the_cut_median(spark):
+    rng = np.random.default_rng(4)
+    gray = rng.integers(0, 256, (7, 5, 3))
+    rows = [("a", f, r, c, None if (f, r, c) == (1, 2, 2) else int(gray[f, r, c])) for f in range(7) for r in range(5) for c in range(3)]
+    df = spark.createDataFrame(rows, "k string, frame int, row int, col int, gray int")
+    for warm in (1, 4, 5):
+        got = {(r.row, r.col): r.ref for r in PX.median_background(df, ["k"], "frame", warm).collect()}
+        want = {}
+        for r in range(5):
+            for c in range(3):
+                seen = [gray[f, r, c] for f in range(warm) if (f, r, c) != (1, 2, 2)]
+                want[r, c] = int(np.floor(np.median(seen)))
+        assert got == want

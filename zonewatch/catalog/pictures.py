@@ -81,6 +81,7 @@ def left_objects(spark, sf):
 
 
 SCENE, FRAMES = 32, 12
+TASK_SCENES = 50  # scenes, of 12 288 pixels each, that a task is given
 # what must come out of a scene follows from its object alone: opening keeps it if no side is under 3, dilation by 7 adds 3
 # around, the gates are 120 pixels and 15 % of the frame, and it has to be there in the last five frames
 OBJECTS = """o AS (SELECT s_suppkey AS camera_id, 2 + s_suppkey % 9 AS w, 2 + s_suppkey * 3 % 8 AS h, s_suppkey * 5 % 22 AS x, s_suppkey * 11 % 22 AS y,
@@ -96,13 +97,15 @@ def left_object_events(spark, sf):
     the operator's own gates decide which are events."""
     k, f, r, c = (F.col(n) for n in ("camera_id", "frame", "row", "col"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    px = (B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("camera_id")).withColumn("frame", upto(FRAMES))
-          .repartition("camera_id", "frame").withColumn("row", upto(SCENE)).withColumn("col", upto(SCENE)))
+    cameras = B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("camera_id"))
+    # scenes are dealt out before they become pixels, so that no pixel is shuffled or written
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cameras.count() // TASK_SCENES + 1)
+    px = (cameras.repartition(n, "camera_id").withColumn("frame", upto(FRAMES))
+          .withColumn("row", upto(SCENE)).withColumn("col", upto(SCENE)))
     w, h, x, y, f0 = 2 + k % 9, 2 + k * 3 % 8, k * 5 % 22, k * 11 % 22, 4 + k % 6
     there = (f >= f0) & ((k % 7 != 0) | (f < 9)) & (c >= x) & (c < x + w) & (r >= y) & (r < y + h)
     px = px.withColumn("gray", (60 + (k * 7 + r * 3 + c * 5) % 20 + F.when(there, 90).otherwise(0)).cast("int"))
-    # the operator reads its pixels several times
-    out = P.find_events(materialize(px), ["camera_id"], "frame", SCENE, SCENE, warm=4, fps=2.5)
+    out = P.find_events(px, ["camera_id"], "frame", SCENE, SCENE, warm=4, fps=2.5, per_task=TASK_SCENES)
     return out.select("camera_id", *[F.col(n).cast("bigint").alias(n) for n in ("area", "x1", "y1", "x2", "y2", "event_frame")], "event_s")
 
 

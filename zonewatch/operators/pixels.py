@@ -20,10 +20,11 @@ from zonewatch.operators import gates
 from zonewatch.operators.clusters import components
 from zonewatch.operators.ordered import arrange
 from zonewatch.operators.zone_scan import KEY
-from zonewatch.session import broadcast_if_small
+from zonewatch.session import broadcast_if_small, dealt_by_some_keys, materialize, release
 
 SIDE = 8        # fixed: a descriptor is 8 x 8
 THUMB = 256     # fixed: side of a thumbnail
+HASHED_PIXELS = 500_000  # pixels of backgrounds that a task may hold at once
 
 
 # --- pixel tables -------------------------------------------------------------------
@@ -36,19 +37,29 @@ def frame_rank(pixels: DataFrame, by: list[str], frame: str) -> DataFrame:
             .withColumn("frame_no", F.col("_rn") - 1).drop("_rn"))
 
 
-def median_background(pixels: DataFrame, by: list[str], frame: str, warm: int = 20) -> DataFrame:
-    """Median of each pixel over the first `warm` frames, cut to whole gray values."""
-    early = frame_rank(pixels, by, frame).filter(F.col("frame_no") < warm).select(*by, frame)
-    return (pixels.join(early, [*by, frame]).groupBy(*by, "row", "col")
-            .agg(F.floor(F.percentile("gray", F.lit(0.5))).cast("int").alias("ref")))
+def median_background(pixels: DataFrame, by: list[str], frame: str, warm: int = 20,
+                      frames: DataFrame | None = None) -> DataFrame:
+    """Median of each pixel over the first `warm` frames, cut to whole gray values. `frames`: their `frame_rank`."""
+    frames = frame_rank(pixels, by, frame) if frames is None else frames
+    early = frames.filter(F.col("frame_no") < warm).select(*by, frame)
+    place = Window.partitionBy(*by, "row", "col")
+    ranked = (pixels.join(early.hint("shuffle_hash"), [*by, frame]).filter(F.col("gray").isNotNull())
+              .select(*by, "row", "col", "gray", F.row_number().over(place.orderBy("gray")).alias("_rn"))
+              .withColumn("_n", F.count(F.lit(1)).over(place)))
+    middle = F.col("_rn").between(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1)
+    return ranked.filter(middle).groupBy(*by, "row", "col").agg(F.floor(F.avg("gray")).cast("int").alias("ref"))
 
 
 def diff_mask(pixels: DataFrame, background: DataFrame, by: list[str], frame: str,
-              thr: float = 35.0) -> DataFrame:
-    """Pixels that differ from the background after removing each picture's mean."""
-    mean = pixels.groupBy(*by, frame).agg(F.avg("gray").alias("_m"))
-    ref_mean = background.groupBy(*by).agg(F.avg("ref").alias("_rm"))
-    d = (pixels.join(background, [*by, "row", "col"]).join(mean, [*by, frame]).join(ref_mean, by)
+              thr: float = 35.0, hashed: bool = False) -> DataFrame:
+    """Pixels that differ from the background after removing each picture's mean.
+
+    `hashed`: the backgrounds that meet in one task are known to fit into its memory, so nothing is sorted for them.
+    """
+    # one row per picture: a task holds those of its pixels, which need no sorting by picture then
+    mean = pixels.groupBy(*by, frame).agg(F.avg("gray").alias("_m")).hint("shuffle_hash")
+    ref_mean = background.groupBy(*by).agg(F.avg("ref").alias("_rm")).hint("shuffle_hash")
+    d = (pixels.join(background.hint("shuffle_hash" if hashed else "merge"), [*by, "row", "col"]).join(mean, [*by, frame]).join(ref_mean, by)
          .filter(F.abs((F.col("gray") - F.col("_m")) - (F.col("ref") - F.col("_rm"))) > thr))
     return d.select(*by, frame, "row", "col")
 
@@ -117,20 +128,25 @@ def box_coverage(masks: DataFrame, frames: DataFrame, boxes: DataFrame, by: list
 
 def find_events(pixels: DataFrame, by: list[str], frame: str, width: int, height: int, warm: int = 20,
                 thr: float = 35.0, min_area: int = 120, max_frac: float = 0.15, hold: float = 0.35,
-                fps: float | None = None) -> DataFrame:
+                fps: float | None = None, per_task: int | None = None) -> DataFrame:
     """Left objects: for every sequence the frame from which its largest lasting change stays.
 
     Sequences without one come out with NULLs. With `fps` the event's time in seconds comes along (event_s).
+    Pixels that are dealt out by `by` already are not shuffled; `per_task` says how many sequences a task is then given.
     """
     keys = [*by, frame]
-    frames = frame_rank(pixels, by, frame)
-    raw = diff_mask(pixels, median_background(pixels, by, frame, warm), by, frame, thr)
-    masks = dilate(opened(raw, keys, width, height), keys, 7, width, height)
-    boxes = largest_component(stay_mask(masks, frames, by, frame), by, min_area, max_frac * width * height)
-    cover = box_coverage(masks, frames, boxes, by, frame)
+    with dealt_by_some_keys(pixels.sparkSession):  # pixels are read in here, and only what is set is written
+        ranks = frame_rank(pixels, by, frame)
+        raw = diff_mask(pixels, median_background(pixels, by, frame, warm, ranks), by, frame, thr,
+                        hashed=per_task is not None and per_task * width * height <= HASHED_PIXELS)
+        masks = materialize(dilate(opened(raw, keys, width, height), keys, 7, width, height))
+        frames = materialize(ranks)
+    boxes = materialize(largest_component(stay_mask(masks, frames, by, frame), by, min_area, max_frac * width * height))
+    cover = materialize(box_coverage(masks, frames, boxes, by, frame))
+    release(masks)
     kept = gates.persist_from(cover, F.col("coverage"), hold, by, [frame])
     start = kept.filter("persists").groupBy(*by).agg(F.min(frame).alias("event_frame"))
-    out = pixels.select(*by).distinct().join(boxes, by, "left").join(start, by, "left")
+    out = frames.select(*by).distinct().join(boxes, by, "left").join(start, by, "left")
     return out if fps is None else out.withColumn("event_s", F.col("event_frame") / F.lit(float(fps)))
 
 
