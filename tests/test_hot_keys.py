@@ -62,3 +62,16 @@ def test_ids_beyond_double_stay_whole(spark):
     assert got == {("a", 1): (big, 1), ("a", 2): (None, 2), ("b", 1): (big + 2, 1)}
     batch = pa.record_batch([pa.array([big, None])], names=["id"])
     assert RP._exact(batch, ["id"])["id"][0] == big
+
+
+def test_a_suffix_takes_in_each_row_once(spark):
+    """The rest of a key is an aggregate that grows from the end; a frame that shrinks costs the square of the rows."""
+    from zonewatch.operators.ordered import arrange
+    df = spark.range(40).select((F.col("id") % 2).alias("k"), F.when(F.col("id") > 3, F.col("id")).alias("t"), F.col("id").alias("u"),
+                                (F.col("id") * 7 % 11).alias("v"))
+    rest = arrange(df, ["k"], ["t", "u"]).remaining({"low": ("min", F.col("v")), "n": ("sum", F.lit(1))}).done()
+    assert "unboundedfollowing" not in rest._jdf.queryExecution().executedPlan().toString().lower()
+    rows = sorted(rest.collect(), key=lambda r: (r.k, -1 if r.t is None else r.t, r.u))
+    for r in rows:
+        later = [x for x in rows if x.k == r.k and (-1 if x.t is None else x.t, x.u) >= (-1 if r.t is None else r.t, r.u)]
+        assert (r.low, r.n) == (min(x.v for x in later), len(later))

@@ -44,6 +44,11 @@ def join_back(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(renamed, cond, "left").drop(*[f"_k_{k}" for k in keys])
 
 
+def _along(order: list[str], forward: bool) -> list[Column]:
+    """The order or its exact reverse: nulls, first in ascending order, are last in descending order."""
+    return [F.col(c).asc_nulls_first() if forward else F.col(c).desc_nulls_last() for c in order]
+
+
 @dataclass(frozen=True)
 class Ordered:
     df: DataFrame
@@ -58,8 +63,8 @@ class Ordered:
     def _keys(self) -> list[str]:
         return self.by + [SLICE] if self.split else self.by
 
-    def _window(self):
-        return Window.partitionBy(*self._keys).orderBy(*self.order)
+    def _window(self, forward: bool = True):
+        return Window.partitionBy(*self._keys).orderBy(*(_along(self.order, forward)))
 
     def select(self, *cols) -> "Ordered":
         return self._with(self.df.select(*cols))
@@ -76,18 +81,16 @@ class Ordered:
         return self._scan(exprs, forward=False)
 
     def _scan(self, exprs, forward: bool) -> "Ordered":
-        lo, hi = Window.unboundedPreceding, Window.currentRow
-        if not forward:
-            lo, hi = Window.currentRow, Window.unboundedFollowing
-        local = self._window().rowsBetween(lo, hi)
+        # a suffix is the prefix of the reversed order: Spark adds each row once to a frame that grows, but
+        # works a frame that shrinks out anew for every row
+        local = self._window(forward).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         df = self.df.withColumns({n: _AGG[k](e).over(local) for n, (k, e) in exprs.items()})
         if not self.split:
             return self._with(df)
         totals = self.df.groupBy(*self._keys).agg(
             *[_AGG[k](e).alias(f"_t_{n}") for n, (k, e) in exprs.items()])
-        across = Window.partitionBy(*self.by).orderBy(SLICE)
-        across = (across.rowsBetween(Window.unboundedPreceding, -1) if forward
-                  else across.rowsBetween(1, Window.unboundedFollowing))
+        across = (Window.partitionBy(*self.by).orderBy(*_along([SLICE], forward))
+                  .rowsBetween(Window.unboundedPreceding, -1))
         carry = totals.select(*self._keys, *[_AGG[k](f"_t_{n}").over(across).alias(f"_c_{n}")
                                              for n, (k, _) in exprs.items()])
         df = join_back(df, carry, self._keys)
