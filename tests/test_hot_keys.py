@@ -75,3 +75,14 @@ def test_a_suffix_takes_in_each_row_once(spark):
     for r in rows:
         later = [x for x in rows if x.k == r.k and (-1 if x.t is None else x.t, x.u) >= (-1 if r.t is None else r.t, r.u)]
         assert (r.low, r.n) == (min(x.v for x in later), len(later))
+
+
+def test_first_scan_after_grows_one_frame(spark):
+    from zonewatch.plans import runlog
+    at = lambda n, **k: spark.range(n).select(F.lit("z").alias("zone"), *[e.alias(c) for c, e in k.items()])
+    events = at(30, event_id=F.col("id"), t=(F.col("id") * 7 % 30).cast("double"))
+    scans = at(5, scan_no=F.col("id"), ts_=(F.col("id") * 5).cast("double"))
+    out = runlog.first_scan_after(events, scans, ["zone"], "t", "ts_", "scan_no")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r.event_id: r.scan_no for r in out.collect()}
+    assert got == {i: (-(-(i * 7 % 30) // 5) if i * 7 % 30 <= 20 else None) for i in range(30)}
