@@ -171,3 +171,17 @@ def test_components_in_blocks(spark, monkeypatch, gap, side, linked):
     assert got.schema.simpleString() == want.schema.simpleString()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert C.components_by_blocks(df.limit(0), ["scan"], gap, side).count() == 0
+
+
+def test_tile_labels_are_dealt_out_by_image_alone(spark):
+    """Parts of bounded size by image, and no further shuffle of the boxes and their tiles."""
+    import os
+
+    import pytest
+    from zonewatch.catalog import QUERIES
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    plan = QUERIES["tile_labels"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffles and not any("tile_no" in line or "x1" in line for line in shuffles)

@@ -281,16 +281,18 @@ part AS (SELECT t.image, t.tile_no, t.x1 AS tx, t.y1 AS ty, u.x1, u.y1, u.x2, u.
 v AS (SELECT image, tile_no, bool_or(frac > 0.10 AND frac < 0.60) AS cut, count(*) FILTER (frac >= 0.60) AS n_labels FROM part GROUP BY ALL)"""
 
 
-def _labelled(spark, sf):
+def _labelled(spark, sf, parts=None):
+    """With `parts`, images and boxes are dealt out by image once, and all steps up to the labels go image by image."""
     images = _images(spark, sf)
-    boxes = B.boxes(spark, sf).select("image", *CORNERS).distinct().join(images, "image")
+    images = images.repartition(parts, "image") if parts else images
+    boxes = B.boxes(spark, sf, parts).select("image", *CORNERS).distinct().join(images, "image")
     return TL.label_tiles(images, boxes, ["image"], 320, 0.5)
 
 
 @query("tile_labels", f"""WITH {LABELLED} SELECT p.image, p.tile_no, greatest(x1,tx)-tx AS x1, greatest(y1,ty)-ty AS y1,
   least(x2,tx2)-tx AS x2, least(y2,ty2)-ty AS y2 FROM part p JOIN v USING (image, tile_no) WHERE NOT cut AND frac >= 0.60""")
 def tile_labels(spark, sf):
-    return _labelled(spark, sf)[1]
+    return _labelled(spark, sf, B.image_parts(spark, sf))[1]
 
 
 @query("tile_kinds", f"""WITH {LABELLED} SELECT coalesce(n_labels,0) AS n_labels, count(*) AS n_tiles

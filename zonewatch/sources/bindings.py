@@ -61,15 +61,25 @@ def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(F.lit(1.0), (F.col("scan_no") + 10) % 97 / 60.0).alias("mask_progress"))
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem -> distinct scored boxes of an image (the order)."""
+IMAGE_ROWS = 200_000  # rows of boxes that a task is given
+
+
+def image_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Into how many parts boxes are dealt out by image, so that a part does not grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), table(spark, sf_dir, "lineitem").count() // IMAGE_ROWS + 1)
+
+
+def boxes(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """lineitem -> distinct scored boxes of an image (the order). With `parts` dealt out by image, before anything else:
+    an order has few lines."""
     x1, y1 = (F.col("l_partkey") * 37) % 400, (F.col("l_suppkey") * 53) % 200
     w, h = F.col("l_quantity") * 4 + 8, F.bround(F.col("l_tax") * 1000) + 10
-    return (table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("image"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"),
         (x1 + w).cast("double").alias("x2"), (y1 + h).cast("double").alias("y2"),
         F.bround(F.col("l_discount") * 10, 2).alias("score"),
-        F.col("l_linestatus").alias("kind"), F.col("l_returnflag").alias("model")).distinct())
+        F.col("l_linestatus").alias("kind"), F.col("l_returnflag").alias("model"))
+    return (rows.repartition(parts, "image") if parts else rows).distinct()
 
 
 def truth_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
