@@ -42,6 +42,30 @@ def test_shared_lines_go_where_the_structure_says_nothing(spark):
     assert got[90] == "Top line Own 90 a. Read more Own 90 b. Bottom" and got[91] == got[92] == "Top line Own 7 a. Read more Own 7 b. Bottom"
 
 
+def test_differencing_names_the_region_of_every_page(spark):
+    def teaser(i):  # the article is the same on all pages; what differs stands in the main element
+        return _page(f"<nav>Menu {i}</nav><main><article><p>Join us today.</p></article><p>Story {i}.</p><p>Shared passage.</p><p>End {i}.</p></main>")
+    rows = [(i, f"https://h.com/news/{i:03d}", teaser(i), None) for i in range(6)]
+    # a plain page between two that have articles is compared with them
+    bare = "<div>Top line</div>{}<p>More to read</p><div>Bottom line</div>"
+    rows += [(20 + i, f"https://p.com/{i}", _page(bare.format(f"<article><p>Own {i}.</p></article>" if i != 1 else "<p>Plain own.</p>")), None) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"Story {i}. Shared passage. End {i}." for i in range(6))
+    assert got[20] == "Own 0." and got[21] == "Plain own." and got[22] == "Own 2."
+
+
+def test_lines_that_repeat_a_lot_are_aligned_as_well(monkeypatch):
+    rng = random.Random(2)
+    cases = [(rng.choices("ab", k=rng.randint(0, 30)), rng.choices("abc", k=rng.randint(0, 30))) for _ in range(200)]
+    plain = [len(pages.common_lines(a, b)) for a, b in cases]
+    monkeypatch.setattr(pages, "PAIRS", 3)
+    for (a, b), n in zip(cases, plain):
+        at, rest = sorted(pages.common_lines(a, b)), iter(b)
+        assert len(at) == n and all(a[i] in rest for i in at)
+    monkeypatch.undo()
+    assert len(pages.common_lines(["p", *["x"] * 20_000, "q"], ["r", *["x"] * 15_000, "s"])) == 15_000
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):

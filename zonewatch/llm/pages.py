@@ -1,21 +1,25 @@
 """Operator 1: main text of web pages by structure and nearest-URL page differencing.
 
-A page becomes lines, one per block, in page order. Each line knows where it stands:
+A page becomes lines, one per block, in page order. The method takes two steps.
 
-* *chrome*: inside navigation, page headers, footers, asides, forms, adverts, notices, comments (by tag,
-  role, class or id); scripts, styles, comments of the markup and the head are no lines at all. Dropped.
-* *main*: inside an article (or else a main element, or else an element named as content). If a page has
-  main lines, they are its text.
-* *plain*: neither. On pages without main lines, these are compared with the nearest page of the same host:
-  pages are ordered by host and path, and of the two beside a page the one with the longer common path is
-  taken. Lines are aligned by longest common subsequence, and shared lines are deleted. Where nearly the
-  whole page is shared (a mirrored page), nothing is deleted.
+*Differencing*, on every page with a neighbour: pages are ordered by host and path, and of the two beside a page on
+its host the one with the longer common path is taken (one without lines only if the other has none either). The
+lines of both whole pages, menus included, are aligned by longest common subsequence. What the neighbour shares is
+boilerplate so far; the *fresh* lines are the page's own. Where nearly all that may be text is shared (a mirrored
+page), all of it counts as fresh.
+
+*An exact check* against the structure follows, since menus differ between pages of a host and articles share
+passages. Each line knows where it stands:
 
-Differencing alone cannot give right results: menus differ between pages of a host, and articles share
-passages. So it decides only where the structure says nothing.
+* *chrome*: inside navigation, page headers, footers, asides, forms, adverts, notices, comments (by tag,
+  role, class or id); scripts, styles, comments of the markup and the head are no lines at all. Never text.
+* *article*, *main*, *content*: inside an article, a main element, an element named as content. The first of these
+  regions that holds fresh lines is the text, and what it shares with the neighbour comes back. Where no region
+  holds fresh lines, the first one on the page is the text.
+* *plain*: none of these. On pages without such a region the fresh lines are the text.
 
 White space is what `str.split` splits on. Defined results: null and empty html give an empty text; a null
-url is a host of its own; a page alone on its host keeps its plain lines; of pages with equal urls the id
+url is a host of its own; on a page alone on its host all lines are fresh; of pages with equal urls the id
 orders; repeated rows come back repeated; unclosed elements end with the element around them, an unclosed
 tag or script at the end of a page is dropped; an empty table gives an empty result.
 """
@@ -25,9 +29,10 @@ from __future__ import annotations
 import html as references
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +42,8 @@ from zonewatch.llm.neighbours import beside, cuts
 from zonewatch.llm.urlrank import host_of, path_of
 
 MIRROR = 0.9
+PAIRS = 1_000_000  # pairs of equal lines of two pages up to which they are gone through one by one
+REGIONS = ("article", "main", "content")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -164,17 +171,42 @@ def _kind_inside(name: str, attributes: str, around: str) -> str:
     return around
 
 
-def settled(lines: list[tuple[str, str]]) -> tuple[bool, list[str]]:
-    """Whether the structure says what the text is, and the lines it leaves."""
-    for kind in ("article", "main", "content"):
-        found = [t for k, t in lines if k == kind]
-        if found:
-            return True, found
-    return False, [t for k, t in lines if k == "plain"]
-
-
 def common_lines(a: list[str], b: list[str]) -> set[int]:
     """Positions in `a` of a longest common subsequence with `b`."""
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    rest = min(len(a), len(b)) - head
+    tail = next((i for i in range(rest) if a[-1 - i] != b[-1 - i]), rest)
+    out = {*range(head), *range(len(a) - tail, len(a))}
+    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
+    often = Counter(b)
+    if len(a) > 1 and sum(often[x] for x in a) > PAIRS:  # lines that repeat a lot: halve `a`, and cut `b` where it fits best
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[:half - 1:-1], b[::-1])[::-1]))
+        return out | {head + i for i in common_lines(a[:half], b[:cut])} | {head + half + i for i in common_lines(a[half:], b[cut:])}
+    return out | {head + i for i in _chained(a, b)}
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of a longest common subsequence of `a` with each beginning of `b`, a bit per line of `b`."""
+    where = defaultdict(list)
+    for j, x in enumerate(b):
+        where[x].append(j)
+
+    def bits(x: str) -> int:
+        flags = np.zeros(len(b), np.uint8)
+        flags[where[x]] = 1
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+    masks = {x: bits(x) for x in set(a) if x in where}
+    whole = free = (1 << len(b)) - 1
+    for x in a:
+        met = free & masks.get(x, 0)
+        free = ((free + met) | (free - met)) & whole
+    taken = np.unpackbits(np.frombuffer((free ^ whole).to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(b)]
+    return np.concatenate([[0], np.cumsum(taken, dtype=np.int64)])
+
+
+def _chained(a: list[str], b: list[str]) -> set[int]:
     where = defaultdict(list)
     for j, x in enumerate(b):
         where[x].append(j)
@@ -196,14 +228,27 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def differenced(own: list[str], other: list[str] | None) -> list[str]:
-    """`own` without the lines it shares with the nearest page; all of it if nearly all is shared."""
-    if not other or not own:
-        return own
-    shared = common_lines(own, other)
-    if len(shared) >= MIRROR * len(own) and len(shared) >= MIRROR * len(other):
-        return own
-    return [t for i, t in enumerate(own) if i not in shared]
+def fresh_lines(own: list[tuple[str, str]], other: list[tuple[str, str]]) -> list[int]:
+    """Positions of the lines that may be text and are not shared with the nearest page; all if nearly all are shared."""
+    may = [i for i, (kind, _) in enumerate(own) if kind != "chrome"]
+    if not other:
+        return may
+    shared = common_lines([t for _, t in own], [t for _, t in other])
+    fresh = [i for i in may if i not in shared]
+    same = len(may) - len(fresh)
+    if same >= MIRROR * len(may) and same >= MIRROR * sum(kind != "chrome" for kind, _ in other):
+        return may
+    return fresh
+
+
+def checked(own: list[tuple[str, str]], fresh: list[int]) -> list[str]:
+    """The page's text: the region named by its fresh lines, whole; the fresh lines where there is no region."""
+    regions = [r for r in REGIONS if any(kind == r for kind, _ in own)]
+    if not regions:
+        return [own[i][1] for i in fresh]
+    named = {own[i][0] for i in fresh}
+    region = next((r for r in regions if r in named), regions[0])
+    return [t for kind, t in own if kind == region]
 
 
 def _common_prefix(a: str, b: str) -> int:
@@ -212,21 +257,18 @@ def _common_prefix(a: str, b: str) -> int:
 
 
 def _outlined(pages: DataFrame) -> DataFrame:
-    """Per page its order key and the lines that may be text; `plain` is null where these are settled."""
+    """Per page its order key and all of its lines: where they stand, and their text."""
     id_type = dict(pages.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, plain = [], []
-            for source in batch.column(4).to_pylist():
-                done, lines = settled(lines_of(source))
-                text.append(" ".join(lines) if done else None)
-                plain.append(None if done else lines)
-            yield pa.record_batch([*batch.columns[:4], pa.array(text, pa.string()), pa.array(plain, pa.list_(pa.string()))],
-                                  names=["page_id", "url", "host", "path", "text", "plain"])
+            lines = [lines_of(source) for source in batch.column(4).to_pylist()]
+            yield pa.record_batch([*batch.columns[:4], pa.array([[k for k, _ in x] for x in lines], pa.list_(pa.string())),
+                                   pa.array([[t for _, t in x] for x in lines], pa.list_(pa.string()))],
+                                  names=["page_id", "url", "host", "path", "kinds", "lines"])
 
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    return rows.mapInArrow(run, f"page_id {id_type}, url string, host string, path string, text string, plain array<string>")
+    return rows.mapInArrow(run, f"page_id {id_type}, url string, host string, path string, kinds array<string>, lines array<string>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -237,7 +279,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                    F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0"))
     spans = cuts(pages.select(key.alias("key_")), "key_", 3 * partitions(pages.sparkSession))
     outlined = _outlined(pages).withColumn("key_", key)
-    dealt = beside(outlined, "key_", spans, ["url"]).select("page_id", "url", "host", "path", "text", "plain", "range_", "order_")
+    dealt = beside(outlined, "key_", spans, ["url"]).select("page_id", "url", "host", "path", "kinds", "lines", "range_", "order_")
 
     def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
         """Each own row with the rows before and behind it in its range."""
@@ -253,13 +295,13 @@ def main_text(pages: DataFrame) -> DataFrame:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         ids, urls, texts = [], [], []
         for before, row, behind in walk(rows):
-            page_id, url, host, path, text, plain, here, order = row
+            page_id, url, host, path, kinds, lines, here, order = row
             if order != 1:
                 continue
-            if text is None:
-                near = [x for x in (before, behind) if x is not None and x[6] == here and x[2] == host and x[5] is not None]
-                near.sort(key=lambda x: -_common_prefix(path, x[3]))  # a tie goes to the page before
-                text = " ".join(differenced(plain, near[0][5] if near else None))
+            near = [x for x in (before, behind) if x is not None and x[6] == here and x[2] == host and x[5]]
+            near.sort(key=lambda x: -_common_prefix(path, x[3]))  # a tie goes to the page before
+            own = list(zip(kinds, lines))
+            text = " ".join(checked(own, fresh_lines(own, list(zip(near[0][4], near[0][5])) if near else [])))
             ids.append(page_id)
             urls.append(url)
             texts.append(text)
