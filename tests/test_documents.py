@@ -5,7 +5,7 @@ import random
 import pytest
 
 from zonewatch.sources import readers
-from zonewatch.sources.documents import read_elements
+from zonewatch.sources.documents import Marks, Scan, read_elements
 
 
 def document(rng, n):
@@ -43,3 +43,33 @@ def test_split_reader_is_the_whole_reader(spark, tmp_path):
     for a, b in zip(readers.read_coco(spark, str(tmp_path), "S"), readers.read_coco(spark, str(tmp_path), "S", split=False)):
         assert a.schema.simpleString() == b.schema.simpleString()
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() > 0
+
+
+def test_a_stretch_in_array_steps_is_the_text_step_by_step():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(['"', '\\\\', '\\"', "{", "}", ":", " ", "k", ","]) for _ in range(rng.randint(1, 60))) + "}"
+        inside, depth, escaped, want = bool(rng.randint(0, 1)), 0, False, []
+        scan, whole = Scan(inside, depth), Scan(inside, depth)
+        for i, c in enumerate(text):
+            if escaped:
+                escaped = False
+            elif c == "\\":
+                escaped = True
+            elif c == '"':
+                inside = not inside
+            elif c in "{}" and not inside:
+                depth += 1 if c == "{" else -1
+                want.append((i, 1 if c == "{" else -1, depth))
+        got = whole.stretch(Marks(text.encode()))
+        assert list(zip(*(x.tolist() for x in got))) == want and (whole.inside, whole.depth) == (inside, depth)
+        for piece in text.split("}")[:-1]:
+            scan.stretch(Marks((piece + "}").encode()))
+        assert (scan.inside, scan.depth, scan.keys) == (whole.inside, whole.depth, whole.keys)
+
+
+def test_elements_are_parsed_once(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps(document(random.Random(1), 30)))
+    images, marks, _ = readers.read_coco(spark, str(tmp_path), "S")
+    plan = marks.join(images, ["source", "image_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 2  # one for each kind

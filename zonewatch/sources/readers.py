@@ -95,7 +95,8 @@ def read_coco(spark: SparkSession, path: str, source: str, split: bool = True, g
     src = F.lit(source).alias("source")
     if split:
         found = read_elements(spark, path, glob)
-        part = lambda key: found.filter(F.col("key") == key).select(F.from_json("element", schemas.COCO_PARTS[key]).alias("x"))
+        # a row of its own per element: what is asked of the fields later does not parse the element once more
+        part = lambda key: found.filter(F.col("key") == key).select(F.explode(F.array(F.from_json("element", schemas.COCO_PARTS[key]))).alias("x"))
     else:
         doc = spark.read.schema(schemas.COCO_FILE).option("multiLine", True).json(path)
         part = lambda key: doc.select(F.explode(key).alias("x"))
