@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -185,3 +186,39 @@ def test_tile_labels_are_dealt_out_by_image_alone(spark):
     plan = QUERIES["tile_labels"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert shuffles and not any("tile_no" in line or "x1" in line for line in shuffles)
+
+
+def test_boxes_list_the_tiles_they_meet(spark):
+    rng = random.Random(4)
+    sizes = [(w, h) for w in (100, 320, 321, 480, 500, 1000) for h in (200, 320, 640, 799)]
+    rows = []
+    for i in range(600):
+        (w, h), x, y = sizes[i % len(sizes)], rng.randint(-60, 1100), rng.randint(-60, 820)
+        rows.append((i, w, h, float(x), float(y), float(x + rng.choice([1, 40, 160, 400, 2000])), float(y + rng.choice([1, 160, 321]))))
+    df = spark.createDataFrame(rows, "image long, width int, height int, x1 double, y1 double, x2 double, y2 double")
+    got = sorted((r.image, r.tile_no, r.r_x1, r.r_y1, r.r_x2, r.r_y2) for r in TL.box_in_tile(df, 320, 0.5).collect())
+
+    def starts(n):
+        return [0] if n <= 320 else sorted({*range(0, n - 319, 160), n - 320})
+    want = [(i, ny * len(starts(w)) + nx, tx, ty, min(w, tx + 320), min(h, ty + 320)) for i, w, h, x1, y1, x2, y2 in rows
+            for nx, tx in enumerate(starts(w)) for ny, ty in enumerate(starts(h))
+            if x1 < min(w, tx + 320) and x2 > tx and y1 < min(h, ty + 320) and y2 > ty]
+    assert got == sorted(want) and len(got) > 500
+
+
+def exchanges(spark, name):
+    from zonewatch.catalog import QUERIES
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^()]*?), \d+\)", plan)]
+
+
+@pytest.mark.parametrize("name,last", [("tile_kinds", {"n_labels"}), ("negatives_per_image", set()), ("repeat_crops", set()), ("target_crops", set())])
+def test_images_are_dealt_out_once(spark, name, last):
+    """Neither tiles nor crops are shuffled: images and boxes go to the task of their image, and only totals go on."""
+    assert set(exchanges(spark, name)) == {"image"} | last
+
+
+def test_only_tiles_with_labels_meet_them(spark):
+    from zonewatch.catalog import QUERIES
+    plan = QUERIES["tile_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(n_labels,0)" in plan

@@ -298,7 +298,7 @@ def tile_labels(spark, sf):
 @query("tile_kinds", f"""WITH {LABELLED} SELECT coalesce(n_labels,0) AS n_labels, count(*) AS n_tiles
 FROM it LEFT JOIN v USING (image, tile_no) WHERE NOT coalesce(cut,false) GROUP BY ALL""")
 def tile_kinds(spark, sf):
-    return _labelled(spark, sf)[0].groupBy("n_labels").agg(F.count(F.lit(1)).alias("n_tiles"))
+    return _labelled(spark, sf, B.image_parts(spark, sf))[0].groupBy("n_labels").agg(F.count(F.lit(1)).alias("n_tiles"))
 
 
 @query("negatives_per_image", f"""WITH {LABELLED}, e AS (SELECT image, tile_no,
