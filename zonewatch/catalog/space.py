@@ -306,7 +306,7 @@ def tile_kinds(spark, sf):
   FROM it LEFT JOIN v USING (image, tile_no) WHERE NOT coalesce(cut,false) AND coalesce(n_labels,0) = 0)
 SELECT image, tile_no FROM e WHERE rn <= 2""")
 def negatives_per_image(spark, sf):
-    empty = _labelled(spark, sf)[0].filter("n_labels = 0")
+    empty = _labelled(spark, sf, B.image_parts(spark, sf))[0].filter("n_labels = 0")
     return TL.pick_negatives(empty, 2, ["image"]).select("image", "tile_no")
 
 
