@@ -69,15 +69,17 @@ l AS (SELECT image, tile_no, count(*) AS n FROM part p JOIN v USING (image, tile
 SELECT CASE WHEN held THEN 'val' ELSE 'train' END AS split, source, count(*) AS n_tiles, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_labels FROM t LEFT JOIN l USING (image, tile_no) GROUP BY ALL""")
 def tile_files(spark, sf):
     """Tiles and their labels through the dataset's folders, one per split and source."""
-    tiles, labels = _labelled(spark, sf)
+    tiles, labels = _labelled(spark, sf, B.image_parts(spark, sf))
     image = F.col("image")
     placed = {"split": F.when(image % 5 == 0, "val").otherwise("train"), "source": F.concat(F.lit("S"), (image % 3).cast("string")),
               "stem": F.concat_ws("_", image.cast("string"), F.col("tile_no").cast("string"))}
     path = _folder(spark, "tiles")
     W.write_tiles(tiles.withColumns(placed), labels.withColumns(placed), path)
     n = spark.read.parquet(f"{path}/labels").groupBy("split", "source", "stem").agg(F.count(F.lit(1)).alias("n"))
-    back = spark.read.parquet(f"{path}/tiles").join(n, ["split", "source", "stem"], "left")
-    return back.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_tiles"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_labels"))
+    back = spark.read.parquet(f"{path}/tiles")
+    found = back.filter("n_labels > 0").join(n, ["split", "source", "stem"]).groupBy("split", "source").agg(F.sum("n").alias("n"))  # others have none
+    tiles = back.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_tiles"))
+    return tiles.join(found, ["split", "source"], "left").select("split", "source", "n_tiles", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_labels"))
 
 
 @query("coco_documents", """WITH a AS (SELECT o_orderkey // 20000 AS doc, o_orderkey AS image_id, 'p/' || o_orderkey || '_' || o_orderpriority || '".jpg' AS file_name FROM orders)
