@@ -446,21 +446,19 @@ def fraction_crop(spark, sf):
 
 
 def _crop_boxes(spark, sf):
-    return B.truth_boxes(spark, sf).withColumns({"width": F.lit(600), "height": F.lit(400)})
+    return B.truth_boxes(spark, sf, B.image_parts(spark, sf)).withColumns({"width": F.lit(600), "height": F.lit(400)})
 
 
 @query("repeat_crops")
 def repeat_crops(spark, sf):
-    crops, labels = TL.repeat_crops(_crop_boxes(spark, sf), ["image"], CORNERS, 4, 320)
-    n = labels.groupBy("image", "copy").agg(F.count(F.lit(1)).alias("n_labels"))
-    return crops.join(n, ["image", "copy"])
+    labels = TL.repeat_crops(_crop_boxes(spark, sf), ["image"], CORNERS, 4, 320)[1]
+    return labels.groupBy("image", "copy", *G.box("c"), "scale").agg(F.count(F.lit(1)).alias("n_labels"))
 
 
 @query("target_crops")
 def target_crops(spark, sf):
-    crops, labels = TL.target_crops(_crop_boxes(spark, sf), ["image"], CORNERS, copies=2)
-    n = labels.groupBy("image", "copy").agg(F.count(F.lit(1)).alias("n_labels"))
-    return crops.join(n, ["image", "copy"])
+    labels = TL.target_crops(_crop_boxes(spark, sf), ["image"], CORNERS, copies=2)[1]
+    return labels.groupBy("image", "copy", *G.box("c"), "scale").agg(F.count(F.lit(1)).alias("n_labels"))
 
 
 REPLY = """r AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN '```json\n{"litter": true, "confidence": 0.' || turn % 10 || ', "what": "bag ' || conv_id || '"}\n```'

@@ -82,8 +82,8 @@ def boxes(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFra
     return (rows.repartition(parts, "image") if parts else rows).distinct()
 
 
-def truth_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes(spark, sf_dir).filter("kind = 'F'").select("image", "x1", "y1", "x2", "y2").distinct()
+def truth_boxes(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    return boxes(spark, sf_dir, parts).filter("kind = 'F'").select("image", "x1", "y1", "x2", "y2").distinct()
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
