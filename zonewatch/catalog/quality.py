@@ -14,7 +14,7 @@ from zonewatch.operators import sampling as S
 from zonewatch.operators import tiling as TL
 from zonewatch.plans import dataset as D
 from zonewatch.plans import evaluation as E
-from zonewatch.session import materialize
+from zonewatch.session import dealt_by_some_keys, materialize
 from zonewatch.sources import bindings as B
 
 CORNERS = ["x1", "y1", "x2", "y2"]
@@ -89,20 +89,21 @@ SELECT config, CAST(sum(n_hit) FILTER (NOT clean) AS BIGINT) AS n_hit, CAST(sum(
   count(*) FILTER (clean AND n_box > 0) AS n_clean_false, count(*) FILTER (clean AND n_box > 0)/nullif(count(*) FILTER (clean),0) AS clean_false_share
 FROM r GROUP BY config""")
 def compare_configs(spark, sf):
-    b = B.boxes(spark, sf)
-    gt = B.truth_boxes(spark, sf)
+    parts = 2 * B.image_parts(spark, sf)  # all steps up to the totals go image by image, in one task
+    b = B.boxes(spark, sf, parts)
+    gt = B.truth_boxes(spark, sf, parts)
     det = b.select("image", *CORNERS, "model").distinct()
-    configs = b.select(F.col("model").alias("config")).distinct()
+    configs = B.boxes(spark, sf).select(F.col("model").alias("config")).distinct()
     frames = per_model(b.select("image").distinct(), configs)
-    truth = per_model(gt, configs)
-    hits = (BX.matched_gt(truth, det.withColumnRenamed("model", "config"), ["image", "config"], CORNERS)
-            .groupBy("config", "image").agg(F.count(F.lit(1)).alias("n_hit")))
+    hits = (BX.matched_by(gt, det.withColumnRenamed("model", "config"), ["image"], CORNERS, ["config"])
+            .groupBy("image", "config").agg(F.count(F.lit(1)).alias("n_hit")))
     n_gt = gt.groupBy("image").agg(F.count(F.lit(1)).alias("n_gt"))
-    n_box = det.groupBy(F.col("model").alias("config"), "image").agg(F.count(F.lit(1)).alias("n_box"))
+    n_box = det.groupBy("image", F.col("model").alias("config")).agg(F.count(F.lit(1)).alias("n_box"))
     z = F.lit(0).cast("bigint")
-    r = (frames.join(n_gt, "image", "left").join(hits, ["config", "image"], "left")
-         .join(n_box, ["config", "image"], "left").withColumn("clean", F.col("n_gt").isNull()))
-    return E.compare_configs(r.withColumns({c: F.coalesce(c, z) for c in ("n_gt", "n_hit", "n_box")}))
+    r = (frames.join(n_gt, "image", "left").join(hits, ["image", "config"], "left")
+         .join(n_box, ["image", "config"], "left").withColumn("clean", F.col("n_gt").isNull()))
+    with dealt_by_some_keys(spark):  # boxes are read in here, and only the totals are written
+        return materialize(E.compare_configs(r.withColumns({c: F.coalesce(c, z) for c in ("n_gt", "n_hit", "n_box")})))
 
 
 def per_model(df, models):

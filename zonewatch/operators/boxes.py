@@ -203,6 +203,14 @@ def matched_gt(gt: DataFrame, det: DataFrame, by: list[str], ids: list[str],
     return touched(gt, det, by, ids, lambda g, d: G.hit(d, g, mode, iou_thr))
 
 
+def matched_by(gt: DataFrame, det: DataFrame, by: list[str], ids: list[str], who: list[str]) -> DataFrame:
+    """(by.., who.., ids..): ground-truth boxes that hold the centre of a detection of each `who` (models, runs)."""
+    r = G.box("r_")
+    points = at_point(det.select(*by, *who, *G.box().named("r_")), r.cx, r.cy)
+    met = in_buckets(gt, G.box()).join(points, [*by, "_bx", "_by"]).filter(G.center_in(r, G.box()))
+    return met.select(*by, *who, *ids).distinct()
+
+
 def match_gt(gt: DataFrame, det: DataFrame, by: list[str], ids: list[str],
              mode: str = "center", iou_thr: float = 0.3, name: str = "hit") -> DataFrame:
     return with_flag(gt, matched_gt(gt, det, by, ids, mode, iou_thr), [*by, *ids], name)
