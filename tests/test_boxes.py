@@ -222,3 +222,33 @@ def test_only_tiles_with_labels_meet_them(spark):
     from zonewatch.catalog import QUERIES
     plan = QUERIES["tile_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(n_labels,0)" in plan
+
+
+def test_models_are_told_apart_at_their_image(spark):
+    gt = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (1, 250.0, 250.0, 300.0, 300.0), (2, 0.0, 0.0, 10.0, 10.0)], "image long, x1 double, y1 double, x2 double, y2 double")
+    det = spark.createDataFrame([(1, 4.0, 4.0, 6.0, 6.0, "a"), (1, 3.0, 3.0, 6.0, 6.0, "a"), (1, 270.0, 270.0, 280.0, 280.0, "b"), (1, 4.0, 4.0, 6.0, 6.0, "b"), (3, 4.0, 4.0, 6.0, 6.0, "b")],
+                                "image long, x1 double, y1 double, x2 double, y2 double, model string")
+    got = sorted(map(tuple, BX.matched_by(gt, det, ["image"], ["x1", "y1"], ["model"]).collect()))
+    assert got == [(1, "a", 0.0, 0.0), (1, "b", 0.0, 0.0), (1, "b", 250.0, 250.0)]
+
+
+def test_many_small_scans_are_labelled_together(spark):
+    rng = random.Random(6)
+    rows = [(f"s{i % 40}" if i % 40 else None, rng.randint(-5, 6), rng.randint(-5, 6) + 10_000 * (i % 3)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "scan string, row int, col int").distinct()
+    for gap in (1, 2):
+        got = {(r.scan, r.row, r.col): (r.comp_row, r.comp_col) for r in C.components(df, ["scan"], gap).collect()}
+        cells = {(r.scan, r.row, r.col) for r in df.collect()}
+        want = {}
+        for cell in sorted(cells, key=str):
+            if cell not in want:
+                found, stack = {cell}, [cell]
+                while stack:
+                    s, r, c = stack.pop()
+                    near = {(s, r + i, c + j) for i in range(-gap, gap + 1) for j in range(-gap, gap + 1)} & cells - found
+                    found |= near
+                    stack += near
+                want |= dict.fromkeys(found, min((r, c) for _, r, c in found))
+        assert got == want
+    plan = C.components(df, ["scan"], 1)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas [_deal" in plan  # not a call for each scan

@@ -13,11 +13,21 @@ from zonewatch.operators.ordered import arrange
 from zonewatch.session import broadcast_if_small, has_hot_group, materialize, release
 
 COMPONENT_CELLS = 200_000  # cells of one scan a single task may label
+CALL_CELLS = 200_000  # cells of whole scans that one call is given, about
 BLOCK = 512  # side of the blocks of cells in which larger scans are labelled
 
 
-def lowest_labels(r: np.ndarray, c: np.ndarray, gap: int) -> np.ndarray:
-    """Per cell (sorted by row, column) the index of the lowest cell of its cluster."""
+def lowest_labels(r: np.ndarray, c: np.ndarray, gap: int, scan: np.ndarray | None = None) -> np.ndarray:
+    """Per cell (sorted by scan, row, column) the index of the lowest cell of its cluster. Scans are numbered from 0."""
+    if scan is not None and len(r):
+        starts = np.flatnonzero(np.diff(scan, prepend=-1))
+        r = r - np.minimum.reduceat(r, starts)[scan]
+        c = c - np.minimum.reduceat(c, starts)[scan]
+        height = int(r.max()) + gap + 1
+        if height * (int(c.max()) + 2 * gap + 1) * len(starts) >= 2 ** 62:  # too far apart for one numbering
+            ends = [*starts[1:], len(r)]
+            return np.concatenate([a + lowest_labels(r[a:b], c[a:b], gap) for a, b in zip(starts, ends)])
+        r = r + height * scan
     width = int(c.max() - c.min()) + 2 * gap + 1
     code = (r - r.min()) * width + (c - c.min() + gap)
     a, b = [], []
@@ -47,24 +57,31 @@ def _settled(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def components(cells: DataFrame, by: list[str], gap: int = 1) -> DataFrame:
     """Adds (comp_row, comp_col): the lowest cell of the transitive Chebyshev cluster."""
     cells = cells.select(*by, "row", "col").distinct()
-    if has_hot_group(cells, by, COMPONENT_CELLS):
+    sizes = (cells.groupBy(*by) if by else cells.groupBy(F.lit(0))).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (sizes[0] or 0) > COMPONENT_CELLS:
         return components_by_blocks(cells, by, gap)
-    return _labelled(cells, by, gap)
+    return _labelled(cells, by, gap, sizes[1] or 0)
 
 
-def _labelled(cells: DataFrame, by: list[str], gap: int) -> DataFrame:
-    """Labels within each group of `by`, one task per group."""
+def _labelled(cells: DataFrame, by: list[str], gap: int, rows: int | None = None) -> DataFrame:
+    """Labels within each group of `by`, many groups at once: a call takes about `CALL_CELLS` cells of whole groups
+    (fewer where there are too few for all tasks)."""
     schema = T.StructType([*cells.schema.fields, T.StructField("comp_row", cells.schema["row"].dataType),
                            T.StructField("comp_col", cells.schema["col"].dataType)])
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deals = max(tasks, (cells.count() if rows is None else rows) // CALL_CELLS + 1)
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "col"], ignore_index=True)
+        scan = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy(np.int64) if by else np.zeros(len(pdf), np.int64)
         r, c = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
-        low = lowest_labels(r, c, gap)
+        order = np.lexsort((c, r, scan))
+        pdf, scan, r, c = pdf.iloc[order].reset_index(drop=True), scan[order], r[order], c[order]
+        low = lowest_labels(r, c, gap, scan)
         pdf["comp_row"], pdf["comp_col"] = r[low], c[low]
         return pdf[schema.names]
 
-    return cells.groupBy(*by).applyInPandas(label, schema)
+    deal = F.pmod(F.xxhash64(*by), F.lit(deals)) if by else F.lit(0)
+    return cells.withColumn("_deal", deal).repartition(deals, "_deal").groupBy("_deal").applyInPandas(label, schema)
 
 
 def components_by_blocks(cells: DataFrame, by: list[str], gap: int = 1, side: int | None = None) -> DataFrame:
